@@ -7,18 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import simhash
+from pagelathe.llm import covertree, mixing, mpeg, pieces, secrets, simhash, tokencount, toxicity
 from pagelathe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents by source, weights 3, 1, 2."""
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of all documents, and whether they decode to the text."""
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, 3 bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, counted in flat files."""
+    return tokencount.count(table(spark, sf_dir, "documents"))
+
+
+def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings at cosine 0.9."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as MPEG audio streams, read back."""
+    out = mpeg.features(mpeg.media(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def queries() -> dict[str, Query]:
     """Query name -> function."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
