@@ -18,8 +18,11 @@ POSITIVES, UNLABELLED, CALIBRATION, FEATURES = 6000, 12000, 3000, 20000
 
 
 def words_of(text: str | None) -> np.ndarray:
-    """64-bit hashes of the distinct words of a text, letters alone, lower case."""
-    return np.array([xxhash.xxh64_intdigest(w, 0) for w in set(WORDS.findall((text or "").lower()))], np.uint64).view(np.int64)
+    """64-bit hashes of the distinct words of a text, letters alone, lower case, and of their stems: the first four and five letters of longer words."""
+    words = set(WORDS.findall((text or "").lower()))
+    stems = {w[:4] for w in words if len(w) > 4} | {w[:5] for w in words if len(w) > 5}
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, 0) for w in words] + [digest(w, 1) for w in stems], np.uint64).view(np.int64)
 
 
 @dataclass
@@ -54,16 +57,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, l1: float = 2e-4, l2: float = 1e-4, rate: float = 0.15) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15, least: float = 4.5) -> Model:
     """Minimise the class-prior-corrected risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by full-batch Adam.
 
     Where the second part, which estimates the risk on negatives, falls below 0, the step goes up its own gradient, as
-    non-negative PU learning has it. Features: words of at least three confirmed positives, the ones in the most, at
-    most FEATURES.
+    non-negative PU learning has it. Features: words of at least three confirmed positives that come in more of them
+    than the unlabelled share explains, by `least` standard deviations; the furthest ones, at most FEATURES.
     """
     ids, n = np.unique(np.concatenate([*positive, np.empty(0, np.int64)]), return_counts=True)
     ids, n = ids[n >= 3], n[n >= 3]
-    model = Model(np.sort(ids[np.argsort(-n, kind="stable")[:FEATURES]]), np.zeros(0), float(np.log(prior / (1 - prior))))
+    flat = np.sort(np.concatenate([*unlabelled, np.empty(0, np.int64)]))
+    share = (np.searchsorted(flat, ids, "right") - np.searchsorted(flat, ids) + 0.5) / (len(unlabelled) + 1)
+    far = (n - len(positive) * share) / np.sqrt(len(positive) * share * (1 - np.minimum(share, 0.999)) + 0.25)
+    ids, far = ids[far >= least], far[far >= least]
+    model = Model(np.sort(ids[np.argsort(-far, kind="stable")[:FEATURES]]), np.zeros(0), float(np.log(prior / (1 - prior))))
     model.weights = np.zeros(len(model.vocabulary))
     if not positive or not unlabelled:
         return model
@@ -85,8 +92,6 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate / (1 + t / 50)
         theta = theta - step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        if t % 10 == 0:
-            theta[:k] = np.sign(theta[:k]) * np.maximum(0, np.abs(theta[:k]) - l1 * 10 * 10)
     model.weights, model.bias = theta[:k], float(theta[k])
     return model
 
