@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import covertree, mixing, mpeg, pieces, secrets, simhash, tokencount, toxicity
+from pagelathe.llm import covertree, licenses, lines, mixing, mpeg, pieces, secrets, simhash, tokencount, toxicity
 from pagelathe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate lines of all documents."""
+    return lines.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
@@ -56,6 +61,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Query name -> function."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
