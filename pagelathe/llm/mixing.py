@@ -195,7 +195,8 @@ class Mix:
         pieces = placed.where("size > 0").select("doc_id", "s", "row", "start", "size", *words, blocks)
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(end, (F.col("block") + 1) * b, F.col("block") * b + F.col("limit"))
-        got = pieces.join(self.slots(), ["s", "block"]).withColumns({"word_from": low - F.col("start"), "word_to": high - F.col("start")}).where("word_to > word_from")
+        # slots grow with the corpus, which their small inputs don't show to the planner: never broadcast them
+        got = pieces.join(self.slots().hint("merge"), ["s", "block"]).withColumns({"word_from": low - F.col("start"), "word_to": high - F.col("start")}).where("word_to > word_from")
         text = [F.array_join(F.slice("words", (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ").alias("text")] if words else []
         return got.select("shard", "slot", "s", "pass", "block", "doc_id", "row", "word_from", "word_to", *text)
 
