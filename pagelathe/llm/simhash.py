@@ -11,6 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelathe.llm.common import cut
 from pagelathe.llm.graph import components
@@ -270,3 +271,52 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, chosen: in
     groups = components(link_keyed(keyed, radius))
     named = one.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: 64-bit parts of the wider fingerprint, and minima by which texts meet.
+PARTS, MINIMA = 4, 5
+
+
+def radius_of(similarity: float, bits: int = 64 * PARTS, margin: float = 1.25) -> int:
+    """Differing bits within which sets of at least this Jaccard similarity lie, `margin` standard deviations above the mean of those at it."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * p + margin * (bits * p * (1 - p)) ** 0.5 - 1)
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The fingerprint of a shingle set, 64 * PARTS bits, and its minima under MINIMA hash functions."""
+    h = np.unique(h)
+    fp = np.array([majority(mix(h, k)) for k in range(PARTS)], U64).tobytes()
+    low = [int((mix(h, 100 + k)).min()) if len(h) else k for k in range(MINIMA)]
+    return fp, np.array(low, U64).view(np.int64).tolist()
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each distinct doc_id and fingerprint: groups of texts whose sets of word shingles are similar.
+
+    Texts meet in blocks by any of MINIMA least hashes, of which a pair at the similarity shares at least one with
+    probability 1 - (1 - similarity)^MINIMA (0.9997 at 0.8), and are compared there bit-sliced on wide fingerprints,
+    whose angle estimates the similarity (see radius_of); texts without words are alike. Rows that share a doc_id are
+    one document. Rows with a null doc_id group only with rows that have one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            made = [wide_fingerprint(shingle_hashes(t, words)) for t in x["text"]]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": [f for f, _ in made], "low": [k for _, k in made]})
+
+    marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp binary, low array<long>"))
+    one = marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("low").alias("low"))
+    keyed = one.where("node IS NOT NULL").select(F.posexplode("low").alias("k", "key"), "fp", "node").select(F.xxhash64("k", "key").alias("key"), "fp", "node")
+    groups = components(link_keyed(keyed, radius_of(similarity)))
+    named = one.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "fp").distinct().join(named, "fp", "left").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of near_groups(): the one with the smallest doc_id. Rows that repeat a doc_id and text go but for one; rows with a null doc_id stay unless a row with one is near them."""
+    groups = near_groups(docs, words, similarity)
+    kept = groups.where("doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("_doc")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    w = Window.partitionBy("doc_id", "_text").orderBy("_text")
+    return rows.withColumn("_text", F.xxhash64(F.col("text").cast("string"))).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
