@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 #: Edits within which two lines are near, and the least number of characters of a line that takes part.
 EDITS, LEAST = 2, 24
 #: Letters whose counts, clipped to eight bits, guard the join.
-LETTERS = ("e", "n", "t", "a", "i", "o", "r", "s")
+LETTERS = ("e", "n", "t", "a", "i", "o", "r")
 WIDTH = 32
 
 
 def split_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no, line, line_id) of the lines that take part. Lines end at line feeds; null texts have none."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return lines.where(F.char_length("line") >= least).withColumn("line_id", F.md5(F.col("line").cast("binary")))
+    return lines.where(F.char_length("line") >= least).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -25,39 +25,30 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def _segments(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th (from 0) of edits + 1 even segments of a line of n characters; the last ones are the longer ones."""
-    parts = edits + 1
-    short = F.floor(n / parts)
-    longer = n - short * parts  # this many segments, the last ones, have one character more
-    before = F.lit(i) * short + F.greatest(F.lit(i) - (parts - longer), F.lit(0))
-    return (before + 1).cast("int"), (short + (F.lit(i) >= parts - longer).cast("int")).cast("int")
-
-
-def _key(n: Column, i: int, segment: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), segment)
+def key_plan(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, less, shift): the substrings of a line to look up among the segments of lines `less` characters shorter.
 
-
-def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments: its length, the segment's number and text."""
-    n = F.char_length("line")
-    return F.array(*(_key(n, i, F.substring("line", *_segments(n, i, edits))) for i in range(edits + 1)))
+    For each such length and segment only the starts that both the edits before it and those after it allow are needed;
+    one of the segments that a near line shares must lie at one of them. (segment, 0, 0) are the line's own segments.
+    """
+    return [(i, less, d) for less in range(edits + 1) for i in range(edits + 1) for d in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
-def probe_keys(edits: int) -> Column:
-    """Keys of the substrings of a line that could be a segment of a line as long or up to `edits` shorter.
+def keys(first: DataFrame, edits: int) -> DataFrame:
+    """(key, lid, letters) of distinct lines: a key stands for the length, number and text of a segment; the top byte of letters is 1 on a line's own segments.
 
-    For each such length and segment only the starts that both the edits before it and those after it allow are probed;
-    one of the segments that a near line shares must lie at one of them.
+    The plan's entries are exploded before the keys are made, so one short expression serves them all.
     """
-    n, keys = F.char_length("line"), []
-    for less in range(edits + 1):
-        m = n - less
-        for i in range(edits + 1):
-            start, size = _segments(m, i, edits)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            keys += [F.when((start + d >= 1) & (start + d + size - 1 <= n), _key(m, i, F.substring("line", start + d, size))) for d in range(low, high + 1)]
-    return F.array_compact(F.array(*keys))
+    parts = edits + 1
+    plan = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(d).alias("d")) for i, less, d in key_plan(edits)))
+    rows = first.select("line", F.xxhash64("line").alias("lid"), F.char_length("line").alias("n"), letter_counts().alias("letters")).select("*", F.explode(plan).alias("p"))
+    rows = rows.select("line", "lid", "n", "letters", "p.i", "p.d", F.expr("n - p.less").alias("m"), F.expr(f"(n - p.less) div {parts}").cast("int").alias("short"))
+    # the last m - short * parts segments have one character more
+    rows = rows.withColumn("wide", F.lit(parts) - (F.col("m") - F.col("short") * parts))
+    rows = rows.select("line", "lid", "n", "letters", "i", "m", "d", (F.col("i") * F.col("short") + F.greatest(F.col("i") - F.col("wide"), F.lit(0)) + 1 + F.col("d")).alias("at"), (F.col("short") + (F.col("i") >= F.col("wide")).cast("int")).alias("size"))
+    rows = rows.where("at >= 1 AND at + size - 1 <= n")
+    own = F.when((F.col("d") == 0) & (F.col("m") == F.col("n")), F.lit(1 << 56)).otherwise(F.lit(0)).cast("long")
+    return rows.select(F.xxhash64("m", "i", F.expr("substring(line, at, size)")).alias("key"), "lid", F.col("letters").bitwiseOR(own).alias("letters"))
 
 
 def letter_counts() -> Column:
@@ -121,16 +112,22 @@ def near_links(first: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): the ids of distinct lines within `edits` edits, a before b in no order of meaning, each pair once.
 
     Lines meet where one has, at a fitting place, a segment of the other; pairs whose letter counts differ by more than
-    the edits explain drop out within that join; the bit-parallel distance settles the rest.
+    the edits explain drop out within that join; the bit-parallel distance settles the rest. Hashes of keys and lines
+    only bring lines together, texts decide.
     """
-    own = first.select("line_id", F.char_length("line").alias("n"), letter_counts().alias("letters"), index_keys(edits).alias("own"), probe_keys(edits).alias("probe"))
-    index = own.select(F.explode("own").alias("key"), F.col("line_id").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"))
-    probe = own.select(F.explode(F.array_distinct("probe")).alias("key"), F.col("line_id").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("lb"))
-    apart = (F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))
-    near = (F.col("nb") - F.col("na")).between(0, edits) & (_letters_apart(F.col("la"), F.col("lb")) <= 2 * edits)
-    pairs = index.join(probe, (index["key"] == probe["key"]) & apart & near).select("a", "b").distinct()
+    rows = keys(first, edits)
+    left, right = rows.toDF("key", "a", "la"), rows.toDF("key", "b", "lb")
+    # the test for a line's own segment is bound to the other side's letters, so that it stays in the join and both sides read one exchange
+    own = F.shiftrightunsigned("la", 56) * 4096 - _letters_apart(F.col("la"), F.col("lb")) >= 4096 - 2 * edits
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & own)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = first.select(F.xxhash64("line").alias("lid"), "line_id")
+    pairs = pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b").select("id_a", "id_b")
     text = first.select("line_id", "line")
-    both = pairs.join(text.toDF("a", "short"), "a").join(text.toDF("b", "long"), "b")
+    both = pairs.join(text.toDF("id_a", "one"), "id_a").join(text.toDF("id_b", "two"), "id_b")
+    swap = F.char_length("one") < F.char_length("two")
+    long_, short = F.when(swap, F.col("two")).otherwise(F.col("one")), F.when(swap, F.col("one")).otherwise(F.col("two"))
+    both = both.where(F.abs(F.char_length("one") - F.char_length("two")) <= edits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), long_.alias("long"), short.alias("short"))
     return both.where(banded_distance(F.col("long"), F.col("short"), edits) <= edits).select("a", "b")
 
 
