@@ -12,9 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import cut
+
 WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit sees: confirmed positives, unlabelled rows, rows for the calibration of each label, features.
 POSITIVES, UNLABELLED, CALIBRATION, FEATURES = 6000, 12000, 3000, 20000
+#: Standard deviations by which a feature must stand out.
+LEAST = 4.5
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -57,21 +61,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15, least: float = 4.5) -> Model:
+def stands_out(positives: F.Column, unlabelled: F.Column, n_positive: int, n_unlabelled: int) -> F.Column:
+    """Standard deviations by which a word comes in more positives than its share of unlabelled texts explains."""
+    share = (unlabelled + 0.5) / (n_unlabelled + 1)
+    return (positives - n_positive * share) / F.sqrt(n_positive * share * (1 - F.least(share, F.lit(0.999))) + 0.25)
+
+
+def fit(vocabulary: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15) -> Model:
     """Minimise the class-prior-corrected risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by full-batch Adam.
 
     Where the second part, which estimates the risk on negatives, falls below 0, the step goes up its own gradient, as
-    non-negative PU learning has it. Features: words of at least three confirmed positives that come in more of them
-    than the unlabelled share explains, by `least` standard deviations; the furthest ones, at most FEATURES.
+    non-negative PU learning has it.
     """
-    ids, n = np.unique(np.concatenate([*positive, np.empty(0, np.int64)]), return_counts=True)
-    ids, n = ids[n >= 3], n[n >= 3]
-    flat = np.sort(np.concatenate([*unlabelled, np.empty(0, np.int64)]))
-    share = (np.searchsorted(flat, ids, "right") - np.searchsorted(flat, ids) + 0.5) / (len(unlabelled) + 1)
-    far = (n - len(positive) * share) / np.sqrt(len(positive) * share * (1 - np.minimum(share, 0.999)) + 0.25)
-    ids, far = ids[far >= least], far[far >= least]
-    model = Model(np.sort(ids[np.argsort(-far, kind="stable")[:FEATURES]]), np.zeros(0), float(np.log(prior / (1 - prior))))
-    model.weights = np.zeros(len(model.vocabulary))
+    model = Model(vocabulary, np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return model
     (pd_, pf), (ud, uf) = model.find(positive), model.find(unlabelled)
@@ -119,9 +121,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled rows that are not held out, and unlabelled text of the same part of the documents.
 
     Each row is taken by a hash of its doc_id with a chance that makes the expected numbers POSITIVES, UNLABELLED and
-    CALIBRATION at most, so what the driver fits is bounded however many rows there are. The prior is the share of
-    toxic rows among the labelled ones. Rows with null text or label, and labels of unknown rows, play no part; with no
-    positive rows the model has its prior alone.
+    CALIBRATION at most, so what is fitted is bounded however many rows there are. Features are words of at least three
+    chosen positives that stand out by LEAST standard deviations, the furthest FEATURES of them; they are counted by
+    Spark, and only the features of the chosen rows come to the driver. The prior is the share of toxic rows among the
+    labelled ones. Rows with null text or label, and labels of unknown rows, play no part; with no positive rows the
+    model has its prior alone.
     """
     learn = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -129,14 +133,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     total = rows.count()
     draw = lambda salt, most, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))
-
-    def words(part: DataFrame) -> pd.DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                yield pd.DataFrame({"kind": x["kind"], "words": list(map(words_of, x["text"]))})
-
-        return part.select("kind", "text").mapInPandas(run, "kind int, words array<long>").toPandas()
-
     kinds = F.array_compact(
         F.array(
             F.when((F.col("toxic") == 1) & draw(1, POSITIVES, one), 1),
@@ -146,10 +142,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         )
     )
     chosen = learn.where(((F.col("toxic") == 1) & (draw(1, POSITIVES, one) | draw(3, CALIBRATION, one))) | ((F.col("toxic") == 0) & draw(4, CALIBRATION, zero)))
-    got = words(rows.join(chosen, "doc_id", "left").select("text", F.explode(kinds).alias("kind")))
+    sample = cut(rows.join(chosen, "doc_id", "left").select("text", F.explode(kinds).alias("kind")))
+    n = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for kind, part in x.groupby("kind"):
+                ids, k = np.unique(np.concatenate(list(map(words_of, part["text"]))), return_counts=True)
+                yield pd.DataFrame({"kind": kind, "word": ids, "n": k})
+
+    by = sample.where("kind <= 2").mapInPandas(tally, "kind int, word long, n long").groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("u"))
+    far = stands_out(F.col("p"), F.col("u"), n.get(1, 0), n.get(2, 0))
+    best = by.where("p >= 3").select("word", far.alias("far")).where(F.col("far") >= LEAST).orderBy(F.desc("far"), "word").limit(FEATURES)
+    vocabulary = np.sort(np.array([r["word"] for r in best.collect()], np.int64))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [(w := words_of(t))[np.isin(w, vocabulary)] for t in x["text"]]
+            yield pd.DataFrame({"kind": x["kind"], "words": found})
+
+    got = sample.mapInPandas(known, "kind int, words array<long>").toPandas()
     of = {k: [np.asarray(w, np.int64) for w in got["words"][got["kind"] == k]] for k in (1, 2, 3, 4)}
     prior = min(0.9, max(1e-4, one / max(one + zero, 1)))
-    model = fit(of[1], of[2], prior)
+    model = fit(vocabulary, of[1], of[2], prior)
     if of[3] and of[4]:
         y = np.concatenate([np.ones(len(of[3])), np.zeros(len(of[4]))])
         w = np.concatenate([np.full(len(of[3]), one / len(of[3])), np.full(len(of[4]), zero / len(of[4]))])
