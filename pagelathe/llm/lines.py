@@ -16,7 +16,8 @@ WIDTH = 32
 def split_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no, line, line_id) of the lines that take part. Lines end at line feeds; null texts have none."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return lines.where(F.char_length("line") >= least).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary"))))
+    # the test for null, which joins would put in anyway, makes all uses of the lines one plan, so that their exchange is one
+    return lines.where(F.char_length("line") >= least).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary")))).where("line_id IS NOT NULL")
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -77,35 +78,33 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     by one row and updates all of them with a few bit operations.
     """
     full = (1 << WIDTH) - 1
-    mask = F.lit(full).cast("long")
-    p, t = F.split(a, ""), F.split(b, "")
-    long_, short = F.char_length(a), F.char_length(b)
-    top = WIDTH - 1
+    mask, top = F.lit(full).cast("long"), WIDTH - 1
     first = F.lit(full ^ ((1 << (WIDTH - edits - 1)) - 1)).cast("long")
     start = F.struct(first.alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("long").alias("d"), F.lit(0).alias("j"))
     bits = lambda x, k: F.call_function("shiftrightunsigned", x, k)
 
-    def step(s: Column, c: Column) -> Column:
-        j, vp, vn = s["j"], s["vp"], s["vn"]
+    def step(env: Column, s: Column, c: Column) -> Column:
+        p, j, vp, vn = env["p"], s["j"], s["vp"], s["vn"]
         eq = F.lit(0).cast("long")
         for o in range(-edits, edits + 1):
-            at = j + o
-            same = (at >= 0) & (at < long_) & (F.get(p, at) == c)
-            eq = eq.bitwiseOR(F.when(same, F.lit(1 << (top - edits + o)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return _let(eq, lambda e: _let((e.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(mask), lambda d0: after(s, d0)))
+            eq = eq.bitwiseOR(F.when(F.get(p, j + o) == c, F.lit(1 << (top - edits + o)).cast("long")).otherwise(F.lit(0).cast("long")))
+        return _let(eq, lambda e: _let((e.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(mask), lambda d0: after(env, s, d0)))
 
-    def after(s: Column, d0: Column) -> Column:
-        j, vp, vn = s["j"], s["vp"], s["vn"]
+    def after(env: Column, s: Column, d0: Column) -> Column:
+        j, vp, vn, over = s["j"], s["vp"], s["vn"], s["j"] - (env["n"] - edits)
         hp = vn.bitwiseOR(d0.bitwiseOR(vp).bitwiseXOR(mask))
         hn = d0.bitwiseAND(vp)
         x = bits(d0, F.lit(1))
         # the score follows the lowest diagonal until it meets the end of the longer string, then that string's last row
-        row = F.greatest(F.lit(top - 1) - (j - (long_ - edits)), F.lit(0))
+        row = F.greatest(F.lit(top - 1) - over, F.lit(0))
         along = bits(hp, row).bitwiseAND(F.lit(1)) - bits(hn, row).bitwiseAND(F.lit(1))
-        d = s["d"] + F.when(j < long_ - edits, F.lit(1) - bits(d0, F.lit(top)).bitwiseAND(F.lit(1))).otherwise(along)
+        d = s["d"] + F.when(over < 0, F.lit(1) - bits(d0, F.lit(top)).bitwiseAND(F.lit(1))).otherwise(along)
         return F.struct(hn.bitwiseOR(x.bitwiseOR(hp).bitwiseXOR(mask)).alias("vp"), x.bitwiseAND(hp).alias("vn"), d.alias("d"), (j + 1).alias("j"))
 
-    return F.when(F.abs(long_ - short) <= edits, F.aggregate(t, start, step, lambda s: s["d"])).otherwise(F.lit(edits + 1).cast("long"))
+    # the longer string's characters are bound once: within the fold's lambda they would be split again at each step
+    env = F.struct(F.split(a, "").alias("p"), F.char_length(a).alias("n"))
+    found = _let(env, lambda e: F.aggregate(F.split(b, ""), start, lambda s, c: step(e, s, c), lambda s: s["d"]))
+    return F.when(F.char_length(a) - F.char_length(b) <= edits, found).otherwise(F.lit(edits + 1).cast("long"))
 
 
 def near_links(first: DataFrame, edits: int = EDITS) -> DataFrame:
