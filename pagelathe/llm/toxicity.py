@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,27 +68,38 @@ def stands_out(positives: F.Column, unlabelled: F.Column, n_positive: int, n_unl
     return (positives - n_positive * share) / F.sqrt(n_positive * share * (1 - F.least(share, F.lit(0.999))) + 0.25)
 
 
-def fit(vocabulary: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15) -> Model:
+@dataclass
+class Rows:
+    """Texts as (text, feature) number pairs."""
+
+    text: np.ndarray
+    feature: np.ndarray
+    n: int
+
+    def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Weights of each text's features, summed."""
+        return bias + np.bincount(self.text, weights[self.feature], self.n)
+
+
+def fit(vocabulary: np.ndarray, positive: Rows, unlabelled: Rows, prior: float, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15) -> Model:
     """Minimise the class-prior-corrected risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by full-batch Adam.
 
     Where the second part, which estimates the risk on negatives, falls below 0, the step goes up its own gradient, as
     non-negative PU learning has it.
     """
     model = Model(vocabulary, np.zeros(len(vocabulary)), float(np.log(prior / (1 - prior))))
-    if not positive or not unlabelled:
+    if not positive.n or not unlabelled.n:
         return model
-    (pd_, pf), (ud, uf) = model.find(positive), model.find(unlabelled)
-    np_, nu, k = len(positive), len(unlabelled), len(model.vocabulary)
+    k = len(model.vocabulary)
     theta, m, v = np.append(model.weights, model.bias), np.zeros(k + 1), np.zeros(k + 1)
 
-    def gradient(doc: np.ndarray, feat: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(feat, g[doc], k), g.sum())
+    def gradient(rows: Rows, g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(rows.feature, g[rows.text], k), g.sum())
 
     for t in range(1, rounds + 1):
-        zp = theta[k] + np.bincount(pd_, theta[pf], np_)
-        zu = theta[k] + np.bincount(ud, theta[uf], nu)
-        up = gradient(pd_, pf, -_sigmoid(-zp) * prior / np_)  # log loss of positives as positives
-        down = gradient(ud, uf, _sigmoid(zu) / nu) - gradient(pd_, pf, _sigmoid(zp) * prior / np_)
+        zp, zu = positive.logits(theta, theta[k]), unlabelled.logits(theta, theta[k])
+        up = gradient(positive, -_sigmoid(-zp) * prior / positive.n)  # log loss of positives as positives
+        down = gradient(unlabelled, _sigmoid(zu) / unlabelled.n) - gradient(positive, _sigmoid(zp) * prior / positive.n)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g = up + down if negative_risk >= 0 else -down
         g[:k] += l2 * theta[:k]
@@ -98,9 +110,9 @@ def fit(vocabulary: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.
     return model
 
 
-def calibrate(model: Model, words: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Model:
+def calibrate(model: Model, logits: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Model:
     """Scale and shift of the log-odds by weighted logistic regression on labelled rows (Newton steps)."""
-    z = np.clip(model.logits(words), -20, 20)
+    z = np.clip(logits, -20, 20)
     x = np.stack([z, np.ones_like(z)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(30):
@@ -142,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         )
     )
     chosen = learn.where(((F.col("toxic") == 1) & (draw(1, POSITIVES, one) | draw(3, CALIBRATION, one))) | ((F.col("toxic") == 0) & draw(4, CALIBRATION, zero)))
-    sample = cut(rows.join(chosen, "doc_id", "left").select("text", F.explode(kinds).alias("kind")))
+    # the chosen ids are POSITIVES + 2 * CALIBRATION at about, so they go to the texts, which then need no shuffle
+    sample = cut(rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.explode(kinds).alias("kind")))
     n = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,17 +171,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [(w := words_of(t))[np.isin(w, vocabulary)] for t in x["text"]]
-            yield pd.DataFrame({"kind": x["kind"], "words": found})
+            found = [np.searchsorted(vocabulary, (w := words_of(t))[np.isin(w, vocabulary)]).astype(np.int32) for t in x["text"]]
+            yield pd.DataFrame({"kind": x["kind"], "features": found})
+
+    got = sample.mapInPandas(known, "kind int, features array<int>").toArrow()
+
+    def rows_of(kind: int) -> Rows:
+        own = pc.filter(got["features"], pc.equal(got["kind"], kind)).combine_chunks()
+        return Rows(np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy())), own.flatten().to_numpy(), len(own))
 
-    got = sample.mapInPandas(known, "kind int, words array<long>").toPandas()
-    of = {k: [np.asarray(w, np.int64) for w in got["words"][got["kind"] == k]] for k in (1, 2, 3, 4)}
     prior = min(0.9, max(1e-4, one / max(one + zero, 1)))
-    model = fit(vocabulary, of[1], of[2], prior)
-    if of[3] and of[4]:
-        y = np.concatenate([np.ones(len(of[3])), np.zeros(len(of[4]))])
-        w = np.concatenate([np.full(len(of[3]), one / len(of[3])), np.full(len(of[4]), zero / len(of[4]))])
-        calibrate(model, of[3] + of[4], y, w / w.mean())
+    model = fit(vocabulary, rows_of(1), rows_of(2), prior)
+    toxic, clean = rows_of(3), rows_of(4)
+    if toxic.n and clean.n:
+        logits = np.concatenate([r.logits(model.weights, model.bias) for r in (toxic, clean)])
+        y = np.repeat([1.0, 0.0], [toxic.n, clean.n])
+        w = np.repeat([one / toxic.n, zero / clean.n], [toxic.n, clean.n])
+        calibrate(model, logits, y, w / w.mean())
     return model
 
 
