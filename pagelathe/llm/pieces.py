@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encoding is kept between batches, and pairs whose verdict is, at most.
-KEPT, PAIRS = 400_000, 2_000_000
+KEPT, PAIRS = 300_000, 500_000
 UNKNOWN = -1
 
 
@@ -124,8 +124,18 @@ class Vocabulary:
                 ids = [*self._run(marks), *ids]
             known[w] = tuple(ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Identifiers of each text."""
+    def encode(self, texts: list[str], chars: int = 1 << 20) -> list[np.ndarray]:
+        """Identifiers of each text; the words of about `chars` characters are held at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= chars:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         find = re.compile(f"[{self.splits}]|{MARK}+[^{MARK}{self.splits}]*|[^{MARK}{self.splits}]+" if self.splits else f"{MARK}+[^{MARK}]*").findall
         words = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         fresh = set(chain.from_iterable(words))
