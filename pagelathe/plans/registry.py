@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pagelathe.plans import conversations, files, logs, pages, rects, stores  # noqa: F401  they register their queries
+from pagelathe.plans.catalog import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from pagelathe.sources.tables import table
-
-FLAGSHIP = "x20_line_numbers"
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query, and its SQL where SQL can express it."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return put
-
-
-@register("x20_line_numbers", "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, length(text) // 4 AS est_tokens FROM documents")
-def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and estimated tokens of each document."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "length(text) - length(replace(text, '\\n', '')) + 1 AS n_lines", "length(text) div 4 AS est_tokens")
+FLAGSHIP = "tag_counts"
 
 
 def queries() -> dict[str, Query]:
     """Query name -> function."""
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
-    return dict(_SQL)
+    return dict(SQL)
