@@ -72,6 +72,22 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"pipeline": corpus_pipeline.run}
 
 
+LINES_SQL = f"""
+WITH o AS (SELECT * FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(line) >= {lines.LEAST}),
+f AS (SELECT line, min({{'d': doc_id, 'l': line_no}}) AS place, length(line) AS n FROM o GROUP BY line),
+links AS (SELECT a.line AS x, b.line AS y FROM f a JOIN f b ON b.n BETWEEN a.n AND a.n + {lines.EDITS} AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= {lines.EDITS}),
+near AS (SELECT x, count(*) AS n_links, min(place) AS near FROM (SELECT x, y FROM links UNION SELECT y, x FROM links) JOIN f ON f.line = y GROUP BY x),
+best AS (SELECT f.line, place, coalesce(n_links, 0) AS n_links, CASE WHEN near < place THEN near ELSE place END AS best FROM f LEFT JOIN near ON near.x = f.line)
+SELECT doc_id, line_no, best.best.d AS first_doc, best.best.l AS first_line, n_links, doc_id = best.best.d AND line_no = best.best.l AS kept FROM o JOIN best USING (line)
+"""
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)) WHERE NOT isnan(c) AND c >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Query name -> DuckDB SQL."""
-    return {}
+    """Query name -> DuckDB SQL, where SQL can express it: brute force over all pairs for the two joins."""
+    return {"op2_lines": LINES_SQL, "op8_covertree": VECTORS_SQL}
