@@ -88,7 +88,9 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         eq = F.lit(0).cast("long")
         for o in range(-edits, edits + 1):
             eq = eq.bitwiseOR(F.when(F.get(p, j + o) == c, F.lit(1 << (top - edits + o)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return _let(eq, lambda e: _let((e.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(mask), lambda d0: after(env, s, d0)))
+        moved = _let(eq, lambda e: _let((e.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(mask), lambda d0: after(env, s, d0)))
+        # along the diagonal the score never falls, along the last row by `edits` at most: beyond twice that it stays too large
+        return F.when(s["d"] > 2 * edits, s).otherwise(moved)
 
     def after(env: Column, s: Column, d0: Column) -> Column:
         j, vp, vn, over = s["j"], s["vp"], s["vn"], s["j"] - (env["n"] - edits)
@@ -102,11 +104,32 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         return F.struct(hn.bitwiseOR(x.bitwiseOR(hp).bitwiseXOR(mask)).alias("vp"), x.bitwiseAND(hp).alias("vn"), d.alias("d"), (j + 1).alias("j"))
 
     # the longer string's characters are bound once: within the fold's lambda they would be split again at each step
-    env = F.struct(F.split(a, "").alias("p"), F.char_length(a).alias("n"))
-    found = _let(env, lambda e: F.aggregate(F.split(b, ""), start, lambda s, c: step(e, s, c), lambda s: s["d"]))
+    def fold(long_: Column, short: Column) -> Column:
+        env = F.struct(F.split(long_, "").alias("p"), F.char_length(long_).alias("n"))
+        return _let(env, lambda e: F.aggregate(F.split(short, ""), start, lambda s, c: step(e, s, c), lambda s: s["d"]))
+
+    found = _let(_core(F.struct(a.alias("a"), b.alias("b")), edits), lambda c: fold(c["a"], c["b"]))
     return F.when(F.char_length(a) - F.char_length(b) <= edits, found).otherwise(F.lit(edits + 1).cast("long"))
 
 
+def _core(pair: Column, spare: int) -> Column:
+    """A struct of two strings a and b without what they share at the start, but for `spare` characters, and at the end: by halving steps, so a few comparisons of parts settle each side. The distance stays the same."""
+    steps = F.array(*(F.lit(1 << k) for k in range(15, -1, -1)))
+
+    def shared(x: Column, part) -> Column:
+        most = F.least(F.char_length(x["a"]), F.char_length(x["b"]))
+        return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= most) & (part(x["a"], n + k) == part(x["b"], n + k)), n + k).otherwise(n))
+
+    def without_start(x: Column) -> Column:
+        return _let(F.greatest(shared(x, F.left) - spare, F.lit(0)), lambda n: F.struct(*(F.substring(x[c], n + 1, F.char_length(x[c])).alias(c) for c in "ab")))
+
+    def without_end(x: Column) -> Column:
+        rest = _let(F.struct(*(F.substring(x[c], F.lit(spare + 1), F.char_length(x[c])).alias(c) for c in "ab")), lambda r: shared(r, F.right))
+        return _let(rest, lambda n: F.struct(*(F.left(x[c], F.char_length(x[c]) - n).alias(c) for c in "ab")))
+
+    return _let(pair, lambda x: _let(without_start(x), without_end))
+
+
 def near_links(first: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): the ids of distinct lines within `edits` edits, a before b in no order of meaning, each pair once.
 
