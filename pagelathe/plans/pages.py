@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
-from pagelathe.operators import elements, tree
+from pagelathe.operators import elements, summary, tree
 from pagelathe.plans.catalog import register
 from pagelathe.sources.tables import table
 
@@ -244,3 +244,39 @@ def css_rules(spark, d):
 def tech_evidence(spark, d):
     """Technologies by points over scripts, classes and data attributes."""
     return tree.technologies(elements.flatten(pages(spark, d)), X.EVIDENCE)
+
+
+@register("dom_main_content")
+def dom_main_content(spark, d):
+    """Where each page's content starts."""
+    return summary.main_content(elements.flatten(pages(spark, d)))
+
+
+@register("dom_skeletons")
+def dom_skeletons(spark, d):
+    """Outlines of pages."""
+    return summary.skeletons(elements.flatten(pages(spark, d)))
+
+
+@register("dom_visible_text")
+def dom_visible_text(spark, d):
+    """What a page shows."""
+    return summary.visible_text(elements.flatten(pages(spark, d)))
+
+
+@register("dom_landmarks")
+def dom_landmarks(spark, d):
+    """Landmarks of pages."""
+    return summary.landmarks(elements.flatten(pages(spark, d)))
+
+
+@register("dom_split_sections")
+def dom_split_sections(spark, d):
+    """Sections of bounded size."""
+    return tree.valid_sections(elements.flatten(pages(spark, d)), 1000, 20)
+
+
+@register("dom_snapshot")
+def dom_snapshot(spark, d):
+    """Compact rows of a page's upper levels."""
+    return summary.snapshot(elements.own_attributes(elements.flatten(pages(spark, d)))).select("page_id", "node_id", "tag", F.map_entries("attributes").alias("attributes"), "text")
