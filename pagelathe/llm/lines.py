@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 #: Edits within which two lines are near, and the least number of characters of a line that takes part.
 EDITS, LEAST = 2, 24
-#: Letters whose counts, clipped to eight bits, guard the join.
-LETTERS = ("e", "n", "t", "a", "i", "o", "r")
+#: Groups of characters whose counts guard the join.
+GROUPS = ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", " ,.")
 WIDTH = 32
 
 
@@ -36,7 +36,7 @@ def key_plan(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keys(first: DataFrame, edits: int) -> DataFrame:
-    """(key, lid, letters) of distinct lines: a key stands for the length, number and text of a segment; the top byte of letters is 1 on a line's own segments.
+    """(key, lid, letters) of distinct lines: a key stands for the length, number and text of a segment; the top bit of letters is set on a line's own segments.
 
     The plan's entries are exploded before the keys are made, so one short expression serves them all.
     """
@@ -48,22 +48,27 @@ def keys(first: DataFrame, edits: int) -> DataFrame:
     rows = rows.withColumn("wide", F.lit(parts) - (F.col("m") - F.col("short") * parts))
     rows = rows.select("line", "lid", "n", "letters", "i", "m", "d", (F.col("i") * F.col("short") + F.greatest(F.col("i") - F.col("wide"), F.lit(0)) + 1 + F.col("d")).alias("at"), (F.col("short") + (F.col("i") >= F.col("wide")).cast("int")).alias("size"))
     rows = rows.where("at >= 1 AND at + size - 1 <= n")
-    own = F.when((F.col("d") == 0) & (F.col("m") == F.col("n")), F.lit(1 << 56)).otherwise(F.lit(0)).cast("long")
+    own = F.when((F.col("d") == 0) & (F.col("m") == F.col("n")), F.lit(-(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
     return rows.select(F.xxhash64("m", "i", F.expr("substring(line, at, size)")).alias("key"), "lid", F.col("letters").bitwiseOR(own).alias("letters"))
 
 
 def letter_counts() -> Column:
-    """The counts of LETTERS, 255 at most each, in the bytes of a long."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        count = F.least(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit(""))), F.lit(255)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
+    """In a long the counts of GROUPS, each modulo 16, and above them the length modulo 128."""
+    n = F.char_length("line")
+    out = F.shiftleft(n.bitwiseAND(F.lit(127)).cast("long"), 56)
+    for k, group in enumerate(GROUPS):
+        out = out.bitwiseOR(F.shiftleft((n - F.char_length(F.translate("line", group, ""))).bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return out
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
-    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(1, len(LETTERS))), F.abs(byte(a, 0) - byte(b, 0)))
+    """The sum of the differences of counts and lengths, each the shorter way around its modulus, so at most the true one. An edit adds 2 at most: a substitution changes two counts, an insertion or deletion one count and the length."""
+
+    def apart(shift: int, mask: int) -> Column:
+        x, y = (F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(mask)) for c in (a, b))
+        return F.least((x - y).bitwiseAND(F.lit(mask)), (y - x).bitwiseAND(F.lit(mask)))
+
+    return sum((apart(4 * k, 15) for k in range(len(GROUPS))), apart(56, 127))
 
 
 def _let(value: Column, f) -> Column:
@@ -140,7 +145,7 @@ def near_links(first: DataFrame, edits: int = EDITS) -> DataFrame:
     rows = keys(first, edits)
     left, right = rows.toDF("key", "a", "la"), rows.toDF("key", "b", "lb")
     # the test for a line's own segment is bound to the other side's letters, so that it stays in the join and both sides read one exchange
-    own = F.shiftrightunsigned("la", 56) * 4096 - _letters_apart(F.col("la"), F.col("lb")) >= 4096 - 2 * edits
+    own = F.shiftrightunsigned("la", 63) * 4096 - _letters_apart(F.col("la"), F.col("lb")) >= 4096 - 2 * edits
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & own)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ids = first.select(F.xxhash64("line").alias("lid"), "line_id")
