@@ -8,14 +8,15 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose encoding is kept between batches, and pairs whose verdict is, at most.
-KEPT, PAIRS = 300_000, 500_000
+#: Words whose encoding is kept between batches, and pairs whose verdict is, at most; rows handed on at a time.
+KEPT, PAIRS, ROWS = 150_000, 300_000, 500
 UNKNOWN = -1
 
 
@@ -205,12 +206,18 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        for t in texts:
-            ids = v.encode([x or "" for x in t])
-            yield pd.DataFrame({"ids": ids, "decoded": list(map(v.decode, ids))})
-
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    return docs.select(*(F.col(f"`{c}`") for c in kept), run(F.col("text").cast("string")).alias("_pieces")).select(*(F.col(f"`{c}`") for c in kept), "_pieces.ids", "_pieces.decoded")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("_text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # what comes out of a batch is handed on in parts
+                part = batch.slice(at, ROWS)
+                ids = v.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(list(map(v.decode, ids)), pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
