@@ -162,22 +162,22 @@ def _stars(label: np.ndarray, node: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": node[at], "b": node[label[at]]})
 
 
-def _links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Spanning links within each key of rows (key, half, fp: bytes, node), sorted by key. Half 0 or 1: the rows of two different blocks, compared across; -1: all with all."""
-    key, half, node = rows["key"].to_numpy(), rows["half"].to_numpy(), rows["node"].to_numpy()
+def _labels(rows: pd.DataFrame, radius: int) -> np.ndarray:
+    """For each of the rows (key, half, fp: bytes), sorted by key, the first row reachable within its key. Half 0 or 1: the rows of two different blocks, compared across; -1: all with all."""
+    key, half = rows["key"].to_numpy(), rows["half"].to_numpy()
     fp = np.frombuffer(b"".join(rows["fp"]), U64).reshape(len(rows), -1)
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
-    out = []
+    out = np.arange(len(rows))
     small = np.repeat((size > 1) & (size <= 48) & (half[edge[:-1]] < 0), size)
     if small.any():
-        k, f, n = key[small], fp[small], node[small]
+        k, f, place = key[small], fp[small], np.flatnonzero(small)
         p, label, d = planes(f), np.arange(len(k)), 1
         while d < len(k) and (same := k[d:] == k[:-d]).any():
             hit = near_shift(p, d, _lanes(np.concatenate((same, np.zeros(d, bool)))), radius)
             label = join_labels(label, hit, hit + d)
             d += 1
-        out.append(_stars(label, n))
+        out[place] = place[label]
     for s, e in zip(edge[:-1][size > 1].tolist(), edge[1:][size > 1].tolist(), strict=True):
         if e - s <= 48 and half[s] < 0:
             continue
@@ -190,17 +190,12 @@ def _links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
             if len(a) and len(b):
                 for i, j in near_block(fp[s:e][a], fp[s:e][b], radius):
                     label = join_labels(label, a[i], b[j])
-        out.append(_stars(label, node[s:e]))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
+        out[s:e] = s + label
+    return out
 
-def link_keyed(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, b) between nodes whose fingerprints share a key and differ in at most `radius` bits.
 
-    keyed: key long, fp binary (whole 64-bit words), node long. Keys of more than `block` rows are dealt out as pairs
-    of blocks, so no task holds more than two blocks of a key, whatever its size; links come out as spanning forests,
-    never as all pairs.
-    """
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """keyed (key long, fp binary, node long and others) with half, sorted by key in each partition. Keys of more than `block` rows are dealt out as pairs of blocks, so no task holds more than two blocks of a key, whatever its size."""
     hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("parts"))
     rows = keyed.join(hot, "key", "left")
     part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))
@@ -209,26 +204,70 @@ def link_keyed(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     dealt = dealt.select(
         F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"),
         F.when((F.col("other") < 0) | (F.col("part") == F.col("other")), -1).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("half"),
-        "fp",
-        "node",
+        *(c for c in keyed.columns if c != "key"),
     )
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key")
+
+
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by key, cut anew so that each key's rows come together."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch["key"].iloc[-1]
+        start = int(np.argmax(batch["key"].to_numpy() == last))
+        if start or (held and held[-1]["key"].iloc[-1] != last):
+            yield pd.concat([*held, batch.iloc[:start]], ignore_index=True)
+            held = [batch.iloc[start:]]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def link_keyed(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Spanning links (a, b) between nodes whose fingerprints share a key and differ in at most `radius` bits.
+
+    keyed: key long, fp binary (whole 64-bit words), node long. Hot keys are dealt out as pairs of blocks; links come
+    out as spanning forests, never as all pairs.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = batch["key"].iloc[-1]
-            start = int(np.argmax(batch["key"].to_numpy() == last))
-            if start or (held and held[-1]["key"].iloc[-1] != last):
-                yield _links(pd.concat([*held, batch.iloc[:start]], ignore_index=True), radius)
-                held = [batch.iloc[start:]]
-            else:
-                held.append(batch)
-        if held:
-            yield _links(pd.concat(held, ignore_index=True), radius)
-
-    return dealt.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+        for rows in _whole_keys(batches):
+            yield _stars(_labels(rows, radius), rows["node"].to_numpy())
+
+    return _dealt(keyed, block).mapInPandas(run, "a long, b long")
+
+
+def _similar(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Spanning links, within each key of rows (key, node, shingles: bytes of distinct 64-bit hashes), of the pairs whose sets have at least the Jaccard similarity. Pairs that other links join already are not compared."""
+    key, node = rows["key"].to_numpy(), rows["node"].to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    out = []
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if e - s < 2:
+            continue
+        sets = [np.frombuffer(x, U64) for x in rows["shingles"].iloc[s:e]]
+        size = np.fromiter(map(len, sets), np.int64, e - s)
+        vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(ids.astype(np.int32), np.cumsum(size)[:-1])
+        mark, label = np.zeros(len(vocabulary), np.int64), np.arange(e - s)
+        for i in range(e - s - 1):
+            fits = np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9
+            at = i + 1 + np.flatnonzero(fits & (label[i + 1 :] != label[i]) & (size[i + 1 :] > 0))
+            # some sets at a time, so that long texts are never gathered all at once
+            for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) >> 22)) + 1) if len(at) else ():
+                mark[own[i]] = 1
+                starts = np.concatenate(([0], np.cumsum(size[part])[:-1]))
+                both = np.add.reduceat(mark[np.concatenate([own[j] for j in part.tolist()])], starts)
+                mark[own[i]] = 0
+                hit = part[both / (size[i] + size[part] - both) >= similarity]
+                if len(hit):
+                    joined = np.unique(np.append(label[hit], label[i]))
+                    label[np.isin(label, joined)] = joined[0]
+        out.append(_stars(label, node[s:e]))
+    return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,44 +312,72 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, chosen: in
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: 64-bit parts of the wider fingerprint, and minima by which texts meet.
-PARTS, MINIMA = 4, 5
+#: 64-bit parts of the wider fingerprint, minima by which texts meet, and rows of a block whose shingle sets one task holds.
+PARTS, MINIMA, SETS = 4, 8, 1024
 
 
-def radius_of(similarity: float, bits: int = 64 * PARTS, margin: float = 1.25) -> int:
-    """Differing bits within which sets of at least this Jaccard similarity lie, `margin` standard deviations above the mean of those at it."""
+def radius_of(similarity: float, bits: int = 64 * PARTS, margin: float = 6) -> int:
+    """Differing bits within which sets of at least this Jaccard similarity lie, `margin` standard deviations above the mean of those at it. The margin is wide as sets of a few shingles lie further apart than the angle says."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     return ceil(bits * p + margin * (bits * p * (1 - p)) ** 0.5 - 1)
 
 
 def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """The fingerprint of a shingle set, 64 * PARTS bits, and its minima under MINIMA hash functions."""
-    h = np.unique(h)
+    """The fingerprint of a set of distinct shingles, 64 * PARTS bits, and its minima under MINIMA hash functions."""
     fp = np.array([majority(mix(h, k)) for k in range(PARTS)], U64).tobytes()
     low = [int((mix(h, 100 + k)).min()) if len(h) else k for k in range(MINIMA)]
     return fp, np.array(low, U64).view(np.int64).tolist()
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each distinct doc_id and fingerprint: groups of texts whose sets of word shingles are similar.
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = SETS) -> DataFrame:
+    """(doc_id, component_id) of each distinct doc_id and shingle set: groups of texts whose sets of word shingles are similar.
 
     Texts meet in blocks by any of MINIMA least hashes, of which a pair at the similarity shares at least one with
-    probability 1 - (1 - similarity)^MINIMA (0.9997 at 0.8), and are compared there bit-sliced on wide fingerprints,
-    whose angle estimates the similarity (see radius_of); texts without words are alike. Rows that share a doc_id are
-    one document. Rows with a null doc_id group only with rows that have one.
+    probability 1 - (1 - similarity)^MINIMA (0.999997 at 0.8). The bit-sliced comparison of wide fingerprints only
+    leaves out pairs that are far apart (see radius_of); of the texts it leaves, the shingle sets are compared, and
+    these alone make links. Texts without words are alike. Rows that share a doc_id are one document. Rows with a null
+    doc_id group only with rows that have one.
     """
 
+    def sets_of(texts: pd.Series) -> list[np.ndarray]:
+        return [np.unique(shingle_hashes(t, words)) for t in texts]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = [wide_fingerprint(shingle_hashes(t, words)) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": [f for f, _ in made], "low": [k for _, k in made]})
-
-    marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp binary, low array<long>"))
-    one = marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("low").alias("low"))
-    keyed = one.where("node IS NOT NULL").select(F.posexplode("low").alias("k", "key"), "fp", "node").select(F.xxhash64("k", "key").alias("key"), "fp", "node")
-    groups = components(link_keyed(keyed, radius_of(similarity)))
-    named = one.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.select("doc_id", "fp").distinct().join(named, "fp", "left").select("doc_id", "component_id")
+            fp, low, same = [], [], []
+            for h in (np.unique(shingle_hashes(t, words)) for t in x["text"]):
+                f, k = wide_fingerprint(h)
+                fp.append(f), low.append(k), same.append(xxhash.xxh128_digest(h.tobytes(), 42))
+            yield pd.DataFrame({"doc_id": x["doc_id"], "same": same, "fp": fp, "low": low})
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_keys(batches):
+            label = _labels(rows, radius)
+            at = np.flatnonzero(np.bincount(label, minlength=len(rows))[label] > 1)
+            yield pd.DataFrame({"key": rows["key"].to_numpy()[at], "lead": rows["node"].to_numpy()[label[at]], "node": rows["node"].to_numpy()[at], "same": rows["same"].to_numpy()[at]})
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for s in range(0, len(x), 256):  # sets are larger than texts, so they leave in parts
+                sets = sets_of(x["text"].iloc[s : s + 256])
+                yield pd.DataFrame({"same": [xxhash.xxh128_digest(h.tobytes(), 42) for h in sets], "shingles": [h.tobytes() for h in sets]})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_keys(batches):
+            yield _similar(rows, similarity)
+
+    radius = radius_of(similarity)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = cut(texts.mapInPandas(run, "doc_id long, same binary, fp binary, low array<long>"))
+    one = marked.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("low").alias("low"))
+    keyed = one.where("node IS NOT NULL").select(F.posexplode("low").alias("k", "key"), "fp", "node", "same").select(F.xxhash64("k", "key").alias("key"), "fp", "node", "same")
+    found = cut(_dealt(keyed, block).mapInPandas(near, "key long, lead long, node long, same binary"))
+    wanted = texts.join(found.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.mapInPandas(shingles, "same binary, shingles binary").dropDuplicates(["same"])
+    rows = found.select(F.xxhash64("key", "lead").alias("key"), "node", "same").join(sets, "same").select("key", "node", "shingles")
+    groups = components(rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(check, "a long, b long"))
+    named = one.select("same", "node").join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("doc_id", "same").distinct().join(named, "same", "left").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -159,6 +159,30 @@ def test_wide_groups(spark):
     assert len(set(range(0, 180, 3)) - set(kept)) == 0 and len(kept) <= 63
 
 
+@pytest.mark.parametrize(("n", "block"), [(4, 1024), (40, 1024), (200, 1024), (40, 16)])
+def test_near_groups_at_the_similarity(spark, n, block):
+    """Pairs right at and right below 0.8, of short and long texts: five-word shingles, brute force."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(n + 4)]
+        more = n // 4 if k % 2 else n // 4 + 1  # n of n + more shingles are shared: 0.8, or less
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [word() for _ in range(more)]))]
+    if block < 1024:  # one chain in hot keys
+        base = [word() for _ in range(300)]
+        rows += [(1000 + i, " ".join(base[: 300 - i])) for i in range(80)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == label
+
+
 def test_mixing(spark, sf):
     got = R.op1_mixing(spark, sf).toPandas()
     docs = pd.read_parquet(f"{sf}/documents.parquet")
