@@ -13,16 +13,22 @@ GROUPS = ("e", "a", "n", "t", "i", "o", "r", "s", "h", "d", "l", "m", "c", "y")
 WIDTH = 32
 
 
-def split_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, line, line_id) of the lines that take part. Lines end at line feeds; null texts have none."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+def _tie() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def split_lines(docs: DataFrame, least: int = LEAST, tie: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, line_id), and tie if wanted, of the lines that take part. Lines end at line feeds; null texts have none."""
+    ties = [_tie().alias("tie")] if tie else []
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ties, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     # the test for null, which joins would put in anyway, makes all uses of the lines one plan, so that their exchange is one
     return lines.where(F.char_length("line") >= least).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary")))).where("line_id IS NOT NULL")
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
-    """The first row of each distinct line, by doc_id (null last), then line_no. The ranking starts before the shuffle, so a common line sends one row from each task."""
-    w = Window.partitionBy("line_id").orderBy(F.col("doc_id").asc_nulls_last(), "line_no")
+    """The first row of each distinct line, by doc_id (null last), then tie where there is one, then line_no. The ranking starts before the shuffle, so a common line sends one row from each task."""
+    w = Window.partitionBy("line_id").orderBy(F.col("doc_id").asc_nulls_last(), *(c for c in ("tie", "line_no") if c in lines.columns))
     return lines.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
@@ -171,26 +177,36 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     tie, and one of them is kept; other columns play no part.
     """
     lines = split_lines(docs, least)
-    first = first_lines(lines)
+    out = _placed(lines, first_lines(lines), edits)
+    return out.select("doc_id", "line_no", F.col("best")["doc"].alias("first_doc"), F.col("best")["line"].alias("first_line"), "n_links", "kept")
+
+
+def _placed(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """lines with best (the place where its line or a near one first comes), n_links and kept. first: first_lines() of them. Places are doc_id, tie where there is one, and line_no."""
+    ties = [c for c in ("tie",) if c in lines.columns]
     links = near_links(first, edits)
     both = links.select("a", "b").union(links.select("b", "a"))
-    place = first.select("line_id", F.col("doc_id").alias("own_doc"), F.col("line_no").alias("own_line"))
-    order = lambda doc, line: F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(line).alias("line"))
-    other = both.join(place.select(F.col("line_id").alias("b"), order("own_doc", "own_line").alias("place")), "b")
+    own = [F.col("doc_id").alias("own_doc"), *(F.col(c).alias("own_tie") for c in ties), F.col("line_no").alias("own_line")]
+    place = first.select("line_id", *own)
+    order = F.struct(F.col("own_doc").isNull().alias("none"), F.col("own_doc").alias("doc"), *(F.col("own_tie").alias(c) for c in ties), F.col("own_line").alias("line"))
+    other = both.join(place.select(F.col("line_id").alias("b"), order.alias("place")), "b")
     near = other.groupBy("a").agg(F.count("*").alias("n_links"), F.min("place").alias("near"))
     of = place.join(near.withColumnRenamed("a", "line_id"), "line_id", "left")
-    best = F.when(F.col("near") < order("own_doc", "own_line"), F.col("near")).otherwise(order("own_doc", "own_line"))
-    of = of.select("line_id", "own_doc", "own_line", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), best.alias("best"))
-    out = lines.select("doc_id", "line_no", "line_id").join(of, "line_id")
+    best = F.when(F.col("near") < order, F.col("near")).otherwise(order)
+    of = of.select("line_id", *(c for c in place.columns if c != "line_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), best.alias("best"))
+    out = lines.select("doc_id", *ties, "line_no", "line_id").join(of, "line_id")
     here = F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("line_no") == F.col("own_line"))
     same = F.col("best")["doc"].eqNullSafe(F.col("own_doc")) & (F.col("best")["line"] == F.col("own_line"))
-    return out.select("doc_id", "line_no", F.col("best")["doc"].alias("first_doc"), F.col("best")["line"].alias("first_line"), "n_links", (here & same).alias("kept"))
+    for c in ties:
+        here, same = here & (F.col(c) == F.col("own_tie")), same & (F.col("best")[c] == F.col("own_tie"))
+    return out.withColumn("kept", here & same)
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """`docs` without the lines that classes() doesn't keep; n_chars follows the text. A document that loses lines and has no other than blank ones left goes; all others stay, those with null or empty text too."""
-    gone = classes(docs, edits, least).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    """`docs` without the lines that equal or are near to one that comes before; n_chars follows the text. A document that loses lines and has no other than blank ones left goes; all others stay, those with null or empty text too. Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, lose their own repeats alone; rows that repeat both tie, and keep the same lines."""
+    lines = split_lines(docs, least, tie=True)
+    gone = _placed(lines, first_lines(lines), edits).where(~F.col("kept")).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
+    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_tie() == F.col("_tie")), "left").drop("_doc", "_tie")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k)), "\n")
     out = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     out = out.where(F.col("_gone").isNull() | (F.col("_left").rlike(r"\S")))

@@ -264,6 +264,14 @@ def test_line_dedup_texts(spark):
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == {1: f"{a}\nshort\n{b}", 2: f"{c}\nshort", 4: "short"}
 
 
+def test_line_dedup_shared_ids(spark):
+    """Rows without doc_id, or that share one, lose their own repeated lines alone."""
+    say = lambda x: f"{x} is a line that is long enough {x * 9}"
+    rows = [(1, say("a")), (None, f"{say('b')}\n{say('c')}"), (None, f"{say('a')}\n{say('d')}"), (None, f"{say('e')}\n{say('a')}"), (None, f"{say('f')}\n{say('g')}"), (7, f"{say('h')}\n{say('i')}"), (7, f"{say('h')}\n{say('j')}"), (7, f"{say('a')}\n{say('k')}")]
+    got = [r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for t in got for x in t.split("\n")) == sorted(map(say, "abcdefghijk")) and len(got) == 8
+
+
 def brute_spans(text):
     out = []
     letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
