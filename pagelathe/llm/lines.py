@@ -18,12 +18,13 @@ def _tie() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def split_lines(docs: DataFrame, least: int = LEAST, tie: bool = False) -> DataFrame:
-    """(doc_id, line_no, line, line_id), and tie if wanted, of the lines that take part. Lines end at line feeds; null texts have none."""
+def split_lines(docs: DataFrame, least: int = LEAST, tie: bool = False, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, line_id), and tie if wanted, of the lines that take part: those of at least `least` characters, with `short` also shorter ones that aren't blank. Lines end at line feeds; null texts have none."""
     ties = [_tie().alias("tie")] if tie else []
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ties, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     # the test for null, which joins would put in anyway, makes all uses of the lines one plan, so that their exchange is one
-    return lines.where(F.char_length("line") >= least).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary")))).where("line_id IS NOT NULL")
+    part = F.char_length("line") >= least
+    return lines.where(part | F.col("line").rlike(r"\S") if short else part).withColumn("line_id", F.unhex(F.md5(F.col("line").cast("binary")))).where("line_id IS NOT NULL")
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -181,10 +182,10 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     return out.select("doc_id", "line_no", F.col("best")["doc"].alias("first_doc"), F.col("best")["line"].alias("first_line"), "n_links", "kept")
 
 
-def _placed(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
-    """lines with best (the place where its line or a near one first comes), n_links and kept. first: first_lines() of them. Places are doc_id, tie where there is one, and line_no."""
+def _placed(lines: DataFrame, first: DataFrame, edits: int, least: int | None = None) -> DataFrame:
+    """lines with best (the place where its line or a near one first comes), n_links and kept. first: first_lines() of them. Places are doc_id, tie where there is one, and line_no. With `least`, shorter lines have no near ones."""
     ties = [c for c in ("tie",) if c in lines.columns]
-    links = near_links(first, edits)
+    links = near_links(first if least is None else first.where(F.char_length("line") >= least), edits)
     both = links.select("a", "b").union(links.select("b", "a"))
     own = [F.col("doc_id").alias("own_doc"), *(F.col(c).alias("own_tie") for c in ties), F.col("line_no").alias("own_line")]
     place = first.select("line_id", *own)
@@ -202,10 +203,10 @@ def _placed(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     return out.withColumn("kept", here & same)
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """`docs` without the lines that equal or are near to one that comes before; n_chars follows the text. A document that loses lines and has no other than blank ones left goes; all others stay, those with null or empty text too. Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, lose their own repeats alone; rows that repeat both tie, and keep the same lines."""
-    lines = split_lines(docs, least, tie=True)
-    gone = _placed(lines, first_lines(lines), edits).where(~F.col("kept")).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+    """`docs` without the lines of at least `least` characters that equal or are near to one that comes before, and with `short` without shorter ones, blank ones aside, that equal one; n_chars follows the text. A document that loses lines and has no other than blank ones left goes; all others stay, those with null or empty text too. Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, lose their own repeats alone; rows that repeat both tie, and keep the same lines."""
+    lines = split_lines(docs, least, True, short)
+    gone = _placed(lines, first_lines(lines), edits, least if short else None).where(~F.col("kept")).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_tie() == F.col("_tie")), "left").drop("_doc", "_tie")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k)), "\n")
     out = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))

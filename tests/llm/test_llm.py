@@ -272,6 +272,13 @@ def test_line_dedup_shared_ids(spark):
     assert sorted(x for t in got for x in t.split("\n")) == sorted(map(say, "abcdefghijk")) and len(got) == 8
 
 
+def test_line_dedup_short_lines(spark):
+    """In the pipeline repeated short lines go, near and blank ones stay."""
+    a, b = "the first long line of the text", "the first long line of the next"
+    docs = spark.createDataFrame([(1, f"{a}\nshort\n \n\nshort"), (2, f"{b}\nshort\n \nshirt"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: f"{a}\nshort\n \n", 2: " \nshirt"}
+
+
 def brute_spans(text):
     out = []
     letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
