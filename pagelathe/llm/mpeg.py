@@ -138,16 +138,18 @@ def _tags(data: bytes) -> tuple[int, int]:
 
 
 def parse(data: bytes | None) -> Stream:
-    """Frames of a stream. After damage the next header is looked for that another one follows, or the end; frames whose checksum fails count as bad, and their bytes stay in the payload."""
+    """Frames of a stream. A trailing tag counts where a frame ends right before it. After damage the next header is looked for that another one follows, or the end; frames whose checksum fails count as bad, and their bytes stay in the payload."""
     data = data or b""
     out = Stream()
     at, length = _tags(data)
     out.tag_bytes, parts, n = min(at, len(data)), [], len(data)
-    end = n - 128 if data[-128:-125] == b"TAG" else n
+    end, tag = n, n - 128 if data[-128:-125] == b"TAG" else -1
     synced = False
     while at + 4 <= end:
+        if synced and at == tag:
+            break
         h = header(data[at : at + 4])
-        if h and (at + h.length > end or not synced and at + h.length < end and not header(data[at + h.length : at + h.length + 4])):
+        if h and (at + h.length > end or not synced and at + h.length not in (tag, end) and not header(data[at + h.length : at + h.length + 4])):
             h = None
         if not h:
             synced = False

@@ -370,6 +370,18 @@ def test_media():
     assert mpeg.parse(None).payload == b"" and mpeg.parse(b"\xff" * 100).samples == 0
 
 
+def test_media_tag():
+    """Text that looks like a trailing tag is payload; a tag after the last frame is none."""
+    for n in (192, 5000):
+        for k in range(max(0, n - 400), n - 3):
+            b = bytes(k) + b"TAG" + bytes(n - 3 - k)
+            m = mpeg.pack(b)
+            s = mpeg.parse(m)
+            assert s.payload == b and not s.skipped, k
+        t = mpeg.parse(m + b"TAG" + bytes(125))
+        assert t.payload == b and not t.skipped and t.offsets == s.offsets
+
+
 def test_media_query(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet").set_index("doc_id").text
     for r in R.op9_media(spark, sf).collect():
