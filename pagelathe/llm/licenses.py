@@ -81,8 +81,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 public domain dedication.",
     ),
 }
-#: Words one of which each template has; a paragraph without any can't be confirmed.
-CUES = ("licen[cs]e[ds]?", "licensing", "copyright", "permission", "permitted", "redistribute", "redistribution", "endorse", "warranties", "cc0")
+#: Words that a paragraph is looked through for first; cue_words() adds what the templates need besides.
+CUES = ("licen[cs]e[ds]?", "licensing", "copyright", "permission", "permitted", "redistribute", "redistribution", "endorse", "warranties", "cc0", "mit", "apache", "bsd", "gpl", "lgpl", "agpl", "gnu", "mozilla", "mpl", "cc", "commons")
+#: The least share of a template's n-grams that confirms a notice.
+CONFIRM = 0.6
 #: Sentences that name licences or their words without being a notice.
 OTHERS = (
     "Her driving license expired last week and she had to renew it.",
@@ -114,6 +116,21 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+@lru_cache(1)
+def cue_words() -> str:
+    """A pattern over lower-case text for words one of which each `CONFIRM` of a template's n-grams has: CUES, and of each template as many more, words of OTHERS last and long ones first, as leave less than that share of its n-grams without any."""
+    words, usual = list(CUES), {w for t in OTHERS for w in tokens(t)}
+    for t in (t for texts in TEMPLATES.values() for t in texts):
+        left = grams(tokens(t))
+        least = len(left) * CONFIRM - 1e-6
+        for w in (None, *sorted(set(tokens(t)), key=lambda w: (w in usual, -len(w), w))):
+            words += [w] if w else []
+            left = {g for g in left if not any(re.fullmatch("|".join(words), x) for x in g.split())}
+            if len(left) < least:
+                break
+    return "(?<![a-z0-9])(?:" + "|".join(dict.fromkeys(words)) + ")(?![a-z0-9])"
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by n-gram and family, biases, and the least probability that a family needs, else it is unknown."""
@@ -191,12 +208,11 @@ def _grams(words: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, line_no, words) of the distinct lines that have a cue word; tie tells texts of one doc_id apart."""
     text = F.col("text").cast("string")
-    cue = r"(?i)\b(?:" + "|".join(CUES) + r")\b"
-    lines = docs.where(text.rlike(cue)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(cue)).select("doc_id", "tie", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("words")).distinct()
+    lines = docs.where(F.lower(text).rlike(cue_words())).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    return lines.where(F.lower("line").rlike(cue_words())).select("doc_id", "tie", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("words")).distinct()
 
 
-def classify(found: DataFrame, model: Model | None = None, confirm: float = 0.6) -> DataFrame:
+def classify(found: DataFrame, model: Model | None = None, confirm: float = CONFIRM) -> DataFrame:
     """(doc_id, tie, line_no, family, probability, template_share) of paragraphs() rows; family is 'unknown' below the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph."""
     spark, model = found.sparkSession, model or train()
     weights = spark.createDataFrame(pa.Table.from_pandas(model.weights, preserve_index=False))

@@ -409,6 +409,19 @@ def test_licenses(spark):
     assert len(wrong) <= 2, wrong
 
 
+def test_license_cues(spark):
+    """No paragraph that the templates can confirm lacks a cue, and altered notices without the usual words are found."""
+    cue = re.compile(licenses.cue_words())
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        g = licenses.grams(licenses.tokens(t))
+        assert sum(not cue.search(x) for x in g) / len(g) < 0.6 - 1e-9, t
+    told = {"Distributed under the GPL v3.": "gpl", "Released under CC BY 4.0.": "cc-by", "Released under CC BY-NC 4.0.": "cc-by-nc", "Text: CC BY-SA 4.0": "cc-by-sa"}
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    found = licenses.paragraphs(docs)
+    assert found.count() == 4
+    assert {r.doc_id: r.family for r in licenses.classify(found).collect()} == dict(enumerate(told.values()))
+
+
 def test_pipeline(spark, sf):
     docs, columns = table(spark, sf, "documents"), None
     columns = docs.columns
