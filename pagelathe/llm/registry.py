@@ -73,12 +73,12 @@ def queries() -> dict[str, Query]:
 
 
 LINES_SQL = f"""
-WITH o AS (SELECT * FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(line) >= {lines.LEAST}),
+WITH o AS (SELECT * FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '[^\\x09-\\x0D\\x20]')),
 f AS (SELECT line, min({{'d': doc_id, 'l': line_no}}) AS place, length(line) AS n FROM o GROUP BY line),
-links AS (SELECT a.line AS x, b.line AS y FROM f a JOIN f b ON b.n BETWEEN a.n AND a.n + {lines.EDITS} AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= {lines.EDITS}),
+links AS (SELECT a.line AS x, b.line AS y FROM f a JOIN f b ON b.n BETWEEN a.n AND a.n + {lines.EDITS} AND a.line <> b.line WHERE levenshtein(a.line, b.line) <= least({lines.EDITS}, a.n // {lines.PER})),
 near AS (SELECT x, count(*) AS n_links, min(place) AS near FROM (SELECT x, y FROM links UNION SELECT y, x FROM links) JOIN f ON f.line = y GROUP BY x),
-best AS (SELECT f.line, place, coalesce(n_links, 0) AS n_links, CASE WHEN near < place THEN near ELSE place END AS best FROM f LEFT JOIN near ON near.x = f.line)
-SELECT doc_id, line_no, best.best.d AS first_doc, best.best.l AS first_line, n_links, doc_id = best.best.d AND line_no = best.best.l AS kept FROM o JOIN best USING (line)
+best AS (SELECT f.line, n, place, coalesce(n_links, 0) AS n_links, CASE WHEN near < place THEN near ELSE place END AS best FROM f LEFT JOIN near ON near.x = f.line)
+SELECT doc_id, line_no, n AS n_chars, best.best.d AS first_doc, best.best.l AS first_line, n_links, doc_id = best.best.d AND line_no = best.best.l AS kept FROM o JOIN best USING (line)
 """
 VECTORS_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),

@@ -218,36 +218,45 @@ def test_water_fill():
     assert mixing.water_fill([0, 10], [3, 1], 15, 2) == [0, 15]
 
 
-def test_lines_join(spark):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("edits", "per", "block"), [(2, 5, 1024), (2, 6, 4), (1, 4, 1024), (3, 3, 1024)])
+def test_lines_join(spark, edits, per, block):
+    """Equal and near lines of all lengths by brute force, with rows that repeat, share a doc_id or have none."""
     rng = random.Random(1)
 
     def mutate(x, k):
         x = list(x)
         for _ in range(k):
-            i = rng.randrange(len(x))
+            i = rng.randrange(max(1, len(x)))
             x[i : i + rng.randrange(2)] = rng.choice(["", rng.choice("abcdé😀")])
         return "".join(x)
 
-    base = ["".join(rng.choice("abcd") for _ in range(rng.randrange(10, 14))) for _ in range(40)]
+    base = ["".join(rng.choice("abcd") for _ in range(rng.choice((2, 5, 9, 10, 11, 12, 13, 14)))) for _ in range(50)]
     texts = [mutate(rng.choice(base), rng.randrange(4)) for _ in range(300)]
-    docs = spark.createDataFrame([(i, "\n".join(texts[i : i + 2])) for i in range(0, 300, 2)], "doc_id long, text string")
-    got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.n_links, r.kept) for r in lines.classes(docs, 2, 6).collect()}
-    at = {(i - i % 2, i % 2): t for i, t in enumerate(texts) if len(t) >= 6}
+    rows = [(i, "\n".join(texts[i : i + 2])) for i in range(0, 300, 2)]
+    rows += [rows[3], rows[3], (8, "\n".join(texts[5:9])), (None, "\n".join(texts[20:24])), (None, texts[30]), (400, None), (401, ""), (402, " \n\t\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.line_no, r.n_chars, r.first_doc, r.first_line, r.n_links, r.kept) for r in lines.classes(docs, edits, per, block).collect())
+    tie = {r.text: r.tie for r in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
+    at = [((d is None, d or 0, tie[t], k), x) for d, t in rows if t for k, x in enumerate(t.split("\n")) if x.strip()]
     first = {}
-    for k in sorted(at):
-        first.setdefault(at[k], k)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    near = {t: [u for u in first if u != t and distance(t, u) <= 2] for t in first}
-    want = {k: (*min([first[t], *(first[u] for u in near[t])]), len(near[t])) for k, t in at.items()}
-    assert got == {k: (*w, w[:2] == k) for k, w in want.items()}
+    for k, x in sorted(at):
+        first.setdefault(x, k)
+    near = {t: [u for u in first if u != t and distance(t, u) <= min(edits, min(len(t), len(u)) // per)] for t in first}
+    want, seen = collections.Counter(), set()
+    for k, t in at:
+        best = min([first[t], *(first[u] for u in near[t])])
+        want[(None if k[0] else k[1], k[3], len(t), None if best[0] else best[1], best[3], len(near[t]), best == k and k not in seen)] += 1
+        seen.add(k)
+    assert got == want
 
 
 def test_banded_distance(spark):
@@ -259,9 +268,14 @@ def test_banded_distance(spark):
 
 
 def test_line_dedup_texts(spark):
+    """Equal lines of any length and near longer ones go, blank ones stay, unless no other is left; n_chars follows."""
     a, b, c = ("the first long line of the text", "another line that is long enough", "a third line, long enough as well")
-    docs = spark.createDataFrame([(1, f"{a}\nshort\n{b}", 5), (2, f"{a}\n{c}\nshort", 6), (3, b, 7), (4, "short", 8)], "doc_id long, text string, n_chars long")
-    assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == {1: f"{a}\nshort\n{b}", 2: f"{c}\nshort", 4: "short"}
+    near = "the first long line of the next"
+    docs = spark.createDataFrame([(1, f"{a}\nshort\n \n{b}\nshort", 5), (2, f"{near}\n{c}\n \nshirt", 6), (3, b, 7), (4, "short", 8), (5, "short dup", 9), (6, "short dup", 9), (7, None, 1), (8, "", 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.dedup(docs).collect()}
+    one, two = f"{a}\nshort\n \n{b}", f"{c}\n \nshirt"
+    assert got == {1: (one, len(one)), 2: (two, len(two)), 5: ("short dup", 9), 7: (None, 1), 8: ("", 0)}
+    assert [(r.doc_id, r.kept) for r in lines.classes(docs.where("doc_id IN (5, 6)")).orderBy("doc_id").collect()] == [(5, True), (6, False)]
 
 
 def test_line_dedup_shared_ids(spark):
@@ -272,13 +286,6 @@ def test_line_dedup_shared_ids(spark):
     assert sorted(x for t in got for x in t.split("\n")) == sorted(map(say, "abcdefghijk")) and len(got) == 8
 
 
-def test_line_dedup_short_lines(spark):
-    """In the pipeline repeated short lines go, near and blank ones stay."""
-    a, b = "the first long line of the text", "the first long line of the next"
-    docs = spark.createDataFrame([(1, f"{a}\nshort\n \n\nshort"), (2, f"{b}\nshort\n \nshirt"), (3, "short")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: f"{a}\nshort\n \n", 2: " \nshirt"}
-
-
 def brute_spans(text):
     out = []
     letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
