@@ -15,8 +15,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of any length that equal, or longer ones that nearly equal, one that comes before; those of which nothing is left go."""
-    return lines.dedup(docs, short=True)
+    """Documents without the lines that equal, or nearly equal, one that comes before; those of which nothing is left go."""
+    return lines.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
