@@ -185,8 +185,8 @@ def near_links(first: DataFrame, edits: int = EDITS, per: int = PER, block: int
     met = keys(first, edits, per).withColumns({"rows": F.count("*").over(w), "owned": F.max("own").over(w)}).where("rows > 1 AND owned")
     met = met.groupBy("lid").agg(F.collect_set(F.struct("key", "own", "rows")).alias("met"))
     met = first.select(F.xxhash64("line").alias("lid"), "line_id").join(met, "lid").select("line_id", "met")
-    met = first.select("line_id", guard(F.col("line")).alias("guard")).join(met, "line_id")
-    pairs = _pairs(met.select("line_id", "guard", F.explode("met").alias("m")).select("line_id", "guard", "m.*"), edits, block)
+    met = first.select("line_id", "line").join(met, "line_id").select("line_id", guard(F.col("line")).alias("guard"), F.explode("met").alias("m"))
+    pairs = _pairs(met.select("line_id", "guard", "m.*"), edits, block)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line_id"), "a", "b").join(first.select("line_id", F.struct("line_id", "line", _place().alias("place")).alias("x")), "line_id")
     both = ends.groupBy("a", "b").agg(F.max(F.when(F.col("line_id") == F.col("a"), F.col("x"))).alias("one"), F.max(F.when(F.col("line_id") == F.col("b"), F.col("x"))).alias("two"))
     swap = F.char_length("one.line") < F.char_length("two.line")
