@@ -1,10 +1,9 @@
-"""SentencePiece encoding and decoding: one forward pass over a trie of distinct marked words."""
+"""SentencePiece encoding and decoding: forward passes over a trie of distinct marked words."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -15,34 +14,160 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose encoding is kept between batches, and pairs whose verdict is, at most; rows handed on at a time.
-KEPT, PAIRS, ROWS = 150_000, 300_000, 500
+#: Words of a generation whose encoding is kept between batches, the most characters of such a word, pairs whose verdict is kept, rows handed on at a time.
+KEPT, LONG, PAIRS, ROWS = 300_000, 40, 300_000, 500
 UNKNOWN = -1
+# Kinds of models and of pieces in model files, and how far the score of an unknown character lies below the least one.
+UNIGRAM, BYTE_PAIR, PENALTY = 1, 2, 10.0
 
 
-@dataclass
 class Vocabulary:
-    """Pieces by rank of merge (single characters first), how each arises, and identifiers; suffix: ranks, and -2 for what only ends pieces.
+    """Pieces of a model and what all kinds of models share: words, the cache of their encodings, bytes, decoding.
+
+    Words are cut before each run of marks, and at the line ends and tabs that no piece has. Encodings are kept in two
+    generations: words that a full generation's time passes without go, frequent ones are handed on.
+    """
+
+    def __init__(self, model) -> None:
+        """model: the public library's processor."""
+        size = model.get_piece_size()
+        plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.text = {i: model.id_to_piece(i) for i in plain}
+        self.unknown = model.unk_id()
+        self.bytes_ = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.fallback = model.is_byte(self.bytes_[0])
+        self.table = [b""] * size
+        for i, p in self.text.items():
+            self.table[i] = p.replace(MARK, " ").encode()
+        if self.fallback:
+            for b, i in enumerate(self.bytes_):
+                self.table[i] = bytes([b])
+        self.table[self.unknown] = " ⁇ ".encode()
+        inner = {c for p in self.text.values() for c in p}
+        self.splits = "".join(c for c in "\n\t\r" if c not in inner)
+        if any(MARK in p.lstrip(MARK) for p in self.text.values()):
+            raise ValueError("pieces go on over the start of a word")
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Encode these distinct words in sorted order, which is a depth-first walk of their trie: what the forward pass found for the prefix that a word shares with the one before is kept."""
+        raise NotImplementedError
+
+    def unknown_ids(self, c: str) -> list[int]:
+        """The identifiers of a character that no piece has."""
+        return [self.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
+
+    def encode(self, texts: list[str], chars: int = 1 << 21) -> list[np.ndarray]:
+        """Identifiers of each text; the words of about `chars` characters are held at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= chars:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        find = re.compile(f"[{self.splits}]|{MARK}+[^{MARK}{self.splits}]*|[^{MARK}{self.splits}]+" if self.splits else f"{MARK}+[^{MARK}]*").findall
+        words = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        got, fresh = {}, []
+        for w in set(chain.from_iterable(words)):
+            ids = self.known.get(w) or self.older.get(w)
+            if ids:
+                got[w] = ids
+            else:
+                fresh.append(w)
+        got |= self.learn(fresh)
+        if len(self.known) > KEPT:
+            self.known, self.older = {}, self.known
+        self.known.update((w, ids) for w, ids in got.items() if len(w) <= LONG)
+        out = [np.fromiter(chain.from_iterable(map(got.__getitem__, w)), np.int32) for w in words]
+        if not self.fallback:  # neighbours without a piece are one unknown
+            out = [x[np.concatenate(([True], (x[1:] != self.unknown) | (x[:-1] != self.unknown)))] if len(x) else x for x in out]
+        return out
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of identifiers; bytes that are no UTF-8 become replacement characters."""
+        raw = b"".join(map(self.table.__getitem__, ids.tolist()))
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+
+class Unigram(Vocabulary):
+    """A model of pieces with scores: Viterbi, the best sum of scores of all pieces that end at a position, earlier starts first among equals."""
+
+    def __init__(self, model) -> None:
+        super().__init__(model)
+        self.score = {p: model.get_score(i) for i, p in self.text.items()}
+        self.ids = {p: i for i, p in self.text.items()}
+        self.longest = max(map(len, self.score), default=1)
+        self.least = min(self.score.values(), default=0.0) - PENALTY
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        out, score, before = {}, self.score, ""
+        forward, start = [0.0], [0]  # by position of the present word: best sum, and where its last piece starts
+        for w in sorted(words):
+            k = 0
+            for x, y in zip(w, before, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del forward[k + 1 :], start[k + 1 :]
+            for end in range(k + 1, len(w) + 1):
+                best, at = None, end - 1
+                for s in range(max(0, end - self.longest), end):
+                    got = score.get(w[s:end])
+                    if got is not None and (best is None or forward[s] + got > best):
+                        best, at = forward[s] + got, s
+                if w[end - 1] not in score and (best is None or forward[end - 1] + self.least > best):
+                    best, at = forward[end - 1] + self.least, end - 1
+                forward.append(best)
+                start.append(at)
+            before, ids, end = w, [], len(w)
+            while end:
+                piece = w[start[end] : end]
+                ids.append([self.ids[piece]] if piece in score else self.unknown_ids(piece))
+                end = start[end]
+            out[w] = tuple(chain.from_iterable(reversed(ids)))
+        return out
+
+
+class BytePair(Vocabulary):
+    """A model of merges, for which the best sum of scores is not what the model's own encoder gives.
 
     A word's pieces are the path through its positions on which every two neighbours are compatible: merging their
     characters from the start never joins across the border between them. Exactly one such path reaches each prefix,
-    so a position's state is its last piece, and words with a common prefix share the states of that prefix.
+    so a position's forward state is its last piece, and words with a common prefix share the states of that prefix.
+    Pieces are ranked by merge, single characters first; suffix: ranks, and -2 for what only ends pieces.
     """
 
-    rank: dict[str, int]
-    pieces: list[str]
-    left: list[int]
-    right: list[int]
-    ids: list[int]
-    bytes_: list[int]
-    table: list[bytes]
-    suffix: dict[str, int]
-    runs: set[int]
-    run_ids: dict[int, int]
-    splits: str
-    verdicts: dict[int, bool] = field(default_factory=dict)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    run_known: dict[int, tuple[int, ...]] = field(default_factory=dict)
+    def __init__(self, model) -> None:
+        super().__init__(model)
+        runs = {len(p): i for i, p in self.text.items() if len(p) > 1 and not p.strip(MARK)}
+        self.ids = sorted((i for i in self.text if i not in runs.values()), key=lambda i: (len(self.text[i]) > 1, -model.get_score(i), i))
+        pieces = self.pieces = [self.text[i] for i in self.ids]
+        rank = self.rank = {p: r for r, p in enumerate(pieces)}
+        self.left, self.right = [-1] * len(pieces), [-1] * len(pieces)
+        dead = []
+        for r, p in enumerate(pieces):
+            parts = [rank.get(c, UNKNOWN) for c in p]
+            while len(parts) > 1 and UNKNOWN not in parts:
+                best = min((rank.get(pieces[a] + pieces[b], len(pieces)), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best[0] == len(pieces):
+                    break
+                pair = parts[best[1] : best[1] + 2]
+                parts[best[1] : best[1] + 2] = [best[0]]
+            if parts != [r]:
+                dead.append(p)
+            elif len(p) > 1:
+                self.left[r], self.right[r] = pair
+        if dead:
+            raise ValueError(f"{len(dead)} pieces can't be made by merging, {dead[:5]}")
+        self.suffix = {p[k:]: -2 for p in pieces for k in range(len(p))} | rank
+        self.runs, self.run_ids = set(runs), runs | {1: self.ids[rank[MARK]]}
+        self.verdicts: dict[int, bool] = {}
+        self.run_known: dict[int, tuple[int, ...]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between pieces a and b as it is."""
@@ -83,11 +208,9 @@ class Vocabulary:
             got = self.run_known[n] = tuple(self.run_ids[k] for k in done)
         return got
 
-    def learn(self, words: Iterator[str]) -> None:
-        """Encode these distinct words in sorted order, which is a depth-first walk of their trie: the states of the prefix that a word shares with the one before are kept."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        rank, suffix, verdicts, compatible, known = self.rank, self.suffix, self.verdicts, self.compatible, self.known
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        known: dict[str, tuple[int, ...]] = {}
+        rank, suffix, verdicts, compatible = self.rank, self.suffix, self.verdicts, self.compatible
         before, last, size = "", [UNKNOWN], [0]
         for w in sorted(words):
             core = w[max(0, len(w) - len(w.lstrip(MARK)) - 1) :] if w[:2] == MARK + MARK else w
@@ -118,91 +241,61 @@ class Vocabulary:
                 out.append(last[end] if last[end] != UNKNOWN else core[end - 1])
                 end -= size[end]
             out.reverse()
-            ids = [i for x in out for i in ([self.ids[x]] if isinstance(x, int) else [self.bytes_[b] for b in x.encode("utf-8", "surrogatepass")])]
+            ids = [i for x in out for i in ([self.ids[x]] if isinstance(x, int) else self.unknown_ids(x))]
             if marks:
                 if out and out[0] == rank.get(MARK):
                     marks, ids = marks + 1, ids[1:]
                 ids = [*self._run(marks), *ids]
             known[w] = tuple(ids)
+        return known
 
-    def encode(self, texts: list[str], chars: int = 1 << 20) -> list[np.ndarray]:
-        """Identifiers of each text; the words of about `chars` characters are held at a time."""
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size >= chars:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        find = re.compile(f"[{self.splits}]|{MARK}+[^{MARK}{self.splits}]*|[^{MARK}{self.splits}]+" if self.splits else f"{MARK}+[^{MARK}]*").findall
-        words = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(words))
-        if len(self.known) + len(fresh) > KEPT:
-            self.known.clear()
-        self.learn(fresh.difference(self.known))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, w)), np.int32) for w in words]
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the public wire format of model files."""
+    at = 0
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of identifiers; bytes that are no UTF-8 become replacement characters."""
-        raw = b"".join(map(self.table.__getitem__, ids.tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            n |= (byte & 127) << shift
+            if byte < 128:
+                return n
+            shift += 7
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            yield tag >> 3, raw[at : at + size]
+            at += size
 
 
 def load(path: str = MODEL) -> Vocabulary:
-    """The vocabulary of a byte-pair model with byte fallback, read by the public library."""
+    """The vocabulary of a unigram or byte-pair model, read by the public library. Models that change texts (normalise them, or drop spaces) are refused."""
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-    text = {i: m.id_to_piece(i) for i in plain}
-    runs = {len(p): i for i, p in text.items() if len(p) > 1 and not p.strip(MARK)}
-    order = sorted((i for i in plain if i not in runs.values()), key=lambda i: (len(text[i]) > 1, -m.get_score(i), i))
-    pieces = [text[i] for i in order]
-    rank = {p: r for r, p in enumerate(pieces)}
-    left, right, made = [-1] * len(pieces), [-1] * len(pieces), {}
-    for r, p in enumerate(pieces):
-        if len(p) == 1:
-            made[p] = r
-            continue
-        parts = [rank.get(c, UNKNOWN) for c in p]
-        while len(parts) > 1 and UNKNOWN not in parts:
-            best = min((rank.get(pieces[a] + pieces[b], len(pieces)), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == len(pieces):
-                break
-            pair = parts[best[1] : best[1] + 2]
-            parts[best[1] : best[1] + 2] = [best[0]]
-        if parts == [r]:
-            left[r], right[r] = pair
-            made[p] = r
-    # a piece that merging never makes takes part in merges' competition all the same, so it keeps its rank, yet is on no path
-    reach = {p for p in made}
-    dead = [p for p in pieces if p not in reach]
-    if dead:
-        raise ValueError(f"{len(dead)} pieces can't be made by merging, {dead[:5]}")
-    by_byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    table = [b""] * m.get_piece_size()
-    for i, p in text.items():
-        table[i] = p.replace(MARK, " ").encode()
-    for b, i in enumerate(by_byte):
-        table[i] = bytes([b])
-    table[m.unk_id()] = " ⁇ ".encode()
-    inner = {c for p in text.values() for c in p}
-    splits = "".join(c for c in "\n\t\r" if c not in inner)
-    if any(MARK in p.lstrip(MARK) for p in pieces):
-        raise ValueError("pieces go on over the start of a word")
-    suffix = {p[k:]: -2 for p in pieces for k in range(len(p))} | rank
-    return Vocabulary(rank, pieces, left, right, order, by_byte, table, suffix, set(runs), runs | {1: order[rank[MARK]]}, splits)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    top = [f for f in _fields(model.serialized_model_proto()) if f[0] in (2, 3)]
+    trainer, norm = (dict(chain.from_iterable(_fields(v) for k, v in top if k == n)) for n in (2, 3))
+    if norm.get(2) or norm.get(4, 1) or not norm.get(3, 1) or not norm.get(5, 1):
+        raise ValueError("the model changes texts before it encodes them")
+    kind = {UNIGRAM: Unigram, BYTE_PAIR: BytePair}.get(trainer.get(3, UNIGRAM))
+    if kind is None:
+        raise ValueError("neither a unigram nor a byte-pair model")
+    return kind(model)
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """The columns of `docs` and ids array<int>, decoded string.
 
     Null and empty texts have no identifiers and the empty text; repeated rows stay; columns named ids or decoded are
-    replaced. Words are split at spaces and at the line ends and tabs that no piece contains; a batch's distinct words
-    are encoded once. The driver reads the model and hands it to the executors.
+    replaced; an empty table gives an empty result. Texts are encoded whole, very long ones too: the distinct words of
+    about a megabyte of text at a time. The driver reads the model and hands it to the executors.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
