@@ -308,6 +308,57 @@ def test_secrets():
     assert [x[0] for x in secrets.find(f"x {good} y")] == ["github", "hex"] and not any(x[0] == "github" for x in secrets.find(f"x {good[:-1]}! ghp_{'b' * 36}"))
 
 
+def plain_spans(text):
+    """Tokens and keys by the plain patterns, from the left, without overlap within a kind."""
+    import base64
+    import json
+
+    out = []
+    for m in re.finditer(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{16,}", text):
+        try:
+            head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        except ValueError:
+            continue
+        out += [("jwt", *m.span())] if isinstance(head, dict) and "alg" in head else []
+    key = r"(?:[A-Z]+ )?PRIVATE KEY-----"
+    return out + [("pem", *m.span()) for m in re.finditer(rf"-----BEGIN {key}\s+[A-Za-z0-9+/=\s]{{64,}}-----END {key}", text)]
+
+
+def test_secret_tokens():
+    import base64
+
+    rng = random.Random(6)
+    code = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    parts = [code('{"alg":"HS256"}'), code('{"typ":"JWT"}'), code('{"a": 1}'), "eyJ", ".", ".", "s" * 16, "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\n", "QUJD" * 16, " ", "-"]
+    parts += [f"{parts[0]}.{parts[2]}.", f"{parts[1]}.{parts[2]}.{'s' * 16}", f"-----BEGIN PRIVATE KEY-----\n{'QUJD' * 16}", "\n-----END RSA PRIVATE KEY-----"]
+    found = 0
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        got = sorted(x for x in secrets.find(text) if x[0] in ("jwt", "pem"))
+        assert got == sorted(plain_spans(text)), text
+        found += len(got)
+    assert found > 100
+
+
+def test_secrets_of_hostile_texts():
+    """Deep nesting is no secret and no crash; time grows in proportion to the length."""
+    import base64
+    import time
+
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    assert secrets.find(f"{deep}.{deep}.{'x' * 20}") == []
+    wide = base64.urlsafe_b64encode(b'{"alg":' + b"9" * 9000 + b"}").decode().rstrip("=")
+    assert secrets.find(f"{wide}.{wide}.{'x' * 20}") == []
+    for unit in ("eyJ", "eyJaaaaaaaaa.", "-----BEGIN PRIVATE KEY-----" + " " * 99, " " * 50 + "password", "token=", "AKIA", "0a" * 11 + " ", "ghp_"):
+        for text in (lambda n: unit * (n // len(unit)), lambda n: "-----BEGIN PRIVATE KEY-----" + (unit if unit.isspace() else " ") * n):  # noqa: B023
+            spent = []
+            for n in (200_000, 800_000):
+                at = time.process_time()
+                secrets.find(text(n))
+                spent.append(time.process_time() - at)
+            assert spent[1] < 10 * spent[0] + 0.5 and spent[1] < 8, (unit, spent)
+
+
 def test_secrets_query(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet").set_index("doc_id").text
     for r in R.op3_secrets(spark, sf).collect():
@@ -328,6 +379,69 @@ def test_pieces(spark, sf):
     assert all(r.round_trip and list(r.ids) == lib.encode(docs[r.doc_id]) for r in rows)
 
 
+def message(*fields):
+    """A message in the wire format of model files: (number, value) with value an int, float, bytes or str."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += number(k << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += number(k << 3) + number(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += number(k << 3 | 2) + number(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_pieces_of_scores(tmp_path, fallback):
+    """Viterbi over a stated vocabulary against the public library, sums of scores by brute force."""
+    import sentencepiece
+
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7))) for _ in range(300)}
+    plain = [*"abcdé▁", "▁▁", "▁a", "▁ab", "▁abc", *sorted(words)]
+    scored = [(p, -1.0 - rng.randrange(4, 900) / 64) for p in plain]  # sums of these are exact
+    pieces_ = [message((1, "<unk>"), (2, 0.0), (3, 2))] + [message((1, f"<0x{b:02X}>"), (2, 0.0), (3, 6)) for b in range(256) if fallback] + [message((1, p), (2, s)) for p, s in scored]
+    trainer, norm = message((3, 1), (35, int(fallback)), (40, 0), (41, (1 << 64) - 1), (42, (1 << 64) - 1), (43, (1 << 64) - 1)), message((1, "identity"), (3, 1), (4, 0), (5, 1))
+    path = str(tmp_path / "unigram.model")
+    (tmp_path / "unigram.model").write_bytes(message(*((1, p) for p in pieces_), (2, trainer), (3, norm)))
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
+    assert isinstance(own, pieces.Unigram) and isinstance(pieces.load(), pieces.BytePair)
+    texts = ["".join(rng.choice("aabbccddee  xé漢😀\n") for _ in range(rng.randrange(40))) for _ in range(1500)] + ["", " ", "   a  ", "abc" * 500]
+    got, want = own.encode(texts), lib.encode(texts)
+    score = dict(scored) | {i: own.least for i in (own.unknown, *own.bytes_)}
+    for t, g, w in zip(texts, got, want, strict=True):
+        if fallback:
+            assert own.decode(g) == t == lib.decode(g.tolist())
+        if g.tolist() != w:  # only among equal sums
+            total = lambda ids: sum(score.get(lib.id_to_piece(i), 0.0) for i in ids)
+            assert total(g.tolist()) == total(w), t
+    assert sum(g.tolist() == w for g, w in zip(got, want, strict=True)) > 1400
+
+
+def test_pieces_generations(monkeypatch):
+    """Dropping old words from the cache changes no identifiers."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh ") for _ in range(6)) for _ in range(30)) for _ in range(200)]
+    want = pieces.load().encode(texts)
+    monkeypatch.setattr(pieces, "KEPT", 200)
+    own = pieces.load()
+    assert all((x == y).all() for x, y in zip(chain_(own.encode([t]) for t in texts * 2), want * 2, strict=True))
+
+
+def chain_(parts):
+    return [x for part in parts for x in part]
+
+
 def test_token_counts(spark, sf, tmp_path):
     docs = pd.read_parquet(f"{sf}/documents.parquet").set_index("doc_id").text
     encode = tokencount._encoder(tokencount.RANKS).encode_ordinary
