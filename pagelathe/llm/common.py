@@ -13,12 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of its own where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in a local session, as in tests, one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _OWN.setdefault(context.applicationId, f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return at.rstrip("/")
 
 

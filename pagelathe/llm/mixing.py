@@ -149,11 +149,13 @@ class Mix:
 
     @staticmethod
     def _sized(docs: DataFrame) -> DataFrame:
+        """(doc_id, source, text, whole, size, part, tie); whole holds all columns, so none of theirs clashes with those made here."""
         text = F.col("text").cast("string")
-        return docs.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), "tie": F.xxhash64(text)})
+        rows = docs.select("doc_id", "source", text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+        return rows.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), "tie": F.xxhash64("text")})
 
     def placed(self, docs: DataFrame | None = None) -> DataFrame:
-        """Rows with s (source number), row (unique within s) and start (the first word's place in the source's stream). docs: rows as given at first, for their other columns."""
+        """Rows with s (source number), row (unique within s) and start (the first word's place in the source's stream). docs: rows as given at first, for text and whole (all their columns)."""
         sized = self.sized if docs is None else self._sized(docs)
         w = Window.partitionBy("source", "part").orderBy("doc_id", "tie")
         back = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -187,18 +189,16 @@ class Mix:
         return draws.repartition(max(1, min(len(self.draws), 512)), "shard", "s").mapInPandas(run, "shard long, slot long, s long, pass long, block long, limit long")
 
     def rows(self, placed: DataFrame | None = None) -> DataFrame:
-        """The mix: shard, slot, s, pass, block, doc_id, row, word_from, word_to (in the document, end exclusive), and text where placed() was given texts."""
+        """The mix: shard, slot, s, pass, block, doc_id, row, word_from, word_to (in the document, end exclusive)."""
         placed = self.placed() if placed is None else placed
         b, end = F.lit(self.block).cast("long"), F.col("start") + F.col("size")
-        words = [F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words")] if "text" in placed.columns else []
         blocks = F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b))).alias("block")
-        pieces = placed.where("size > 0").select("doc_id", "s", "row", "start", "size", *words, blocks)
+        pieces = placed.where("size > 0").select("doc_id", "s", "row", "start", "size", blocks)
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(end, (F.col("block") + 1) * b, F.col("block") * b + F.col("limit"))
         # slots grow with the corpus, which their small inputs don't show to the planner: never broadcast them
         got = pieces.join(self.slots().hint("merge"), ["s", "block"]).withColumns({"word_from": low - F.col("start"), "word_to": high - F.col("start")}).where("word_to > word_from")
-        text = [F.array_join(F.slice("words", (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), " ").alias("text")] if words else []
-        return got.select("shard", "slot", "s", "pass", "block", "doc_id", "row", "word_from", "word_to", *text)
+        return got.select("shard", "slot", "s", "pass", "block", "doc_id", "row", "word_from", "word_to")
 
     def taken(self) -> DataFrame:
         """One row per document row: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
@@ -207,14 +207,11 @@ class Mix:
         return placed.join(got, ["s", "row"], "left").join(self.sources, "s").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def documents(self) -> DataFrame:
-        """The mixed documents with the columns of `docs`: a row for each pass that takes words of a document. Where a pass takes all its words the text stays as it is, else it holds the taken words, a line for each run of blocks."""
-        columns = self.docs.columns
+        """The mixed documents with the columns of `docs`: a row for each pass that takes words of a document. Where a pass takes all its words the text stays as it is, else it holds the taken words, a line for each run of blocks; n_chars follows the text, other columns stay, whatever their names. Rows without words give nothing; an empty table gives an empty one."""
         runs = self.rows().groupBy("s", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
         both = self.placed(self.docs).join(runs, ["s", "row"])
         words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
         cuts = F.transform("parts", lambda p: F.array_join(F.slice(words, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")), " "))
-        text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.array_join(cuts, "\n"))
-        out = both.withColumn("text", text)
-        if "n_chars" in columns:
-            out = out.withColumn("n_chars", F.when(F.col("taken") == F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-        return out.select(*columns)
+        both = both.select("whole", F.when(F.col("taken") < F.col("size"), F.array_join(cuts, "\n")).alias("part"))
+        new = {"text": F.col("part"), "n_chars": F.char_length("part").cast("long")}
+        return both.select(*(F.when(F.col("part").isNull(), F.col("whole")[c]).otherwise(new[c]).alias(c) if c in new else F.col("whole")[c].alias(c) for c in self.docs.columns))

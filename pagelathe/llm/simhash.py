@@ -299,17 +299,19 @@ def band_keys(radius: int, chosen: int = 2, bits: int = 64) -> list[F.Column]:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, chosen: int = 2) -> DataFrame:
     """One row per document: doc_id, fp long, component_id long (smallest doc_id reachable over links of `radius` or fewer differing bits).
 
-    Null and empty texts have fingerprint 0 and link like any other; rows that repeat a doc_id stay rows; a fingerprint
-    that only rows without doc_id bear has a null component_id. Equal fingerprints count once; the others meet in
-    blocks that share `chosen` of radius + `chosen` bands of bits, which no pair within the radius can miss, and are
-    compared there bit-sliced. An empty table gives an empty result; columns other than doc_id and text play no part.
+    Null and empty texts have fingerprint 0 and link like any other; rows that repeat a doc_id stay rows; rows without
+    doc_id link like any other, and a group of such rows alone has a null component_id. Equal fingerprints count once;
+    the others meet in blocks that share `chosen` of radius + `chosen` bands of bits, which no pair within the radius
+    can miss, and are compared there bit-sliced. Very long texts are taken whole; an empty table gives an empty result;
+    columns other than doc_id and text play no part.
     """
     marked = cut(fingerprints(docs, words))
-    one = marked.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    keyed = one.where("node IS NOT NULL").select(F.explode(F.array(*band_keys(radius, chosen))).alias("key"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "node")
-    groups = components(link_keyed(keyed, radius))
-    named = one.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    one = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    keyed = one.select(F.explode(F.array(*band_keys(radius, chosen))).alias("key"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"), F.col("fp").alias("node")).withColumnRenamed("bits", "fp")
+    groups = components(link_keyed(keyed, radius)).withColumnRenamed("node", "fp")
+    named = one.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(least, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 #: 64-bit parts of the wider fingerprint, minima by which texts meet, and rows of a block whose shingle sets one task holds.
@@ -381,9 +383,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block:
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of near_groups(): the one with the smallest doc_id. Rows that repeat a doc_id and text go but for one; rows with a null doc_id stay unless a row with one is near them."""
-    groups = near_groups(docs, words, similarity)
-    kept = groups.where("doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("_doc")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
-    w = Window.partitionBy("doc_id", "_text").orderBy("_text")
-    return rows.withColumn("_text", F.xxhash64(F.col("text").cast("string"))).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """`docs` with one document of each group of near_groups(): the one with the smallest doc_id. Rows that repeat a doc_id and text go but for one; rows with a null doc_id stay unless a row with one is near them. Null and empty texts are alike; other columns stay, whatever their names; an empty table gives an empty one."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    kept = near_groups(docs, words, similarity).where("doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("kept")).distinct()
+    rows = rows.join(kept, F.col("doc").eqNullSafe(F.col("kept")), "left_semi")
+    w = Window.partitionBy("doc", "tie").orderBy("tie")
+    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pagelathe.llm.common import cut
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Bounds of what the fit sees: confirmed positives, unlabelled rows, rows for the calibration of each label, features.
-POSITIVES, UNLABELLED, CALIBRATION, FEATURES = 6000, 12000, 3000, 20000
+#: Bounds of what the fit sees: confirmed positives, unlabelled rows, rows for the calibration of each label. One in CALIBRATED documents is for the calibration, the others are for the fit.
+POSITIVES, UNLABELLED, CALIBRATION, CALIBRATED = 6000, 12000, 3000, 5
 #: Standard deviations by which a feature must stand out.
 LEAST = 4.5
 
@@ -133,9 +133,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled rows that are not held out, and unlabelled text of the same part of the documents.
 
     Each row is taken by a hash of its doc_id with a chance that makes the expected numbers POSITIVES, UNLABELLED and
-    CALIBRATION at most, so what is fitted is bounded however many rows there are. Features are words of at least three
-    chosen positives that stand out by LEAST standard deviations, the furthest FEATURES of them; they are counted by
-    Spark, and only the features of the chosen rows come to the driver. The prior is the share of toxic rows among the
+    CALIBRATION at most, so what is fitted is bounded however many rows there are; no document is both fitted and
+    calibrated on. Features are the words of at least three chosen positives that stand out by LEAST standard
+    deviations; they are counted by Spark, and only those of the chosen rows come to the driver, which the rows' number
+    bounds. The prior is the share of toxic rows among the
     labelled ones. Rows with null text or label, and labels of unknown rows, play no part; with no positive rows the
     model has its prior alone.
     """
@@ -145,15 +146,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     total = rows.count()
     draw = lambda salt, most, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1))))
-    kinds = F.array_compact(
-        F.array(
-            F.when((F.col("toxic") == 1) & draw(1, POSITIVES, one), 1),
-            F.when(draw(2, UNLABELLED, total), 2),
-            F.when((F.col("toxic") == 1) & draw(3, CALIBRATION, one), 3),
-            F.when((F.col("toxic") == 0) & draw(4, CALIBRATION, zero), 4),
-        )
-    )
-    chosen = learn.where(((F.col("toxic") == 1) & (draw(1, POSITIVES, one) | draw(3, CALIBRATION, one))) | ((F.col("toxic") == 0) & draw(4, CALIBRATION, zero)))
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATED)) == 0
+    positive = (F.col("toxic") == 1) & ~apart & draw(1, POSITIVES, one)
+    checked = apart & (((F.col("toxic") == 1) & draw(3, CALIBRATION * CALIBRATED, one)) | ((F.col("toxic") == 0) & draw(4, CALIBRATION * CALIBRATED, zero)))
+    kinds = F.array_compact(F.array(F.when(positive, 1), F.when(~apart & draw(2, UNLABELLED, total), 2), F.when(checked, 4 - F.col("toxic"))))
+    chosen = learn.where(positive | checked)
     # the chosen ids are POSITIVES + 2 * CALIBRATION at about, so they go to the texts, which then need no shuffle
     sample = cut(rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.explode(kinds).alias("kind")))
     n = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
@@ -166,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     by = sample.where("kind <= 2").mapInPandas(tally, "kind int, word long, n long").groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("u"))
     far = stands_out(F.col("p"), F.col("u"), n.get(1, 0), n.get(2, 0))
-    best = by.where("p >= 3").select("word", far.alias("far")).where(F.col("far") >= LEAST).orderBy(F.desc("far"), "word").limit(FEATURES)
+    best = by.where("p >= 3").where(far >= LEAST).select("word").orderBy("word")
     vocabulary = np.sort(np.array([r["word"] for r in best.collect()], np.int64))
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +201,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (score at least 0.7)."""
+    """One row per row of `docs`: doc_id, held_out, score, predicted (score at least 0.7). A null doc_id is not held out; null and empty texts get the score of no words; repeated rows come repeatedly; very long texts are scored whole; an empty table gives an empty result; other columns play no part."""
     out = score(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -198,13 +198,57 @@ def test_mixing(spark, sf):
 
 
 def test_mix_texts(spark):
+    """The mixed texts hold the words that rows() names, and all slots hold blocks of one source."""
     docs = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(i % 97))) for i in range(150)], "doc_id long, text string").withColumn("source", F.concat(F.lit("s"), F.pmod("doc_id", F.lit(3)).cast("string")))
     m = mixing.Mix(docs, block=8, shard_slots=50)
-    rows = m.rows(m.placed(docs)).toPandas()
-    assert all(len(t.split()) == b - a and t.split()[0] == f"d{d}w{a}" for t, a, b, d in zip(rows.text, rows.word_from, rows.word_to, rows.doc_id, strict=True))
+    rows = m.rows().toPandas()
     assert (rows.groupby(["shard", "slot"]).block.nunique() == 1).all()
     whole = collections.Counter(w for r in m.documents().collect() for w in r.text.split())
-    assert whole == collections.Counter(w for t in rows.text for w in t.split())
+    assert whole == collections.Counter(f"d{r.doc_id}w{k}" for r in rows.itertuples() for k in range(r.word_from, r.word_to))
+
+
+CLASH = ("size", "part", "pass", "taken", "tie", "row", "whole", "start", "s", "base", "_text", "n", "doc", "kept", "score", "gone", "left", "_doc", "_tie", "parts", "block", "word_from", "fp", "held_out")
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda x: x[0])
+def test_stages_keep_columns(spark, stage):
+    """Columns with any names and their values stay; nulls, empty texts, ties, repeated rows and empty tables are defined."""
+    rows = [(i, f"text {i} has its own words {i * 7} and {i * 13} more of them", "en", "ab"[i % 2], 40) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "a", 0), (None, "a row without doc_id that has words", "en", "b", 5), rows[3], (4, "another text that shares the doc_id of a row", "en", "a", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    docs = spark.createDataFrame([(*r, *(f"{c} {r[0]} {len(r[1] or '')}" for c in CLASH)) for r in rows], schema)
+    sf = "/root/testdata/sf0.001"
+    out = stage[1](spark, docs, sf)
+    assert out.columns == docs.columns
+    got = out.collect()
+    by = {(r.doc_id, r.size): r for r in docs.collect()}
+    for r in got:  # every row is one of docs, with its own values
+        was = by[r.doc_id, r.size]
+        assert all(r[c] == was[c] for c in CLASH) and r.lang == was.lang and r.source == was.source
+        assert r.text == was.text and r.n_chars == was.n_chars or r.n_chars == len(r.text)
+    ids = collections.Counter(r.doc_id for r in got)
+    if stage[0] == "toxicity":
+        assert sum(ids.values()) == len(rows)
+    if stage[0] == "line dedup":  # equal rows keep the same lines
+        assert sum(ids.values()) == len(rows) and {r.doc_id: r.text for r in got if r.doc_id != 4} == {r[0]: r[1] for r in rows if r[0] != 4}
+    if stage[0] == "near dedup":  # repeated rows and one of the two texts without words go
+        assert ids == collections.Counter([*range(12), 4, 20, None])
+    if stage[0] == "mixing":
+        assert set(ids) <= {*range(12), None}
+    assert stage[1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_links_through_rows_without_id(spark):
+    """Fingerprints that only rows without doc_id bear link others: distances 3, 3 and 6."""
+    fps = [0b111000, 0b111, 0]
+    made = spark.createDataFrame([(7, fps[0]), (None, fps[2]), (9, fps[1]), (11, 1 << 40 | 0xFFF0000), (None, 0x7F << 50)], "doc_id long, fp long")
+    was = simhash.fingerprints
+    simhash.fingerprints = lambda *a, **k: made
+    try:
+        got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(made).collect()}
+    finally:
+        simhash.fingerprints = was
+    assert got == {(7, fps[0]): 7, (None, 0): 7, (9, fps[1]): 7, (11, 1 << 40 | 0xFFF0000): 11, (None, 0x7F << 50): None}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
