@@ -207,8 +207,8 @@ def _placed(lines: DataFrame, edits: int, per: int, block: int) -> DataFrame:
     first = first_lines(lines)
     near = near_links(first, edits, per, block).groupBy("line_id").agg(F.count("*").alias("n_links"), F.min("place").alias("near"))
     common = F.broadcast(_common(lines))
-    # the length of the line is taken here, so that this use of the first lines reads the exchange of the others
-    of = first.select("line_id", _place().alias("own"), F.char_length("line").cast("long").alias("n_chars")).join(near, "line_id", "left")
+    # the length of the line is taken and looked at here, so that this use of the first lines reads the exchange of the others
+    of = first.select("line_id", _place().alias("own"), F.char_length("line").cast("long").alias("n_chars")).where("n_chars > 0").join(near, "line_id", "left")
     best = F.when(F.col("near") < F.col("own"), F.col("near")).otherwise(F.col("own"))
     of = of.select("line_id", "own", "n_chars", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), best.alias("best"))
     of = of.join(common, "line_id", "left").select("*", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt")).drop("salts")
@@ -243,11 +243,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, per: int = PER, block: int = BLOC
     they are.
     """
     gone = _placed(split_lines(docs), edits, per, block).where(~_place().eqNullSafe(F.col("best"))).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), _tie().alias("tie"), text.alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), _tie().alias("tie"))
     rows = rows.join(gone.withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
-    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x09-\x0D\x20]"))
+    left = F.array_join(F.filter(F.split(F.col("row")["text"].cast("string"), "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
+    rows = rows.select("row", F.when(F.col("gone").isNotNull(), left).alias("left")).where(F.col("left").isNull() | F.col("left").rlike(r"[^\x09-\x0D\x20]"))
     new = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
     return rows.select(*(F.when(F.col("left").isNull(), F.col("row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

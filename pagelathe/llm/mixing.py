@@ -149,13 +149,13 @@ class Mix:
 
     @staticmethod
     def _sized(docs: DataFrame) -> DataFrame:
-        """(doc_id, source, text, whole, size, part, tie); whole holds all columns, so none of theirs clashes with those made here."""
+        """(doc_id, source, whole, size, part, tie); whole holds all columns, so none of theirs clashes with those made here."""
         text = F.col("text").cast("string")
-        rows = docs.select("doc_id", "source", text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
-        return rows.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), "tie": F.xxhash64("text")})
+        size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+        return docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), size.alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), F.xxhash64(text).alias("tie"))
 
     def placed(self, docs: DataFrame | None = None) -> DataFrame:
-        """Rows with s (source number), row (unique within s) and start (the first word's place in the source's stream). docs: rows as given at first, for text and whole (all their columns)."""
+        """Rows with s (source number), row (unique within s) and start (the first word's place in the source's stream). docs: rows as given at first, for whole (all their columns)."""
         sized = self.sized if docs is None else self._sized(docs)
         w = Window.partitionBy("source", "part").orderBy("doc_id", "tie")
         back = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -210,7 +210,7 @@ class Mix:
         """The mixed documents with the columns of `docs`: a row for each pass that takes words of a document. Where a pass takes all its words the text stays as it is, else it holds the taken words, a line for each run of blocks; n_chars follows the text, other columns stay, whatever their names. Rows without words give nothing; an empty table gives an empty one."""
         runs = self.rows().groupBy("s", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("parts"), F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
         both = self.placed(self.docs).join(runs, ["s", "row"])
-        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+        words = F.regexp_extract_all(F.col("whole")["text"].cast("string"), F.lit(WORD), F.lit(0))
         cuts = F.transform("parts", lambda p: F.array_join(F.slice(words, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int")), " "))
         both = both.select("whole", F.when(F.col("taken") < F.col("size"), F.array_join(cuts, "\n")).alias("part"))
         new = {"text": F.col("part"), "n_chars": F.char_length("part").cast("long")}
