@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of a generation whose encoding is kept between batches, the most characters of such a word, pairs whose verdict is kept, rows handed on at a time.
-KEPT, LONG, PAIRS, ROWS = 300_000, 40, 300_000, 500
+KEPT, LONG, PAIRS, ROWS = 200_000, 40, 300_000, 250
 UNKNOWN = -1
 # Kinds of models and of pieces in model files, and how far the score of an unknown character lies below the least one.
 UNIGRAM, BYTE_PAIR, PENALTY = 1, 2, 10.0
@@ -58,7 +58,7 @@ class Vocabulary:
         """The identifiers of a character that no piece has."""
         return [self.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
-    def encode(self, texts: list[str], chars: int = 1 << 21) -> list[np.ndarray]:
+    def encode(self, texts: list[str], chars: int = 1 << 20) -> list[np.ndarray]:
         """Identifiers of each text; the words of about `chars` characters are held at a time."""
         out, part, size = [], [], 0
         for t in texts:

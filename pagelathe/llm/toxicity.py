@@ -194,8 +194,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield pd.Series(shared.value.scores(list(map(words_of, t))))
+        for t in texts:  # the words of some texts are held at a time
+            yield pd.Series(np.concatenate([np.empty(0), *(shared.value.scores(list(map(words_of, t.iloc[i : i + 500]))) for i in range(0, len(t), 500))]))
 
     return docs.withColumn("score", scored(F.col("text").cast("string")))
 
