@@ -9,7 +9,8 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import cut
+
 # Notices of each family, as public licences and common headers word them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
@@ -24,7 +27,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the MIT license.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "apache-2.0": (
@@ -33,6 +36,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "Apache License Version 2.0, January 2004",
     ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
@@ -48,11 +52,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3.",
@@ -80,9 +88,34 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under CC0 1.0 Universal.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 public domain dedication.",
     ),
+    "isc": (
+        "Licensed under the ISC license.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "bsl-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.",
+    ),
+    "eupl": (
+        "Licensed under the EUPL, Version 1.2.",
+        "SPDX-License-Identifier: EUPL-1.2",
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the Licence); you may not use this work except in compliance with the Licence.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "mit-or-apache": (
+        "This file is dual MIT/Apache.",
+        "Dual-licensed under MIT and Apache-2.0.",
+        "SPDX-License-Identifier: MIT OR Apache-2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+    ),
 }
-#: Words that a paragraph is looked through for first; cue_words() adds what the templates need besides.
-CUES = ("licen[cs]e[ds]?", "licensing", "copyright", "permission", "permitted", "redistribute", "redistribution", "endorse", "warranties", "cc0", "mit", "apache", "bsd", "gpl", "lgpl", "agpl", "gnu", "mozilla", "mpl", "cc", "commons")
 #: The least share of a template's n-grams that confirms a notice.
 CONFIRM = 0.6
 #: Sentences that name licences or their words without being a notice.
@@ -102,6 +135,8 @@ OTHERS = (
     "The redistribution of wealth is not permitted under the terms of the plan.",
     "Version 2.0 of the program was published by the foundation.",
 )
+#: Words of which two in a row are common in any English text.
+COMMON = ("the", "of", "in", "to", "and", "or", "a", "is", "for", "by", "this", "with", "any", "under", "you", "may", "at", "as", "be", "not", "that", "it", "on", "all", "can")
 UNKNOWN = "unknown"
 TOKEN = "[a-z0-9]+"
 
@@ -116,19 +151,34 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
-@lru_cache(1)
-def cue_words() -> str:
-    """A pattern over lower-case text for words one of which each `CONFIRM` of a template's n-grams has: CUES, and of each template as many more, words of OTHERS last and long ones first, as leave less than that share of its n-grams without any."""
-    words, usual = list(CUES), {w for t in OTHERS for w in tokens(t)}
+def cue_grams() -> set[str]:
+    """N-grams one of which each `CONFIRM` of a template's n-grams has: its pairs, but for as many pairs of common words, and with as many single words, as leave less than that share of its n-grams."""
+    out: set[str] = set()
     for t in (t for texts in TEMPLATES.values() for t in texts):
-        left = grams(tokens(t))
-        least = len(left) * CONFIRM - 1e-6
-        for w in (None, *sorted(set(tokens(t)), key=lambda w: (w in usual, -len(w), w))):
-            words += [w] if w else []
-            left = {g for g in left if not any(re.fullmatch("|".join(words), x) for x in g.split())}
-            if len(left) < least:
-                break
-    return "(?<![a-z0-9])(?:" + "|".join(dict.fromkeys(words)) + ")(?![a-z0-9])"
+        every = grams(tokens(t))
+        pairs = sorted((g for g in every if " " in g), key=lambda g: (not set(g.split()) <= {*COMMON}, g))
+        single = sorted(every - set(pairs), key=lambda w: (w in COMMON, -len(w), w))
+        most = -int(-(len(every) * CONFIRM - 1e-6) // 1) - 1  # of the n-grams that no paragraph need have
+        spare = max(0, min(most - len(single), sum(set(g.split()) <= {*COMMON} for g in pairs)))
+        out.update(pairs[spare:], single[: max(0, len(single) - most)])
+    return out
+
+
+@lru_cache(1)
+def cues() -> str:
+    """A pattern over lower-case text for cue_grams(): a trie, so that a place in the text is compared with few of them."""
+    trie: dict = {}
+    for g in cue_grams():
+        node = trie
+        for c in g:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [("(?![a-z0-9])" if not c else "[^a-z0-9]+" if c == " " else c) + pattern(rest) for c, rest in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    return "(?<![a-z0-9])" + pattern(trie)
 
 
 @dataclass(frozen=True)
@@ -141,13 +191,24 @@ class Model:
     least: float
 
 
+def temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The number, 0.2 to 5, that logits (rows, classes) are best divided by, by log loss on labels y (one-hot)."""
+
+    def loss(t: float) -> float:
+        z = logits / t
+        return float((np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - (z * y).sum(1)).mean())
+
+    return min(np.geomspace(0.2, 5, 161).tolist(), key=loss)
+
+
 @lru_cache(1)
 def train(seed: int = 42, copies: int = 40) -> Model:
-    """Softmax regression with an unknown class on altered notices; the threshold is set on others, held back.
+    """Softmax regression with an unknown class on altered notices, calibrated on others, held back.
 
     Each template gives `copies` examples with words dropped, added, or cut; the unknown class has shuffled and cut
-    mixtures of the same words. A fifth is held back: the threshold is the least at which no held-back unknown example
-    passes, within 0.5 to 0.95.
+    mixtures of the same words. A fifth is held back. On half of it the probabilities of all classes are calibrated: the
+    log-odds are divided by the temperature of least log loss. On the other half the threshold is set: the least
+    probability at which no unknown example passes, within 0.5 to 0.95.
     """
     rng = random.Random(seed)
     names = (UNKNOWN, *TEMPLATES)
@@ -192,10 +253,13 @@ def train(seed: int = 42, copies: int = 40) -> Model:
         grad[seen] = np.add.reduceat(g[d[order]], starts[seen], axis=0)
         w -= 0.02 * (grad + 0.02 * w)
         b -= 0.002 * g.sum(0)
+    half = held & (np.arange(len(rows)) % 10 == 0)
+    logits = np.log(np.maximum(probabilities(), 1e-300))
+    w, b = w / (heat := temperature(logits[half], y[half])), b / heat
     p = probabilities()
-    unknown = held & (y[:, 0] == 1)
+    unknown = held & ~half & (y[:, 0] == 1)
     least = float(np.clip(p[unknown, 1:].max(), 0.5, 0.95))
-    i, k = np.nonzero(np.abs(w - w[:, :1]) > 0.02)
+    i, k = np.nonzero(np.abs(w - w[:, :1]) > 0.02 / heat)
     table = pd.DataFrame({"gram": [vocabulary[x] for x in i], "family": [names[x] for x in k], "weight": (w[i, k] - w[i, 0])})
     return Model(names[1:], table, {n: float(b[j] - b[0]) for j, n in enumerate(names)}, least)
 
@@ -205,27 +269,48 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+BLANK = r"^[\x09-\x0D\x20]*$"
+
+
+def _blocks(lines: Column) -> Column:
+    """The runs of two and more lines without a blank one between, as structs like those of paragraphs()."""
+    return F.transform(F.array(lines), _blocks_of)[0]
+
+
+def _blocks_of(lines: Column) -> Column:
+    n = F.size(lines)
+    blank = lambda k: F.coalesce(F.get(lines, k).rlike(BLANK), F.lit(True))
+    every = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(every, lambda k: ~blank(k) & blank(k - 1))
+    ends = F.filter(every, lambda k: ~blank(k) & blank(k + 1))
+    runs = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda r: r["s"] < r["e"])
+    return F.transform(runs, lambda r: F.struct(r["s"].alias("line_no"), r["e"].alias("last"), F.array_join(F.slice(lines, r["s"] + 1, r["e"] - r["s"] + 1), " ").alias("line")))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, words) of the distinct lines that have a cue word; tie tells texts of one doc_id apart."""
+    """(doc_id, tie, line_no, last, words) of the distinct paragraphs that have a cue: runs of lines between blank ones, and each line by itself; last: the last line's number; tie tells texts of one doc_id apart."""
     text = F.col("text").cast("string")
-    lines = docs.where(F.lower(text).rlike(cue_words())).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
-    return lines.where(F.lower("line").rlike(cue_words())).select("doc_id", "tie", "line_no", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("words")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).where(F.lower("text").rlike(cues()))
+    lines = F.split("text", r"\r?\n")
+    single = F.transform(lines, lambda x, k: F.struct(k.alias("line_no"), k.alias("last"), x.alias("line")))
+    rows = rows.select("doc_id", "tie", F.explode(F.concat(single, _blocks(lines))).alias("x")).select("doc_id", "tie", "x.line_no", "x.last", F.lower("x.line").alias("line"))
+    return rows.where(F.col("line").rlike(cues())).select("doc_id", "tie", "line_no", "last", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("words")).distinct()
 
 
 def classify(found: DataFrame, model: Model | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, tie, line_no, family, probability, template_share) of paragraphs() rows; family is 'unknown' below the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph."""
+    """(doc_id, tie, line_no, last, family, probability, template_share) of paragraphs() rows; family is 'unknown' below the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph."""
     spark, model = found.sparkSession, model or train()
     weights = spark.createDataFrame(pa.Table.from_pandas(model.weights, preserve_index=False))
     bias = spark.createDataFrame([(k, v) for k, v in model.bias.items() if k != UNKNOWN], "family string, bias double")
     parts = [(name, i, g, 1 / len(gs)) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams(tokens(t))] for g in sorted(gs)]
     templates = spark.createDataFrame(pa.Table.from_pandas(pd.DataFrame(parts, columns=["family", "template", "gram", "part"]), preserve_index=False))
-    one = found.select("doc_id", "tie", "line_no", F.explode(_grams(F.col("words"))).alias("gram"))
-    key = ["doc_id", "tie", "line_no"]
+    one = found.select("doc_id", "tie", "line_no", "last", F.explode(_grams(F.col("words"))).alias("gram"))
+    key = ["doc_id", "tie", "line_no", "last"]
     # tables of the model and the templates: a few thousand rows, whatever the input
     z = one.join(F.broadcast(weights), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z")).join(F.broadcast(bias), "family").withColumn("z", F.col("z") + F.col("bias"))
     share = one.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.sum("part").alias("share")).groupBy(*key, "family").agg(F.max("share").alias("share"))
     same = [z[c].eqNullSafe(share[c]) for c in (*key, "family")]
-    both = z.join(share, same[0] & same[1] & same[2] & same[3], "left").select(*(z[c] for c in (*key, "family", "z")), F.coalesce("share", F.lit(0.0)).alias("share"))
+    both = z.join(share, reduce(and_, same), "left").select(*(z[c] for c in (*key, "family", "z")), F.coalesce("share", F.lit(0.0)).alias("share"))
     top = both.groupBy(*key).agg(F.max_by(F.struct("family", "z", "share"), F.struct("z", "family")).alias("top"), F.sum(F.exp(F.least("z", F.lit(300.0)))).alias("all"))
     p = F.exp(F.least(F.col("top.z"), F.lit(300.0))) / (1 + F.col("all"))
     sure = (p >= model.least) & (F.col("top.share") >= confirm - 1e-9)
@@ -235,11 +320,16 @@ def classify(found: DataFrame, model: Model | None = None, confirm: float = CONF
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_notices long, families array<string> (distinct, sorted), notices string ('line:family', by line).
 
-    Null and empty texts, and those without notice, have none; repeated rows come repeatedly; rows that share a doc_id
-    with other texts keep their own notices; other columns play no part.
+    A notice is a line, or a run of lines between blank ones, at its first line, where no line of it is a notice of that
+    family by itself. Null and empty texts, and those without notice, have none; repeated rows come repeatedly; rows
+    that share a doc_id with other texts keep their own notices; very long texts are taken whole; an empty table gives
+    an empty result; other columns play no part.
     """
-    got = classify(paragraphs(docs)).where(F.col("family") != UNKNOWN).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("line_no", "family"))).alias("notices"))
-    got = got.withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
+    got = classify(cut(paragraphs(docs))).where(F.col("family") != UNKNOWN).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("line_no", "last", "family"))).alias("all"))
+    within = lambda x, y: (y["line_no"] == y["last"]) & (y["family"] == x["family"]) & y["line_no"].between(x["line_no"], x["last"])
+    own = F.filter("all", lambda x: (x["line_no"] == x["last"]) | ~F.exists("all", lambda y: within(x, y)))
+    notices = F.transform(own, lambda x: F.struct(x["line_no"].alias("line_no"), x["family"].alias("family")))
+    got = got.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), notices.alias("notices"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
     out = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
     none = F.coalesce("notices", F.array().cast("array<struct<line_no: int, family: string>>"))

@@ -565,26 +565,77 @@ def test_toxicity_held_out(spark):
 
 
 def test_licenses(spark):
-    cue = re.compile("|".join(licenses.CUES), re.IGNORECASE)
-    assert all(cue.search(t) for ts in licenses.TEMPLATES.values() for t in ts)
+    """Families of the templates, no notice in the other sentences, and texts that the model never saw, wrapped ones too."""
     rows = [(k, t, f) for k, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
-    other = [(1000 + k, t, "") for k, t in enumerate(licenses.OTHERS)] + [(2000, "He has no licence for that, nor a permission.", "")]
-    got = {r.doc_id: ",".join(r.families) for r in licenses.scan(spark.createDataFrame(rows + other, "doc_id long, text string, family string")).collect()}
-    wrong = [(t, f, got[k]) for k, t, f in rows + other if got[k] != f]
-    assert len(wrong) <= 2, wrong
-
-
-def test_license_cues(spark):
-    """No paragraph that the templates can confirm lacks a cue, and altered notices without the usual words are found."""
-    cue = re.compile(licenses.cue_words())
-    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
-        g = licenses.grams(licenses.tokens(t))
-        assert sum(not cue.search(x) for x in g) / len(g) < 0.6 - 1e-9, t
-    told = {"Distributed under the GPL v3.": "gpl", "Released under CC BY 4.0.": "cc-by", "Released under CC BY-NC 4.0.": "cc-by-nc", "Text: CC BY-SA 4.0": "cc-by-sa"}
-    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
-    found = licenses.paragraphs(docs)
-    assert found.count() == 4
-    assert {r.doc_id: r.family for r in licenses.classify(found).collect()} == dict(enumerate(told.values()))
+    other = [(1000 + k, t, "") for k, t in enumerate(licenses.OTHERS)] + [(2000, "He has no licence for that, nor a permission.", ""), (2001, "The students at MIT renewed the license of the laboratory under new rules.\nVersion 3 of the general plan is public.", "")]
+    unseen = [
+        ("Copyright (c) 2024 A. Nobody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe text goes on.", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n", "bsd"),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "gpl"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Preamble", "gpl"),
+        ("This file is dual MIT/Apache.", "mit-or-apache"),
+        ("Dieses Werk steht unter CC BY-SA 4.0.", "cc-by-sa"),
+        ("Distributed under the GPL v3.", "gpl"),
+        ("Released under CC BY 4.0.", "cc-by"),
+        ("Released under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Text: CC BY-SA 4.0", "cc-by-sa"),
+        ("The code is released under the ISC license.", "isc"),
+        ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)", "bsl-1.0"),
+        ("A letter to a friend.\nWe went to the sea, and all of the boats were in the bay.\nIt is hereby said that any person may come.", ""),
+    ]
+    rows += other + [(3000 + k, t, f) for k, (t, f) in enumerate(unseen)]
+    got = {r.doc_id: ",".join(r.families) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, family string")).collect()}
+    wrong = [(k, t[:60], f, got[k]) for k, t, f in rows if got[k] != f]
+    assert not wrong, wrong
+    where = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(rows[-13:], "doc_id long, text string, family string")).collect()}
+    assert where[3000] == "2:mit" and where[3003] == "0:gpl" and where[3012] == ""
+
+
+def test_license_cues():
+    """No share of a template's n-grams that confirms it is without a cue, and the pattern finds just the paragraphs with a cue."""
+    cue, pattern = licenses.cue_grams(), re.compile(licenses.cues())
+    every = [licenses.grams(licenses.tokens(t)) for ts in licenses.TEMPLATES.values() for t in ts]
+    assert all(len(g - cue) / len(g) < licenses.CONFIRM - 1e-9 for g in every)
+    rng = random.Random(2)
+    words = sorted({w for g in every for x in g for w in x.split()})
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice((" ", ", ", "-", "\n", "é", "x")) for _ in range(rng.randrange(1, 5)))
+        assert bool(pattern.search(text)) == bool(licenses.grams(licenses.tokens(text)) & cue), text
+
+
+def brute_notices(text, model):
+    """Notices of a text by dense scores of every line and run of lines."""
+    lines, units = re.split(r"\r?\n", text), []
+    for k, x in enumerate(lines):
+        units.append((k, k, x))
+        if x.strip() and (not k or not lines[k - 1].strip()):
+            end = next((e for e in range(k, len(lines)) if not lines[e].strip()), len(lines)) - 1
+            units += [(k, end, " ".join(lines[k : end + 1]))] * (end > k)
+    weight = {(r.gram, r.family): r.weight for r in model.weights.itertuples()}
+    found = []
+    for s, e, x in units:
+        g = licenses.grams(licenses.tokens(x))
+        z = {f: model.bias[f] + sum(weight.get((y, f), 0.0) for y in g) for f in model.families if any((y, f) in weight for y in g)}
+        if z:
+            top = max(z, key=lambda f: (z[f], f))
+            p = np.exp(z[top]) / (1 + sum(np.exp(v) for v in z.values()))
+            share = max(len(g & own) / len(own) for own in (licenses.grams(licenses.tokens(t)) for t in licenses.TEMPLATES[top]))
+            if p >= model.least and share >= licenses.CONFIRM - 1e-9:
+                found.append((s, e, top))
+    return sorted((s, f) for s, e, f in found if s == e or not any(a == b and s <= a <= e and f == o for a, b, o in found))
+
+
+def test_licenses_by_brute_force(spark, sf):
+    model, rng = licenses.train(), random.Random(11)
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    texts = list(docs.text)[:120]
+    every = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    for _ in range(120):  # wrapped, cut and mixed
+        words = [w for _ in range(rng.randrange(1, 4)) for w in rng.choice([rng.choice(every), rng.choice(licenses.OTHERS)]).split() if rng.random() < 0.95]
+        texts.append("".join(w + rng.choice((" ", " ", " ", " ", "\n", "\n\n" if rng.random() < 0.2 else " ")) for w in words))
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {k: ",".join(f"{s}:{f}" for s, f in brute_notices(t, model)) for k, t in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > 40
 
 
 def test_pipeline(spark, sf):
