@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,45 +70,57 @@ def replaced(content: Column, old: str, new: str, every: bool = False) -> Column
     return F.when((n == 1) | (F.lit(every) & (n > 0)), F.replace(content, F.lit(old), F.lit(new)))
 
 
+def _lengths(old: list[str], new: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of all beginnings, a row at a time: along a row they are the running maximum of what the row above allows."""
+    code = {x: k for k, x in enumerate(dict.fromkeys(old + new))}
+    right = np.array([code[x] for x in new], np.int32)
+    out = np.zeros((len(old) + 1, len(new) + 1), np.int32)
+    for i, x in enumerate(old):
+        out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + (right == code[x])))
+    return out
+
+
 def diff(old: list[str], new: list[str]) -> list[tuple[str, str, int | None, int | None]]:
     """(type, line, old number, new number). Up to EXACT lines a side by longest common subsequence, walked from the end, added before removed on ties; above that by the next equal line within AHEAD."""
-    m, n = len(old), len(new)
-    if max(m, n) > EXACT:
+    if max(len(old), len(new)) > EXACT:
         return _ahead(old, new)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i, x in enumerate(old):
-        for j, y in enumerate(new):
-            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-    out, i, j = [], m, n
+    best, out, i, j = _lengths(old, new), [], len(old), len(new)
     while i or j:
         if i and j and old[i - 1] == new[j - 1]:
-            out.append(("same", old[i - 1], i, j))
-            i, j = i - 1, j - 1
-        elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
-            out.append(("added", new[j - 1], None, j))
-            j -= 1
+            kind, di, dj = "same", 1, 1
+        elif not i or (j and best[i, j - 1] >= best[i - 1, j]):
+            kind, di, dj = "added", 0, 1
         else:
-            out.append(("removed", old[i - 1], i, None))
-            i -= 1
+            kind, di, dj = "removed", 1, 0
+        out.append((kind, old[i - 1] if di else new[j - 1], i if di else None, j if dj else None))
+        i, j = i - di, j - dj
     return out[::-1]
 
 
 def _ahead(old: list[str], new: list[str]) -> list[tuple[str, str, int | None, int | None]]:
+    """Both sides side by side: where they differ, the side whose line comes sooner on the other one, the old side on ties, waits for it; lines that neither side has within AHEAD are changed one for one."""
+
+    def steps(lines: list[str], at: int, wanted: str) -> int:
+        return next((k for k, x in enumerate(lines[at : at + AHEAD]) if x == wanted), AHEAD)
+
+    added = lambda j: ("added", new[j], None, j + 1)
+    removed = lambda i: ("removed", old[i], i + 1, None)
     out, i, j = [], 0, 0
-    while i < len(old) or j < len(new):
-        if i < len(old) and j < len(new) and old[i] == new[j]:
+    while i < len(old) and j < len(new):
+        down, across = steps(new, j, old[i]), steps(old, i, new[j])
+        if not down:
             out.append(("same", old[i], i + 1, j + 1))
             i, j = i + 1, j + 1
-            continue
-        down = new.index(old[i], j, j + AHEAD) - j if i < len(old) and old[i] in new[j : j + AHEAD] else None
-        left = old.index(new[j], i, i + AHEAD) - i if j < len(new) and new[j] in old[i : i + AHEAD] else None
-        if down is not None and (left is None or down <= left) or i >= len(old):
-            out.append(("added", new[j], None, j + 1))
-            j += 1
+        elif down == across == AHEAD:
+            out += [removed(i), added(j)]
+            i, j = i + 1, j + 1
+        elif down <= across:
+            out += map(added, range(j, j + down))
+            j += down
         else:
-            out.append(("removed", old[i], i + 1, None))
-            i += 1
-    return out
+            out += map(removed, range(i, i + across))
+            i += across
+    return [*out, *map(removed, range(i, len(old))), *map(added, range(j, len(new)))]
 
 
 def diffs(pairs: DataFrame) -> DataFrame:

@@ -53,11 +53,11 @@ def error_suggestions(spark, d):
     return log(spark, d).select("event_id", R.suggestion(F.col("message")).alias("suggestion"))
 
 
-@register("error_related_files", f"SELECT event_id AS error_id, '/src1/' || (event_id % 400) || '.txt' AS path FROM events WHERE event_type = 'error' AND event_id % 400 IN (SELECT doc_id FROM documents WHERE source = 'src1') ")
+@register("error_related_files", "SELECT event_id AS error_id, '/' || source || '/' || doc_id || '.txt' AS path FROM events JOIN documents ON doc_id = event_id WHERE event_type = 'error'")
 def error_related_files(spark, d):
     """The files that errors name."""
-    e = log(spark, d).where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.concat(F.lit("failed in "), (F.col("event_id") % 400).cast("string"), F.lit(".txt now")).alias("message"))
-    return R.related(e, files(spark, d).where("path LIKE '/src1/%'"))
+    e = log(spark, d).where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.concat(F.lit("failed in "), F.col("event_id").cast("string"), F.lit(".txt now")).alias("message"))
+    return R.related(e, files(spark, d))
 
 
 @register("build_errors", f"SELECT event_id, 'vite:' || event_type AS plugin, '/src/App.jsx' AS file, CAST(event_id % 90 AS INT) AS line, 7 AS col, 2 AS frames, 1 AS stack FROM events")

@@ -132,6 +132,48 @@ def test_diff(seed):
     assert files.diff(a, a) == [("same", x, i, i) for i, x in enumerate(a, 1)]
 
 
+def plain_lcs(a, b):
+    """The longest common subsequence's length by its definition."""
+    if not a or not b:
+        return 0
+    return 1 + plain_lcs(a[:-1], b[:-1]) if a[-1] == b[-1] else max(plain_lcs(a[:-1], b), plain_lcs(a, b[:-1]))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_diff_is_shortest(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in range(2))
+    assert sum(t == "same" for t, *_ in files.diff(a, b)) == plain_lcs(a, b)
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "want"),
+    [
+        ("abc", "axc", "=a -b +x =c"),  # neither side has the other's line: changed one for one
+        ("ab", "xyab", "+x +y =a =b"),
+        ("xyab", "ab", "-x -y =a =b"),
+        ("pq", "qp", "+q =p -q"),  # as far on both sides: the new side's lines come first
+        ("p12q", "qp", "+q =p -1 -2 -q"),
+        ("a" + "0123456789" + "b", "b", "-a -0 -1 -2 -3 -4 -5 -6 -7 -8 -9 -b".replace("-a", "-a +b", 1)),  # ten lines ahead is too far
+        ("", "ab", "+a +b"),
+        ("ab", "", "-a -b"),
+    ],
+)
+def test_diff_ahead(old, new, want):
+    sign = {"same": "=", "added": "+", "removed": "-"}
+    assert " ".join(sign[t] + x for t, x, *_ in files._ahead(list(old), list(new))) == want
+
+
+def test_nearest(spark):
+    """Brute force over selectors with crowded, missing and far stretches, and ties."""
+    rng = random.Random(5)
+    rows = [(s, i, float(rng.choice((rng.randrange(300), 5000, -900)))) for i, s in enumerate(rng.choice("aab") for _ in range(300))] + [("d", 999, 7.0)]
+    wanted = [(s, float(t)) for s in "abcd" for t in (-2000, -900, 0, 63, 64, 65, 100.5, 149, 2600, 5000, 9000)]
+    got = {(r.selector, r.target): r.id for r in rects.nearest(spark.createDataFrame(wanted, "selector string, target double"), spark.createDataFrame(rows, "selector string, id long, y double")).collect()}
+    want = {(s, t): min((abs(y - t), i) for o, i, y in rows if o == s)[1] for s, t in wanted if s != "c"}
+    assert got == want
+
+
 def test_long_diff():
     a = [str(i) for i in range(1001)]
     assert [x for x in files.diff(a, a[:500] + ["new"] + a[500:]) if x[0] != "same"] == [("added", "new", None, 501)]
