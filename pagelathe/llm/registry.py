@@ -59,7 +59,7 @@ def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as MPEG audio streams, read back."""
     out = mpeg.features(mpeg.media(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "sample_rate", "frame_offsets")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
