@@ -155,3 +155,37 @@ def selector(tag: Column, id_: Column, classes: Column) -> Column:
     """#id, else the tag with its first class that starts with neither digit nor dash, else the tag."""
     fit = F.filter(classes, lambda c: ~c.rlike(r"^[\d-]") & (c != ""))
     return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(F.lit("#"), id_)).when(F.size(fit) > 0, F.concat_ws(".", tag, F.get(fit, F.lit(0)))).otherwise(tag)
+
+
+# Style values that say nothing.
+PLAIN_STYLES = ("", "none", "normal", "auto", "0px")
+
+
+def sparse_styles(styles: Column) -> Column:
+    """a map of styles without those that say nothing; names as lower-case words joined by underscores, float as float_."""
+    named = F.transform_keys(F.map_filter(styles, lambda k, v: ~F.coalesce(v, F.lit("")).isin(*PLAIN_STYLES)), lambda k, v: kebab(k))
+    return F.transform_keys(named, lambda k, v: F.when(k == "float", "float_").otherwise(k))
+
+
+# Tags and class words of elements that matter by themselves.
+SEMANTIC_TAGS = ("header", "nav", "main", "section", "article", "aside", "footer")
+TELLING_CLASSES = ("hero", "banner", "card", "container", "wrapper", "section")
+
+
+def is_significant(tag: Column, id_: Column, classes: Column, width: Column, height: Column) -> Column:
+    """whether an element of at least 50 by 30 has a semantic tag, a telling class or an id."""
+    telling = F.exists(F.coalesce(classes, F.array().cast("array<string>")), lambda c: F.lower(c).rlike("|".join(TELLING_CLASSES)))
+    return (width >= 50) & (height >= 30) & (F.lower(tag).isin(*SEMANTIC_TAGS) | telling | (F.coalesce(id_, F.lit("")) != ""))
+
+
+def background_url(style: Column) -> Column:
+    """The address in a background's url(), else null."""
+    return F.nullif(F.regexp_extract(style, r"""url\(["']?([^"')]+)["']?\)""", 1), F.lit(""))
+
+
+def fallback_selectors(selector: Column) -> Column:
+    """X11: for #id itself; else the tag, and the tag with its first class, without what follows : or [, where that doesn't start with a digit."""
+    tag, rest = F.split_part(selector, F.lit("."), F.lit(1)), F.split_part(selector, F.lit("."), F.lit(2))
+    first = F.regexp_extract(rest, r"^([^:\[]*)", 1)
+    some = F.array(F.nullif(tag, F.lit("")), F.when(first.rlike("^[^0-9]"), F.concat(tag, F.lit("."), first)))
+    return F.when(selector.startswith("#"), F.array(selector)).otherwise(F.array_compact(some))

@@ -167,3 +167,21 @@ def undeclared_packages(files: DataFrame, declared: DataFrame, builtin: tuple[st
     names = F.flatten(F.array(F.regexp_extract_all("content", F.lit(r"""from\s+['"]([^'".][^'"]*)['"]"""), F.lit(1)), F.regexp_extract_all("content", F.lit(r"""require\(\s*['"]([^'".][^'"]*)['"]"""), F.lit(1))))
     used = files.select(F.explode(names).alias("name")).select(F.when(F.col("name").startswith("@"), F.regexp_extract("name", "^(@[^/]+/[^/]+)", 1)).otherwise(F.substring_index("name", "/", 1)).alias("name")).distinct()
     return used.where(~F.col("name").isin(*builtin)).join(declared.select("name"), "name", "left_anti")
+
+
+# Characters that make a search pattern one for paths.
+GLOB = "*?[]"
+
+
+def search_mode(pattern: str) -> str:
+    """Whether a pattern without a mode is looked for among paths (files) or in what they hold (content)."""
+    return "files" if set(pattern) & set(GLOB) else "content"
+
+
+def found(files: DataFrame, pattern: str, mode: str | None = None) -> DataFrame:
+    """Files (path) that a pattern finds, by path as a glob, or by content as a regular expression in any case, as its mode or its characters say."""
+    if (mode or search_mode(pattern)) == "files":
+        from pagelathe.functions.text import glob_regex
+
+        return files.where(F.col("path").rlike(glob_regex(pattern))).select("path")
+    return files.where(F.col("content").rlike(f"(?i){pattern}")).select("path")

@@ -121,3 +121,9 @@ def find_field(fields: list[str], patterns: list[str]) -> str | None:
             if any(test(f, p.lower()) for p in patterns):
                 return f
     return None
+
+
+def union_keys(df: DataFrame, key: str, column: str, sample: int = 5) -> DataFrame:
+    """E5: (key, field): the fields of the first `sample` objects of each JSON list; other items have none."""
+    items = F.slice(F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>")), 1, sample)
+    return df.select(key, F.explode(F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))).alias("field")).distinct()

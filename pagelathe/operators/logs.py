@@ -6,18 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Patterns of errors in order, with category and severity.
+# Patterns of errors in order, with category and severity, and whether their group is what the error is about.
 CATALOGUE = (
-    (r"Cannot find module ['\"]([^'\"]+)['\"]", "MISSING_IMPORT", "HIGH"),
-    (r"Module not found: Error: Can't resolve ['\"]([^'\"]+)['\"]", "MISSING_IMPORT", "HIGH"),
-    (r"Failed to resolve import ['\"]([^'\"]+\.css)['\"]", "MISSING_CSS", "MEDIUM"),
-    (r"SyntaxError: (.+)", "SYNTAX_ERROR", "HIGH"),
-    (r"React is not defined", "MISSING_REACT_IMPORT", "MEDIUM"),
-    (r"(.+) is not defined", "UNDEFINED_VARIABLE", "MEDIUM"),
+    (r"Cannot find module ['\"]([^'\"]+)['\"]", "MISSING_IMPORT", "HIGH", True),
+    (r"Module not found: Error: Can't resolve ['\"]([^'\"]+)['\"]", "MISSING_IMPORT", "HIGH", True),
+    (r"Failed to resolve import ['\"]([^'\"]+\.css)['\"]", "MISSING_CSS", "MEDIUM", True),
+    (r"SyntaxError: (.+)", "SYNTAX_ERROR", "HIGH", True),
+    (r"React is not defined", "MISSING_REACT_IMPORT", "MEDIUM", False),
+    (r"(.+) is not defined", "UNDEFINED_VARIABLE", "MEDIUM", True),
+    (r"TypeError: (.+)", "TYPE_ERROR", "MEDIUM", True),
+    (r"Failed to compile", "BUILD_FAILED", "HIGH", False),
+    (r"npm ERR!", "NPM_ERROR", "HIGH", False),
+    (r"Process exited with code (\d+)", "PROCESS_EXIT", "HIGH", False),
+    (r"npm ERR! code E(\d+)", "NPM_ERROR", "HIGH", False),
+    (r"ENOENT|EACCES|EPERM", "FILESYSTEM_ERROR", "HIGH", False),
+    (r"WHITE_SCREEN", "WHITE_SCREEN", "CRITICAL", False),
+    (r"\[plugin:vite:([^\]]+)\]", "VITE_PLUGIN_ERROR", "HIGH", True),
+    (r"Unexpected token", "SYNTAX_ERROR", "HIGH", False),
+    (r"Invalid hook call", "REACT_HOOK_ERROR", "HIGH", False),
 )
 # Order of fixing by category; others come last, at 99.
 FIX_ORDER = {"BUILD_FAILED": 1, "VITE_PLUGIN_ERROR": 2, "MISSING_IMPORT": 3, "MISSING_CSS": 4, "SYNTAX_ERROR": 5, "REACT_HOOK_ERROR": 6, "TYPE_ERROR": 7, "UNDEFINED_VARIABLE": 8, "NPM_ERROR": 9, "PROCESS_EXIT": 10, "WHITE_SCREEN": 11, "FILESYSTEM_ERROR": 12, "MISSING_REACT_IMPORT": 13}
+# Order of the sources of errors, and of their severities.
 SOURCE_ORDER = {"browser": 0, "terminal": 1, "static": 2}
+SEVERITY_ORDER = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
 def first_match(text: Column, catalogue: tuple, column: int) -> Column:
@@ -72,3 +84,26 @@ def sessions(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     new = F.when(F.lag(ts).over(w).isNull() | ((micros(ts) - micros(F.lag(ts).over(w))) > gap_s * 1_000_000), 1).otherwise(0)
     rows = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "session").agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def subject(text: Column, catalogue: tuple = CATALOGUE) -> Column:
+    """What an error is about: the group of the catalogue's first pattern that its text has, null where that has none."""
+    out = F.when(F.lit(False), F.lit(""))
+    for pattern, _, _, named in catalogue:
+        out = out.when(text.rlike(f"(?i){pattern}"), F.regexp_extract(text, f"(?i){pattern}", 1) if named else F.lit(None).cast("string"))
+    return out
+
+
+def merge_errors(sources: dict[str, DataFrame]) -> DataFrame:
+    """Errors (seq, file, line, message) of several sources as one table: of those with equal file, line and first 50 characters the first stays, by the order of `sources` and seq; ordered by source (rank), file and line."""
+    parts = [df.select(F.lit(k).alias("turn"), F.lit(name).alias("source"), "seq", "file", "line", "message") for k, (name, df) in enumerate(sources.items())]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    one = keep_first(every, ["file", "line", F.left(F.coalesce("message", F.lit("")), F.lit(50))], ["turn", "seq"])
+    return one.withColumn("rank", lookup(F.col("source"), SOURCE_ORDER, 99)).orderBy("rank", F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), "turn", "seq").drop("turn")
+
+
+def severity_rank(severity: Column) -> Column:
+    """A severity's place, unknown ones last."""
+    return lookup(severity, SEVERITY_ORDER, 99)

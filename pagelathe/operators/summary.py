@@ -131,3 +131,43 @@ def sections_of(components: DataFrame) -> DataFrame:
         F.coalesce("height", F.lit(400.0)).alias("height"),
         F.concat(tag(F.col("links_in"), "internal"), tag(F.col("links_out"), "external")).alias("links"),
     )
+
+
+def component_stats(components: DataFrame) -> DataFrame:
+    """Of each page's components (page_id, type, n_links, n_images, tokens): number, numbers by type, sums, and the mean tokens rounded down."""
+    by = components.groupBy("page_id", "type").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("n_links", "n_images", "tokens")))
+    sums = (F.sum(c).alias(f"total_{c}") for c in ("n_links", "n_images", "tokens"))
+    out = by.groupBy("page_id").agg(F.sum("n").alias("components"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_type"), *sums)
+    return out.withColumn("avg_tokens", F.floor(F.col("total_tokens") / F.col("components")))
+
+
+def image_users(components: DataFrame) -> DataFrame:
+    """(page_id, url, ids): the components (page_id, id, images) that show each image, by id."""
+    return components.select("page_id", "id", F.explode(F.array_distinct("images")).alias("url")).groupBy("page_id", "url").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def component_html(components: Column, index: Column) -> Column:
+    """P10: of an array of components (full_html, located_html, raw_html) the HTML of the one at an index: the first of the three that isn't empty; null out of bounds or without any."""
+    own = F.get(components, index)
+    return F.coalesce(*(F.nullif(own[c], F.lit("")) for c in ("full_html", "located_html", "raw_html")))
+
+
+# How many variables, colours and fonts a page's styles show.
+STYLE_CAPS = {"variables": 50, "colors": 20, "fonts": 10}
+
+
+def page_styles(styles: DataFrame) -> DataFrame:
+    """Of pages' lists of variables, colors and fonts the first ones."""
+    return styles.withColumns({c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n) for c, n in STYLE_CAPS.items()})
+
+
+def spacing_scale(spacing: DataFrame, most: int = 10) -> DataFrame:
+    """(page_id, step, size) from (page_id, margins, paddings): the distinct numbers of both in order, the first ones, in pixels, steps from 0."""
+    sizes = F.array_sort(F.array_compact(F.array_union(F.coalesce("margins", F.array().cast("array<double>")), F.coalesce("paddings", F.array().cast("array<double>")))))
+    return spacing.select("page_id", F.posexplode(F.slice(sizes, 1, most)).alias("step", "value")).select("page_id", "step", F.concat(F.regexp_replace(F.col("value").cast("string"), r"\.0$", ""), F.lit("px")).alias("size"))
+
+
+def replay_stats(events: DataFrame) -> DataFrame:
+    """Of each recording (replay_id, ts_ms, type, workers array): sections of its first spawn, files written, whole seconds to its last event."""
+    first = F.min_by(F.size("workers"), F.when(F.col("type") == "worker_spawned", F.struct("ts_ms", "seq")))
+    return events.groupBy("replay_id").agg(F.coalesce(first, F.lit(0)).alias("sections"), F.count_if(F.col("type") == "file_written").alias("files"), F.floor(F.max("ts_ms") / 1000).alias("duration_seconds"))

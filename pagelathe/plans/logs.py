@@ -16,8 +16,8 @@ def events(spark, d):
 
 
 # Messages that stand for errors of the log, by event number.
-MESSAGES = ("Cannot find module './a'", "SyntaxError: Unexpected token /src/App.jsx:12:5", "foo is not defined", "React is not defined at src/main.tsx:7", "all is well", "Failed to resolve import \"x.css\"", "Error on Line 9, column: 4")
-MESSAGE = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{m.replace(chr(39), chr(39) * 2)}'" for i, m in enumerate(MESSAGES)) + " END"
+MESSAGES = ("Cannot find module './a'", "SyntaxError: Unexpected token /src/App.jsx:12:5", "foo is not defined", "React is not defined at src/main.tsx:7", "all is well", "Failed to resolve import \"x.css\"", "Error on Line 9, column: 4", "Module not found: Error: Can't resolve 'q/r'", "TypeError: x is null", "Failed to compile", "npm ERR! code E404", "Process exited with code 3", "open /a: ENOENT", "WHITE_SCREEN at /", "[plugin:vite:css] bad", "Unexpected token <", "Invalid hook call", "cannot load './m.css': Failed to resolve import './m.css'")
+MESSAGE = f"CASE event_id % {len(MESSAGES)} " + " ".join(f"WHEN {i} THEN '{m.replace(chr(39), chr(39) * 2)}'" for i, m in enumerate(MESSAGES)) + " END"
 SQL_LOG = f"(SELECT *, {MESSAGE} AS message FROM events)"
 
 
@@ -27,8 +27,40 @@ def log(spark, d):
     return events(spark, d).withColumn("message", m)
 
 
+# Written out, not taken from the library: what each of MESSAGES is and is about.
+KNOWN = (("MISSING_IMPORT", "./a"), ("SYNTAX_ERROR", "Unexpected token /src/App.jsx:12:5"), ("UNDEFINED_VARIABLE", "foo"), ("MISSING_REACT_IMPORT", None), (None, None), ("MISSING_CSS", "x.css"), (None, None), ("MISSING_IMPORT", "q/r"), ("TYPE_ERROR", "x is null"), ("BUILD_FAILED", None), ("NPM_ERROR", None), ("PROCESS_EXIT", None), ("FILESYSTEM_ERROR", None), ("WHITE_SCREEN", None), ("VITE_PLUGIN_ERROR", "css"), ("SYNTAX_ERROR", None), ("REACT_HOOK_ERROR", None), ("MISSING_CSS", "./m.css"))
+
+
+def sql_known(k: int) -> str:
+    return f"CASE event_id % {len(MESSAGES)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if row[k] is None else f"'{row[k]}'") for i, row in enumerate(KNOWN)) + " END"
+
+
+@register("error_subjects", f"SELECT event_id, {sql_known(0)} AS category, {sql_known(1)} AS subject FROM events")
+def error_subjects(spark, d):
+    """What errors are about."""
+    m = F.col("message")
+    return log(spark, d).select("event_id", logs.first_match(m, logs.CATALOGUE, 1).alias("category"), logs.subject(m).alias("subject"))
+
+
+SQL_SOURCES = "SELECT CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS turn, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '/f' || (event_id % 40) END AS file, CAST(event_id % 9 AS INT) AS line, 'm' || (event_id % 3) || ' ' || repeat('x', 60) || event_id AS message FROM events WHERE event_type IN ('error', 'click', 'view')"
+
+
+@register("error_merge", f"SELECT seq, file, line, message, ['terminal', 'browser', 'static'][turn + 1] AS source, [1, 0, 2][turn + 1] AS rank FROM ({SQL_SOURCES} QUALIFY row_number() OVER (PARTITION BY file, line, left(message, 50) ORDER BY turn, seq) = 1)")
+def error_merge(spark, d):
+    """Errors of terminal, browser and code as one ordered list."""
+    e = spark.sql(SQL_SOURCES.replace("FROM events", "FROM {e}"), e=events(spark, d))
+    return logs.merge_errors({name: e.where(F.col("turn") == k) for k, name in enumerate(("terminal", "browser", "static"))})
+
+
+@register("severity_order", "SELECT severity, list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity) - 1 AS rank, n FROM (SELECT ['LOW', 'HIGH', 'CRITICAL', 'MEDIUM'][event_id % 4 + 1] AS severity, count(*) AS n FROM events GROUP BY ALL)")
+def severity_order(spark, d):
+    """Issues by severity."""
+    s = F.element_at(F.array(*map(F.lit, ("LOW", "HIGH", "CRITICAL", "MEDIUM"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return events(spark, d).groupBy(s.alias("severity")).agg(F.count("*").alias("n")).select("severity", logs.severity_rank(F.col("severity")).cast("long").alias("rank"), "n")
+
+
 def sql_first(column: int) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(message, '(?i){p.replace(chr(92) + chr(34), chr(34)).replace(chr(39), chr(39) * 2)}') THEN '{row[column - 1]}'" for p, *row in logs.CATALOGUE) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(message, '(?i){p.replace(chr(92) + chr(34), chr(34)).replace(chr(39), chr(39) * 2)}') THEN '{row[column - 1]}'" for p, *row in logs.CATALOGUE if row) + " END"
 
 
 SQL_FIX = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in logs.FIX_ORDER.items()) + " ELSE 99 END"
