@@ -60,8 +60,16 @@ def segment(messages: DataFrame, when: Column, n: int, chars: int, last: bool =
     return F.array_join(F.transform(part, lambda x: x["t"]), "\n- ")
 
 
+def _intent(chars: int = 150) -> Column:
+    """The user's only text, or the first and the latest one with the number of texts; an aggregate over a conversation."""
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    cut = F.left("text", F.lit(chars))
+    n, first, latest = F.count(user), F.min_by(cut, user), F.max_by(cut, user)
+    return F.when(n > 1, F.concat(F.lit("Initial: "), first, F.lit("\n- Latest of "), n.cast("string"), F.lit(": "), latest)).otherwise(F.coalesce(first, F.lit("")))
+
+
 def compact(messages: DataFrame, keep: int = 10, cues: dict[str, tuple[str, ...]] = CUES) -> DataFrame:
-    """One summary of all but the kept messages of each conversation: background, decisions, results, errors, open issues and plans by cue words."""
+    """One summary of all but the kept messages of each conversation: background, decisions, tools used and how often, the first and the latest wish of the user, results, errors, open issues and plans, by roles and cue words."""
     old = recent(messages, keep).where("NOT kept OR role = 'system'")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     old = old.withColumn("n", rank)
@@ -69,6 +77,8 @@ def compact(messages: DataFrame, keep: int = 10, cues: dict[str, tuple[str, ...]
     parts = {
         "Background": segment(old, (F.col("n") <= 5) & F.col("role").isin("system", "user"), 2, 200),
         "Key decisions": segment(old, said & cued(cues["decisions"]), 5, 150),
+        "Tools used": segment(old, (F.col("role") == "tool") & (F.col("text") != ""), 10, 100, True),
+        "User intent": _intent(),
         "Results": segment(old, said & cued(cues["results"]), 5, 150, True),
         "Errors": segment(old, cued(cues["errors"]), 3, 150, True),
         "Open issues": segment(old, cued(cues["open"]), 5, 150),

@@ -39,6 +39,10 @@ def conv_running_tokens(spark, d):
 SQL_OLD = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, role = 'system' OR sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2 AS kept FROM conversations) WHERE NOT kept OR role = 'system')"
 
 
+# every other answer stands for what a tool returned, as the table has no such role
+SQL_OLD_TOOLS = SQL_OLD.replace("FROM conversations", "FROM (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'tool' ELSE role END AS role FROM conversations)")
+
+
 def sql_cue(words):
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
@@ -51,6 +55,8 @@ def sql_segment(when, n, chars, last=False):
 SQL_PARTS = {
     "Background": sql_segment("n <= 5 AND role IN ('system', 'user')", 2, 200),
     "Key decisions": sql_segment(f"role = 'assistant' AND {sql_cue(CUES['decisions'])}", 5, 150),
+    "Tools used": sql_segment("role = 'tool' AND text <> ''", 10, 100, True),
+    "User intent": "CASE WHEN count(*) FILTER (role = 'user') > 1 THEN 'Initial: ' || left(arg_min(text, turn) FILTER (role = 'user'), 150) || chr(10) || '- Latest of ' || count(*) FILTER (role = 'user') || ': ' || left(arg_max(text, turn) FILTER (role = 'user'), 150) ELSE coalesce(left(arg_min(text, turn) FILTER (role = 'user'), 150), '') END",
     "Results": sql_segment(f"role = 'assistant' AND {sql_cue(CUES['results'])}", 5, 150, True),
     "Errors": sql_segment(sql_cue(CUES["errors"]), 3, 150, True),
     "Open issues": sql_segment(sql_cue(CUES["open"]), 5, 150),
@@ -60,10 +66,11 @@ SQL_SUMMARY = ", ".join(f"""CASE WHEN "{k}" <> '' THEN '## {k}' || chr(10) || '-
 _COLUMNS = ", ".join(f'{v} AS "{k}"' for k, v in SQL_PARTS.items())
 
 
-@register("conv_compaction", f"SELECT conv_id, compacted, concat_ws(chr(10), {SQL_SUMMARY}) AS summary FROM (SELECT conv_id, count(*) FILTER (role <> 'system') AS compacted, {_COLUMNS} FROM {SQL_OLD} GROUP BY conv_id) WHERE compacted > 0")
+@register("conv_compaction", f"SELECT conv_id, compacted, concat_ws(chr(10), {SQL_SUMMARY}) AS summary FROM (SELECT conv_id, count(*) FILTER (role <> 'system') AS compacted, {_COLUMNS} FROM {SQL_OLD_TOOLS} GROUP BY conv_id) WHERE compacted > 0")
 def conv_compaction(spark, d):
     """Summaries of what doesn't stay."""
-    return M.compact(messages(spark, d), 2, CUES)
+    role = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 3), "tool").otherwise(F.col("role"))
+    return M.compact(messages(spark, d).withColumn("role", role), 2, CUES)
 
 
 @register("conv_compression_ratio", "SELECT conv_id, sum(length(text)) AS before, sum(least(length(text), 100)) AS after, round(sum(least(length(text), 100)) / sum(length(text)), 6) AS ratio, sum(length(text) - least(length(text), 100)) // 4 AS tokens_saved FROM conversations GROUP BY conv_id")
