@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -15,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words of a generation whose encoding is kept between batches, the most characters of such a word, pairs whose verdict is kept, rows handed on at a time.
-KEPT, LONG, PAIRS, ROWS = 200_000, 40, 300_000, 250
+KEPT, LONG, PAIRS, ROWS = 200_000, 40, 300_000, 500
 UNKNOWN = -1
 # Kinds of models and of pieces in model files, and how far the score of an unknown character lies below the least one.
 UNIGRAM, BYTE_PAIR, PENALTY = 1, 2, 10.0
@@ -58,7 +59,7 @@ class Vocabulary:
         """The identifiers of a character that no piece has."""
         return [self.bytes_[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
-    def encode(self, texts: list[str], chars: int = 1 << 20) -> list[np.ndarray]:
+    def encode(self, texts: list[str], chars: int = 1 << 21) -> list[np.ndarray]:
         """Identifiers of each text; the words of about `chars` characters are held at a time."""
         out, part, size = [], [], 0
         for t in texts:
@@ -295,7 +296,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     Null and empty texts have no identifiers and the empty text; repeated rows stay; columns named ids or decoded are
     replaced; an empty table gives an empty result. Texts are encoded whole, very long ones too: the distinct words of
-    about a megabyte of text at a time. The driver reads the model and hands it to the executors.
+    about two megabytes of text at a time. The driver reads the model and hands it to the executors.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
@@ -305,6 +306,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        gc.disable()  # the cache is millions of objects without a cycle, which the collector would walk over and over
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):  # what comes out of a batch is handed on in parts
                 part = batch.slice(at, ROWS)
