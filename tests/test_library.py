@@ -164,6 +164,33 @@ def test_diff_ahead(old, new, want):
     assert " ".join(sign[t] + x for t, x, *_ in files._ahead(list(old), list(new))) == want
 
 
+def plain_keep(rows, ratio):
+    """Overlap removal one by one."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (r["y"], r["x"], r["id"])):
+        for o in kept:
+            w = min(r["x"] + r["w"], o["x"] + o["w"]) - max(r["x"], o["x"])
+            h = min(r["y"] + r["h"], o["y"] + o["h"]) - max(r["y"], o["y"])
+            least = min(r["w"] * r["h"], o["w"] * o["h"])
+            if w > 0 and h > 0 and least > 0 and w * h / least > ratio:
+                if r["tokens"] > o["tokens"]:
+                    kept.remove(o)
+                    kept.append(r)
+                break
+        else:
+            kept.append(r)
+    return [r["id"] for r in kept]
+
+
+@pytest.mark.parametrize("ratio", [0.2, 0.5, 0.9])
+def test_keep_by_brute_force(spark, ratio):
+    rng = random.Random(3)
+    rows = [dict(page_id=i % 4, id=i, x=float(rng.randrange(60)), y=float(rng.randrange(90)), w=float(rng.choice((0, 5, 12, 30))), h=float(rng.choice((0, 4, 16))), tokens=rng.randrange(5), page_width=100.0, page_height=100.0) for i in range(600)]
+    got = rects.remove_overlaps(spark.createDataFrame(rows), ratio).orderBy("page_id", "place").collect()
+    for page in range(4):
+        assert [r.id for r in got if r.page_id == page] == plain_keep([r for r in rows if r["page_id"] == page], ratio)
+
+
 def test_nearest(spark):
     """Brute force over selectors with crowded, missing and far stretches, and ties."""
     rng = random.Random(5)
