@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import cut
@@ -17,6 +17,8 @@ from pagelathe.llm.simhash import join_labels
 RADII = (0.5, 0.25, 0.125)
 #: Vectors of a block at about; blocks meet in pairs, and no task holds more than two.
 BLOCK = 8192
+#: Centres of the top level over all vectors, at most, and the sample of vectors that they come from. Both bound what the driver holds.
+CENTRES, SAMPLE = 1024, 4096
 SLACK = 1e-9
 
 
@@ -59,11 +61,13 @@ def paths(x: np.ndarray, radii: tuple[float, ...] = RADII) -> np.ndarray:
 class Tree:
     """Rows sorted by path, so that each node is a range of rows. Levels end with the single rows."""
 
-    def __init__(self, x: np.ndarray, path: np.ndarray, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, path: np.ndarray, weight: np.ndarray, place: np.ndarray | None = None):
+        """`place`: what the paths call each row, where only some of the rows that they were made for are here."""
+        place = np.arange(len(x)) if place is None else place
         self.order = np.lexsort(path.T[::-1]) if path.shape[1] else np.arange(len(x))
         self.x, path = x[self.order], path[self.order]
-        where = np.empty(len(x), np.int64)
-        where[self.order] = np.arange(len(x))
+        where = np.full(max(path.max(initial=-1), place.max(initial=-1)) + 1, -1)
+        where[place[self.order]] = np.arange(len(x))
         self.sums = np.concatenate(([0], np.cumsum(weight[self.order])))
         self.start, self.end, self.centre, self.radius = [], [], [], []
         fresh = np.zeros(len(x), bool)
@@ -73,6 +77,7 @@ class Tree:
                 fresh[1:] |= path[1:, k] != path[:-1, k]
                 start = np.flatnonzero(fresh)
                 centre = where[path[start, k]]
+                centre = np.where(centre < 0, start, centre)
                 end = np.append(start[1:], len(x))
                 d = _dist(np.einsum("ij,ij->i", self.x, self.x[np.repeat(centre, end - start)]))
                 radius = np.maximum.reduceat(d, start) if len(start) else d
@@ -202,32 +207,101 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": x["vec_id"], "v": out})
 
 
+def _square(cosine: np.ndarray) -> np.ndarray:
+    return np.maximum(0, 2 - 2 * cosine)
+
+
+def top_level(rows: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` centres among the rows of a sample, in row order, none within the coarsest radius of another."""
+    return rows[np.unique(_net(rows, max(RADII)))[:most]]
+
+
+def reachable(x: np.ndarray, cell: np.ndarray, centres: np.ndarray, radii: np.ndarray, cosine: float) -> np.ndarray:
+    """(rows, cells): whether a row of cell a may link with some row of cell b.
+
+    A link spans at most sqrt(2 - 2 cosine). So the row must lie within that of b's covering radius, and within that of
+    the plane between both centres, as all rows of b are no nearer to a's centre than to their own.
+    """
+    link = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    square = _square(x @ centres.T)
+    own = square[np.arange(len(x)), cell]
+    apart = np.sqrt(_square(centres @ centres.T))[cell]
+    out = (np.sqrt(square) <= radii + link) & (square - own[:, None] <= 2 * apart * link + 1e-6)
+    out[np.arange(len(x)), cell] = True
+    return out
+
+
+def deal(sized: DataFrame, counts: dict[int, int], cosine: float, block: int) -> DataFrame:
+    """A row for each pair of blocks that a vector of (v, rep, weight, dim) takes part in: v, rep, weight, path, place, dim, low, high, half.
+
+    Each vector belongs to the nearest centre of the top level; a centre's vectors are split into blocks by a hash. Each
+    block has a cover tree. A vector goes to the blocks of its own centre and to those that reachable() does not rule out.
+    """
+    many = [d for d, n in counts.items() if n > block]
+    picked = sized.where(F.col("dim").isin(many)).select("dim", "v", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("rep"), "rep")).alias("k")).where(F.col("k") <= SAMPLE)
+    sample = picked.toPandas().sort_values(["dim", "k"]) if many else pd.DataFrame({"dim": [], "v": []})
+    centres = {int(d): top_level(_unit(g["v"]), min(CENTRES, -(-counts[int(d)] // block))) for d, g in sample.groupby("dim")}
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            x = x.assign(cell=0, far=0.0)
+            for d, at in x.groupby("dim").groups.items():
+                if int(d) in centres:
+                    cos = _unit(x.loc[at, "v"]) @ centres[int(d)].T
+                    x.loc[at, "cell"], x.loc[at, "far"] = cos.argmax(1), np.sqrt(_square(cos.max(1)))
+            yield x
+
+    placed = cut(sized.mapInPandas(assign, "v binary, rep long, weight long, dim int, cell long, far double"))
+    of = {}
+    for r in placed.where(F.col("dim").isin(many)).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect() if many else []:
+        of.setdefault(r.dim, {})[r.cell] = (-(-2 * r.n // (3 * block)), r.far)
+    # of each length: a centre's number of blocks, the first one's number, covering radius
+    plan = {}
+    for d, c in centres.items():
+        n = np.array([of[d].get(k, (0, 0.0))[0] for k in range(len(c))], np.int64)
+        plan[d] = c, n, np.concatenate(([0], np.cumsum(n)[:-1])), np.array([of[d].get(k, (0, 0.0))[1] for k in range(len(c))])
+    split = F.lit(1)
+    for d, (_, n, _, _) in plan.items():
+        split = F.when(F.col("dim") == d, F.lit(n.tolist())[F.col("cell").cast("int")]).otherwise(split)
+
+    def plant(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("rep", ignore_index=True)
+        unit, d, cell, chunk = _unit(x["v"]), int(x["dim"].iloc[0]), int(x["cell"].iloc[0]), int(x["chunk"].iloc[0])
+        own, to = 0, [[0]] * len(x)
+        if d in plan:
+            c, n, first, radii = plan[d]
+            own, to = int(first[cell]) + chunk, []
+            for s in range(0, len(x), 1024):
+                for row in reachable(unit[s : s + 1024], np.full(len(unit[s : s + 1024]), cell), c, radii, cosine):
+                    k = np.flatnonzero(row & (n > 0))
+                    to.append(np.concatenate([np.arange(first[i], first[i] + n[i]) for i in k]))
+        out = x[["v", "rep", "weight", "dim"]].assign(path=list(paths(unit).astype(np.int64)), place=np.arange(len(x)), block=own)
+        return out.assign(other=to)
+
+    trees = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), split)).groupBy("dim", "cell", "chunk").applyInPandas(plant, "v binary, rep long, weight long, dim int, path array<long>, place long, block long, other array<long>")
+    return trees.withColumn("other", F.explode("other")).select(
+        "v", "rep", "weight", "path", "place", "dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("half")
+    )
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
     """One row per row of (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Links join vectors of equal length whose cosine, in double precision, is at least `cosine`. Null, empty and zero
     vectors, those with null or non-finite components, and rows without vec_id link with nothing (their component is
-    their own vec_id). Equal vectors are compared once and counted as often as they come. Blocks are dealt out by a
-    hash of the vector's smallest vec_id; each block has a cover tree, and each pair of blocks is one task that walks
-    both trees at once. The number of pairs of blocks grows with the square of the distinct vectors: no bound on
-    distances spares more where all vectors lie about as far apart as random ones.
+    their own vec_id). Equal vectors are compared once and counted as often as they come. Blocks follow the
+    top level's centres (see `deal`); each block has a cover tree, and each pair of blocks that the bounds leave is one
+    task that walks both trees at once. Where all vectors lie about as far apart as random ones, no bound on distances
+    rules much out, and the pairs of blocks grow with the square of the distinct vectors. The driver holds at most SAMPLE
+    vectors of each length of which there is more than a block. An empty table gives no rows, repeated rows each give
+    theirs, vectors that share a vec_id add up their links, other columns are not read.
     """
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).mapInPandas(_vectors, "vec_id long, v binary"))
     can = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
     one = rows.where(can).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     sized = one.withColumn("dim", F.octet_length("v"))
-    blocks = cut(sized.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks")))
-    placed = sized.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-
-    def plant(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("rep", ignore_index=True)
-        return x.assign(path=list(paths(_unit(x["v"])).astype(np.int64)))
-
-    trees = placed.groupBy("dim", "block").applyInPandas(plant, "v binary, rep long, weight long, dim int, blocks long, block long, path array<long>")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = trees.select("dim", "v", "rep", "weight", "path", "block", other).select(
-        "v", "rep", "weight", "path", "dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("half")
-    )
+    counts = {r.dim: r.n for r in sized.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
+    dealt = deal(sized, counts, cosine, block)
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["half", "rep"], ignore_index=True)
@@ -235,7 +309,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
         none = pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         if len(both) == 1 and x["low"].iloc[0] != x["high"].iloc[0]:
             return none
-        trees = [Tree(_unit(g["v"]), np.array(g["path"].tolist(), np.int64).reshape(len(g), -1), g["weight"].to_numpy()) for g in both]
+        trees = [Tree(_unit(g["v"]), np.array(g["path"].tolist(), np.int64).reshape(len(g), -1), g["weight"].to_numpy(), g["place"].to_numpy()) for g in both]
         found = dual(trees[0], trees[1] if len(trees) > 1 else None, cosine)
         rep = np.concatenate([g["rep"].to_numpy()[t.order] for g, t in zip(both, trees, strict=True)])
         links = np.cumsum(found.diff)[:-1]

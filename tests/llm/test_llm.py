@@ -518,6 +518,28 @@ def test_cover_tree(spark):
         assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_cover_tree_deals_clusters(spark):
+    g = np.random.default_rng(1)
+    base = g.normal(size=(30, 32))
+    x = np.concatenate([base[g.integers(0, 30, 900)] + 0.15 * g.normal(size=(900, 32)), base[0] + 0.1 * g.normal(size=(400, 32)), g.normal(size=(100, 32))])
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep int")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T >= 0.9
+    got = covertree.near_duplicates(v, 0.9, 100).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == s.sum(1) - 1).all() and (got.component_id == simhash.join_labels(np.arange(len(x)), *np.nonzero(s))).all()
+    c = covertree.top_level(u, 14)
+    cell = (u @ c.T).argmax(1)
+    far = np.array([np.sqrt(np.maximum(0, 2 - 2 * (u @ c.T)[cell == k, k])).max() for k in range(len(c))])
+    reach = covertree.reachable(u, cell, c, far, 0.9)
+    i, j = np.nonzero(s)
+    assert reach[i, cell[j]].all() and reach.mean() < 0.7
+    assert covertree.near_duplicates(v.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id or -1, r.n_links) for r in covertree.near_duplicates(twice).collect()) == [(-1, 0), (1, 0), (1, 1), (1, 1)]
+
+
 def test_media():
     rng = random.Random(1)
     for n in (0, 1, 64, 936, 937, 938, 5000):
