@@ -298,10 +298,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK)
     """
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).mapInPandas(_vectors, "vec_id long, v binary"))
     can = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
-    one = rows.where(can).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    sized = one.withColumn("dim", F.octet_length("v"))
-    counts = {r.dim: r.n for r in sized.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
-    dealt = deal(sized, counts, cosine, block)
+    one = cut(rows.where(can).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.octet_length("v")))
+    counts = {r.dim: r.n for r in one.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
+    dealt = deal(one, counts, cosine, block)
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["half", "rep"], ignore_index=True)
