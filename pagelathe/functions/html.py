@@ -189,3 +189,79 @@ def fallback_selectors(selector: Column) -> Column:
     first = F.regexp_extract(rest, r"^([^:\[]*)", 1)
     some = F.array(F.nullif(tag, F.lit("")), F.when(first.rlike("^[^0-9]"), F.concat(tag, F.lit("."), first)))
     return F.when(selector.startswith("#"), F.array(selector)).otherwise(F.array_compact(some))
+
+
+# Component types by tag, by words of the classes, by words of the id and by display, each in order.
+TYPE_BY_TAG = {"header": "header", "nav": "navigation", "main": "section", "footer": "footer", "section": "section", "article": "section", "form": "form", "button": "button", "img": "image", "picture": "image", "svg": "image", "ul": "list", "ol": "list", "h1": "text", "h2": "text", "h3": "text", "h4": "text", "h5": "text", "h6": "text", "p": "text"}
+TYPE_BY_CLASS = (("hero", "hero|banner"), ("card", "card"), ("navigation", "nav|menu"), ("header", "header"), ("footer", "footer"), ("button", "btn|button"), ("form", "form"))
+TYPE_BY_ID = (("header", "header"), ("navigation", "nav"), ("footer", "footer"), ("hero", "hero"))
+TYPE_BY_DISPLAY = (("grid", "^(inline-)?grid$"), ("flex", "^(inline-)?flex$"))
+# Types of chunks by tag or by words of the classes, in order.
+CHUNK_TYPES = (("button", ("button",), "btn|button"), ("form", ("form",), None), ("input", ("input", "textarea", "select"), None), ("card", (), "card"), ("modal", (), "modal|dialog"), ("dropdown", (), "dropdown|menu"), ("navigation", (), "nav"), ("tabs", (), "tab"), ("link", ("a",), None), ("image", ("img",), None))
+# Classes that only lay out.
+UTILITY = "^(w-|h-|p-|m-|flex|grid|text-|bg-|border-)"
+
+
+def component_type(tag: Column, id_: Column, classes: Column, display: Column, children: Column) -> Column:
+    """A component's type by its tag, else by its classes, its id, its display; a div with children is a container."""
+    tag, words, id_ = F.lower(tag), F.lower(F.array_join(classes, " ")), F.lower(F.coalesce(id_, F.lit("")))
+    out = F.when((tag == "a") & display.contains("inline"), "button")
+    for t, kind in TYPE_BY_TAG.items():
+        out = out.when(tag == t, kind)
+    for value, rules in ((words, TYPE_BY_CLASS), (id_, TYPE_BY_ID), (display, TYPE_BY_DISPLAY)):
+        for kind, pattern in rules:
+            out = out.when(value.rlike(pattern), kind)
+    return out.when((tag == "div") & (children > 0), "container").otherwise("other")
+
+
+def chunk_type(tag: Column, classes: Column) -> Column:
+    """The type of a component's chunk."""
+    tag, words, out = F.lower(tag), F.lower(F.array_join(classes, " ")), F.when(F.lit(False), "")
+    for kind, tags, pattern in CHUNK_TYPES:
+        out = out.when(tag.isin(*tags) | (words.rlike(pattern) if pattern else F.lit(False)), kind)
+    return out.otherwise("container")
+
+
+def component_name(id_: Column, classes: Column, otherwise: Column) -> Column:
+    """The id, else the first class that doesn't only lay out, as capitalised words; else another name as it is."""
+    telling = F.get(F.filter(classes, lambda c: ~c.rlike(UTILITY)), F.lit(0))
+    raw = F.coalesce(F.nullif(id_, F.lit("")), telling)
+    return F.coalesce(F.initcap(F.lower(F.regexp_replace(F.regexp_replace(raw, "[-_]", " "), "([a-z])([A-Z])", "$1 $2"))), otherwise)
+
+
+def layout_box(types: Column) -> Column:
+    """A page's rows as boxes of 60, one below the other; the first ten of an array of types, null as none."""
+    rule, title = F.lit("+" + "-" * 60 + "+"), F.lit("|" + " " * 20 + "PAGE LAYOUT" + " " * 29 + "|")
+    row = lambda t: F.concat(F.lit("|"), F.rpad(F.concat(F.repeat(F.lit(" "), F.floor((58 - F.char_length(t)) / 2).cast("int")), F.upper(t)), 58, " "), F.lit("|"))
+    shown = F.slice(F.coalesce(types, F.array().cast("array<string>")), 1, 10)
+    return F.array_join(F.concat(F.array(rule, title, rule), F.flatten(F.transform(shown, lambda t: F.array(row(t), rule)))), "\n")
+
+
+# Lengths from which media are cleaned and attributes dropped, players, and what stands in for a video.
+MEDIA_LEAST, MEDIA_MOST = 50_000, 3
+PLAYER = r"(?i)<video\b|<iframe\b[^>]*(?:youtube|vimeo|player)"
+POSTER, YOUTUBE = r"""(?i)<video[^>]*\bposter=["']([^"']+)["']""", r"youtube\.com/(?:embed/|v/|watch\?v=)([a-zA-Z0-9_-]+)"
+PLAY = '<div style="position:absolute;top:50%;left:50%;transform:translate(-50%,-50%);font-size:48px;color:#fff;">▶</div>'
+STAND_IN = '\n  <!-- {comment} -->\n  <div class="{kind}-placeholder" style="position:relative;width:100%;max-width:640px;aspect-ratio:16/9;background:#000;">\n    <img src="{src}" alt="{alt}" style="width:100%;height:100%;object-fit:cover;" />\n    ' + PLAY + "\n  </div>"
+
+
+def _stand_in(n: Column, src: Column, **words: str) -> Column:
+    head, tail = STAND_IN.split("{src}")
+    for k, v in words.items():
+        head, tail = head.replace(f"{{{k}}}", v), tail.replace(f"{{{k}}}", v)
+    return F.concat(F.replace(F.lit(head), F.lit("{n}"), n.cast("string")), src, F.lit(tail))
+
+
+def clean_media(html: Column) -> Column:
+    """Long HTML without scripts and very long data attributes; with players only the outer tag and stand-ins for the first videos are left. Shorter HTML, or null, as it is."""
+    scripts = lambda c: F.regexp_replace(c, r"(?i)<script\b[^>]*>[\s\S]*?</script>", "")
+    data = lambda c, least: F.regexp_replace(c, rf"""data-[a-z-]+=["'][^"']{{{least},}}["']""", "")
+    first = lambda pattern: F.slice(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), 1, MEDIA_MOST)
+    outer = F.regexp_extract(html, r"(?i)^(\s*<(?:div|section|article)[^>]*>)", 1)
+    posters = F.transform(first(POSTER), lambda u, i: _stand_in(i + 1, u, comment="Video placeholder {n}", kind="video", alt="Video poster"))
+    tubes = F.transform(first(YOUTUBE), lambda v: _stand_in(F.lit(0), F.concat(F.lit("https://img.youtube.com/vi/"), v, F.lit("/maxresdefault.jpg")), comment="YouTube video placeholder", kind="youtube", alt="YouTube video thumbnail"))
+    ends = F.when(outer != "", F.array(data(outer, 1000))), F.when(outer != "", F.array(F.concat(F.lit("</"), F.regexp_extract(outer, r"<(\w+)", 1), F.lit(">"))))
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.coalesce(ends[0], none), posters, tubes, F.coalesce(ends[1], none))
+    short = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(scripts(html))
+    return F.when(F.char_length(html) < MEDIA_LEAST, html).when(html.rlike(PLAYER), short).otherwise(data(scripts(html), 10_000))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,3 +186,48 @@ def found(files: DataFrame, pattern: str, mode: str | None = None) -> DataFrame:
 
         return files.where(F.col("path").rlike(glob_regex(pattern))).select("path")
     return files.where(F.col("content").rlike(f"(?i){pattern}")).select("path")
+
+
+def replaced_lines(content: Column, start: int, end: int, new: str) -> Column:
+    """The content with lines start..end, from 1 and both included, replaced; ends beyond the file are taken as its ends."""
+    all_ = F.split(content, "\n")
+    first, n = max(1, start), F.size(all_)
+    begin = F.least(F.lit(first), n + 1)
+    stop = F.least(F.lit(max(end, first - 1)), n)
+    tail = F.slice(all_, stop + 1, F.greatest(n - stop, F.lit(0)))
+    return F.array_join(F.concat(F.slice(all_, F.lit(1), begin - 1), F.split(F.lit(new), "\n"), tail), "\n")
+
+
+def _words(target: str) -> list[str]:
+    return [w for w in re.split(r"\W+", target.lower().strip()) if len(w) > 3]
+
+
+def similar_lines(files: DataFrame, target: str, most: int = 10) -> DataFrame:
+    """(path, line_no, line, score, place): of each file the `most` lines with the largest share of the target's words over three letters; of equal ones the first."""
+    words = _words(target)
+    low = F.lower("line")
+    hits = sum((low.contains(w).cast("int") for w in words), F.lit(0))
+    rows = lines(files).withColumn("score", hits / F.lit(float(max(1, len(words))))).where("score > 0")
+    w = Window.partitionBy("path").orderBy(F.desc("score"), "line_no")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def unspaced(text: Column) -> Column:
+    """Runs of blanks and tabs as one space, none at ends of lines nor around the whole."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s+(?=\n)", ""), r"^\s+|\s+$", "")
+
+
+def located(files: DataFrame, target: str, most: int = 10) -> DataFrame:
+    """(path, tier, line_no, score) of a text in each file: where it stands exactly; else, blanks aside, the line that its first line is in; else its similar lines. Files with none have no row."""
+    head = target.split("\n")[0].strip()
+    exact = F.col("content").contains(target)
+    loose = unspaced(F.col("content")).contains(F.lit(" ".join(target.split()) if "\n" not in target else re.sub(r"[ \t]+", " ", target).strip()))
+    tiers = files.withColumn("tier", F.when(exact, "exact").when(loose, "spacing").otherwise("similar"))
+    before = F.substring_index("content", target, 1)
+    place = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    whole = tiers.where("tier = 'exact'").select("path", "tier", place.alias("line_no"), F.lit(1.0).alias("score"))
+    spaced = tiers.where("tier = 'spacing'")
+    near = lines(spaced).where(unspaced(F.col("line")).contains(re.sub(r"[ \t]+", " ", head)))
+    near = near.groupBy("path").agg(F.min("line_no").alias("line_no")).select("path", F.lit("spacing").alias("tier"), "line_no", F.lit(1.0).alias("score"))
+    rest = similar_lines(tiers.where("tier = 'similar'"), target, most).select("path", F.lit("similar").alias("tier"), "line_no", "score")
+    return whole.unionByName(near).unionByName(rest)

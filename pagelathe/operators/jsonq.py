@@ -127,3 +127,60 @@ def union_keys(df: DataFrame, key: str, column: str, sample: int = 5) -> DataFra
     """E5: (key, field): the fields of the first `sample` objects of each JSON list; other items have none."""
     items = F.slice(F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>")), 1, sample)
     return df.select(key, F.explode(F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))).alias("field")).distinct()
+
+
+def _loaded(docs: pd.Series):
+    """Each readable document's place and value."""
+    for i, doc in enumerate(docs):
+        try:
+            if doc is not None:
+                yield i, json.loads(doc)
+        except (ValueError, RecursionError):
+            continue
+
+
+def found(df: DataFrame, key: str, column: str, word: str, shown: int = 15) -> DataFrame:
+    """P5: (key, place, path, value, n_matches): the `shown` first hits of a word in each document, as search() finds them; unreadable documents have none."""
+
+    def run(batches):
+        for x in batches:
+            out = []
+            for i, v in _loaded(x["doc"]):
+                hits = search(v, word)
+                out += [(x["k"].iloc[i], n, p, h if isinstance(h, str) else json.dumps(h, ensure_ascii=False), len(hits)) for n, (p, h) in enumerate(hits[:shown], 1)]
+            yield pd.DataFrame(out, columns=["k", "place", "path", "value", "n_matches"])
+
+    return df.select(F.col(key).cast("string").alias("k"), F.col(column).alias("doc")).mapInPandas(run, "k string, place long, path string, value string, n_matches long").withColumnRenamed("k", key)
+
+
+def dispatch(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
+    """(key, place, path, value, n_matches): a query that starts with $ or . is a path, of which 20 matches are shown; any other is a word to search for."""
+    if not query.startswith(("$", ".")):
+        return found(df, key, column, query)
+    rows = matches(df.select(F.col(key).cast("string").alias(key), column), column, query, 20)
+    return rows.select(key, F.posexplode("shown").alias("i", "value"), "n_matches").select(key, (F.col("i") + 1).cast("long").alias("place"), F.lit(normal_path(query)).alias("path"), "value", F.col("n_matches").cast("long").alias("n_matches"))
+
+
+def brief(v: object, text: int = 50) -> str:
+    """A value as a list's or object's size, a text's beginning, else its type."""
+    if isinstance(v, list):
+        return f"list[{len(v)} items]"
+    if isinstance(v, dict):
+        return f"dict[{len(v)} keys]"
+    if isinstance(v, str):
+        return f'"{v[:text]}{"..." if len(v) > text else ""}"'
+    return type(v).__name__
+
+
+def described(df: DataFrame, key: str, column: str, most: int = 15, text: int = 50) -> DataFrame:
+    """(key, lines): the first `most` keys of each JSON object, one to a line; no line for other documents."""
+
+    def run(batches):
+        for x in batches:
+            out = [None] * len(x)
+            for i, v in _loaded(x["doc"]):
+                if isinstance(v, dict):
+                    out[i] = "\n".join(f"- **{k}**: {brief(y, text)}" for k, y in list(v.items())[:most])
+            yield pd.DataFrame({"k": x["k"], "lines": out})
+
+    return df.select(F.col(key).cast("string").alias("k"), F.col(column).alias("doc")).mapInPandas(run, "k string, lines string").withColumnRenamed("k", key)

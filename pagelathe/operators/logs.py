@@ -107,3 +107,35 @@ def merge_errors(sources: dict[str, DataFrame]) -> DataFrame:
 def severity_rank(severity: Column) -> Column:
     """A severity's place, unknown ones last."""
     return lookup(severity, SEVERITY_ORDER, 99)
+
+
+# Commands that mend an error, by category; {module} is the quoted name in the message, {file} the file at fault, {path} the one to be made.
+FIXES = {
+    "local": '# Option 1: Create the missing file\nwrite_file(path="{path}", content="""\nexport default function Component() {\n  return <div>Component</div>;\n}\n""")\n\n# Option 2: Remove the import (if not needed)\n# edit_file(path="{file}", old_text="import ... from \'{module}\';", new_text="")',
+    "package": '# Install the missing package\ninstall_dependencies(packages=["{module}"])',
+    "MISSING_CSS": '# Create the missing CSS file\nwrite_file(path="{file}", content="""\n/* Auto-generated CSS file */\n""")',
+    "SYNTAX_ERROR": '# First, read the file to see the error\nread_file(path="{file}")\n\n# Then fix with edit_file()\n# edit_file(path="{file}", old_text="problematic code", new_text="fixed code")',
+    "WHITE_SCREEN": '# Diagnose white screen\n1. take_screenshot()  # See what\'s actually rendered\n2. read_file(path="src/main.jsx")  # Check entry point\n3. read_file(path="src/App.jsx")  # Check main component\n4. get_console_messages()  # Check for silent errors',
+    "NPM_ERROR": '# Fix NPM errors\nshell("rm -rf node_modules")\ninstall_dependencies()',
+    "BUILD_FAILED": '# Get more details about the build error\nget_all_terminals_output()\ndiagnose_preview_state()\n\n# Then fix the specific file mentioned in the error\n# read_file(path="{file}")\n# edit_file(path="{file}", old_text="...", new_text="...")',
+}
+DEFAULT_FILE = "src/App.jsx"
+
+
+def fix_command(category: Column, file: Column, message: Column) -> Column:
+    """The command that mends an error of a category, in a file that may be null; null where there is none."""
+    module = F.nullif(F.regexp_extract(message, "['\"]([^'\"]+)['\"]", 1), F.lit(""))
+    bare = F.regexp_replace(module, "^[./]+", "")
+    beside = F.concat(F.regexp_extract(file, "^(.*)/[^/]*$", 1), F.lit("/"), bare)
+    path = F.when(file.isNull(), F.concat(F.lit("src/"), bare, F.lit(".jsx"))).when(beside.rlike(r"\.(jsx|tsx|js|ts)$"), beside).otherwise(F.concat(beside, F.lit(".jsx")))
+
+    def filled(name: str) -> Column:
+        out = F.lit(FIXES[name])
+        for k, v in (("{path}", path), ("{module}", module), ("{file}", F.coalesce(file, F.lit(DEFAULT_FILE)))):
+            if k in FIXES[name]:
+                out = F.replace(out, F.lit(k), v)
+        return out
+
+    out = F.when((category == "MISSING_IMPORT") & module.rlike("^[./]"), filled("local")).when((category == "MISSING_IMPORT") & module.isNotNull(), filled("package"))
+    out = out.when(category.isin("MISSING_CSS") & file.isNotNull(), filled("MISSING_CSS")).when((category == "SYNTAX_ERROR") & file.isNotNull(), filled("SYNTAX_ERROR"))
+    return out.when(category == "WHITE_SCREEN", filled("WHITE_SCREEN")).when(category == "NPM_ERROR", filled("NPM_ERROR")).when(category.isin("BUILD_FAILED", "VITE_PLUGIN_ERROR"), filled("BUILD_FAILED"))

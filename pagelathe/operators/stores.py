@@ -61,3 +61,35 @@ def describe(sources: DataFrame, data: str) -> DataFrame:
 def coalesced(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """The first store's value, else the second's."""
     return first.select(key, F.col(value).alias("_a")).join(second.select(key, F.col(value).alias("_b")), key, "full").select(key, F.coalesce("_a", "_b").alias(value))
+
+
+def created(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """Sources with new ones put in; a new one replaces the one of its id."""
+    return sources.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def deleted(sources: DataFrame, ids: DataFrame, force: bool = True) -> DataFrame:
+    """Sources without some ids; unless `force`, rows with is_showcase stay."""
+    if force:
+        return sources.join(ids.select("id"), "id", "left_anti")
+    gone = sources.join(ids.select("id").distinct(), "id", "left_semi").where("NOT coalesce(is_showcase, false)").select("id")
+    return sources.join(gone, "id", "left_anti")
+
+
+def projects(rows: DataFrame, include_temp: bool = True) -> DataFrame:
+    """Projects, the last updated first; without temporary ones if so asked."""
+    return (rows if include_temp else rows.where("is_showcase")).orderBy(F.desc("updated_at"), "id")
+
+
+def updated(rows: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Projects with the values of `changes` (id and some of their columns), nulls aside; those changed are updated now."""
+    named = [c for c in changes.columns if c != "id"]
+    side = changes.select("id", *(F.col(c).alias(f"_{c}") for c in named), F.lit(True).alias("_changed"))
+    out = rows.join(side, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in named})
+    return out.withColumn("updated_at", F.when(F.col("_changed"), now).otherwise(F.col("updated_at"))).select(*rows.columns)
+
+
+def checkpoint_summaries(checkpoints: DataFrame, project: str) -> DataFrame:
+    """Of each project its number of checkpoints, the current one (the last saved) and when it was saved."""
+    last = F.struct("ts", "checkpoint_id")
+    return checkpoints.groupBy(project).agg(F.count("*").alias("checkpoints"), F.max_by("checkpoint_id", last).alias("current"), F.max("ts").alias("saved"))

@@ -103,3 +103,20 @@ def chunks(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     every = overview.unionByName(sections).unionByName(components).unionByName(assets)
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("k", "at"))
     return every.withColumn("chunk_no", number).select("page_id", "chunk_no", F.format_string("chunk_%04d", "chunk_no").alias("id"), "type", "name", "embedding_text")
+
+
+# Tags that make no component, and the least side of one.
+NO_COMPONENT = ("script", "style", "noscript", "meta", "link", "br", "hr", "svg", "path")
+LEAST_SIDE = 10
+
+
+def component_tree(nodes: DataFrame) -> DataFrame:
+    """Nodes (page_id, node_id, parent_id, subtree_end, tag, width, height) as components: id by pre-order, parent_id the one around it, emitted its place in post-order, n_children. Skipped and small nodes go with all below them."""
+    kept = without_subtrees(nodes, F.lower("tag").isin(*NO_COMPONENT) | (F.col("width") < LEAST_SIDE) | (F.col("height") < LEAST_SIDE))
+    page = Window.partitionBy("page_id")
+    name = lambda n: F.format_string("comp_%04d", n)
+    rows = kept.withColumn("n", F.row_number().over(page.orderBy("node_id"))).withColumn("emitted", F.row_number().over(page.orderBy("subtree_end", F.desc("node_id"))))
+    up = rows.select("page_id", F.col("node_id").alias("parent_id"), F.col("n").alias("up"))
+    inner = rows.where("parent_id IS NOT NULL").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
+    out = rows.join(up, ["page_id", "parent_id"], "left").join(inner, ["page_id", "node_id"], "left")
+    return out.select("page_id", "node_id", name(F.col("n")).alias("id"), F.when(F.col("up").isNotNull(), name(F.col("up"))).alias("parent_id"), "emitted", F.coalesce("n_children", F.lit(0)).alias("n_children"), "tag")

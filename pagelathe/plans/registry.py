@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelathe.plans import columns, conversations, files, logs, pages, rects, reports, stores  # noqa: F401  they register their queries
+from pagelathe.plans import columns, conversations, files, logs, pages, rects, reports, stores, workbench  # noqa: F401  they register their queries
 from pagelathe.plans.catalog import QUERIES, SQL, Query
 
 FLAGSHIP = "tag_counts"

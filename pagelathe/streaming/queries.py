@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -62,3 +63,41 @@ def phases(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
 
     p = F.when(F.col("event_type") == "view", 25).when(F.col("event_type") == "click", 50).when(F.col("event_type") == "signup", 75).when(F.col("event_type") == "purchase", 100).otherwise(0)
     return events.select("user_id", p.cast("long").alias("progress")).groupBy("user_id").applyInPandasWithState(run, "user_id long, progress long, expired boolean", "progress long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def tapped(requests: DataFrame, responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Requests (url, method, resource_type, ts) with the status and milliseconds of a response (url, status, body, ts) to the same address within `delay`; unanswered ones come without, once the watermark passes, and each further response gives a further row (J1 keeps the first). Bodies of xhr and fetch under 1 MB are kept."""
+    a = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).alias("a")
+    b = responses.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).alias("b")
+    joined = a.join(b, F.expr(f"a.url = b.url AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {delay}"), "left")
+    keep = F.col("a.resource_type").isin("xhr", "fetch") & (F.char_length("b.body") < 1024 * 1024)
+    millis = (F.unix_micros("b.ts") - F.unix_micros("a.ts")) / 1000.0
+    return joined.select("a.url", "a.method", "a.resource_type", "a.ts", "b.status", millis.alias("millis"), F.when(keep, F.col("b.body")).alias("body"))
+
+
+def compactions(messages: DataFrame, most: int) -> DataFrame:
+    """(conv_id, seq, tokens) whenever a conversation's tokens since the last compaction reach `most`; counting then begins anew."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        (sum_,) = held.get if held.exists else (0,)
+        out = []
+        for x in batches:
+            for seq, tokens in x.sort_values("seq")[["seq", "tokens"]].itertuples(index=False):
+                sum_ += int(tokens)
+                if sum_ >= most:
+                    out.append((key[0], seq, sum_))
+                    sum_ = 0
+        held.update((sum_,))
+        yield pd.DataFrame(out, columns=["conv_id", "seq", "tokens"])
+
+    return messages.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, seq long, tokens long", "tokens long", "append", GroupStateTimeout.NoTimeout)
+
+
+def handled(stream: DataFrame, column: str, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch's messages of a kind go to the handler of that kind, kind after kind; others are left alone."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        for kind, handler in handlers.items():
+            handler(batch.where(F.col(column) == kind))
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
