@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
 from pagelathe.operators import elements, summary, tree
+from pagelathe.plans import nodes_sql
 from pagelathe.plans.catalog import register
 from pagelathe.sources.tables import table
 
@@ -186,31 +187,31 @@ def tag_categories(spark, d):
     return tags(pages(spark, d)).groupBy("page_id").agg(F.count_if(t.isin(*elements.INTERACTIVE)).alias("interactive"), F.count_if(t.isin(*elements.LAYOUT)).alias("layout"), F.count_if(~t.isin(*elements.SKIPPED)).alias("kept"))
 
 
-@register("dom_elements")
+@register("dom_elements", nodes_sql.ELEMENTS)
 def dom_elements(spark, d):
     """Pages as a table of nodes, with depths and subtree sizes."""
     return elements.flatten(pages(spark, d)).select("page_id", "node_id", "parent_id", "depth", "sibling_idx", "subtree_end", "xpath", "tag", "selector", (F.col("subtree_end") - F.col("node_id") + 1).alias("element_count"))
 
 
-@register("dom_page_stats")
+@register("dom_page_stats", nodes_sql.PAGE_STATS)
 def dom_page_stats(spark, d):
     """Elements and depth of each page's tree."""
     return elements.flatten(pages(spark, d)).groupBy("page_id").agg(F.count("*").alias("total_elements"), F.max("depth").alias("max_depth"), F.count_if("is_interactive").alias("interactive"))
 
 
-@register("dom_sections")
+@register("dom_sections", nodes_sql.SECTIONS)
 def dom_sections(spark, d):
     """The body's children as sections."""
     return tree.body_sections(elements.flatten(pages(spark, d)))
 
 
-@register("dom_semantic_sections")
+@register("dom_semantic_sections", nodes_sql.SEMANTIC_SECTIONS)
 def dom_semantic_sections(spark, d):
     """T5: topmost semantic elements."""
     return tree.topmost(elements.flatten(pages(spark, d)), F.col("tag").isin(*elements.SEMANTIC)).select("page_id", "node_id", "tag", "xpath")
 
 
-@register("dom_ancestor_filter")
+@register("dom_ancestor_filter", nodes_sql.ANCESTORS)
 def dom_ancestor_filter(spark, d):
     """links and all their ancestors."""
     return tree.with_ancestors(elements.flatten(pages(spark, d)), F.col("tag") == "a").select("page_id", "node_id", "tag", "matched")
@@ -222,7 +223,7 @@ def dom_rag_chunks(spark, d):
     return tree.chunks(pages(spark, d), elements.flatten(pages(spark, d)))
 
 
-@register("dom_layout_tree")
+@register("dom_layout_tree", nodes_sql.LAYOUT)
 def dom_layout_tree(spark, d):
     """A compact indented tree of each page."""
     return tree.layout_text(elements.flatten(pages(spark, d)))
@@ -234,10 +235,11 @@ def dom_repeated_lists(spark, d):
     return tree.repeated(elements.flatten(pages(spark, d)), 3)
 
 
-@register("css_rules")
+@register("css_rules", nodes_sql.CSS)
 def css_rules(spark, d):
     """Rules of style elements."""
-    return tree.css_rules(pages(spark, d))
+    pairs = F.transform("declarations", lambda x: F.concat(x["key"], F.lit(":"), x["value"]))
+    return tree.css_rules(pages(spark, d)).withColumn("declarations", F.array_join(pairs, ";"))
 
 
 @register("tech_evidence")
@@ -246,7 +248,7 @@ def tech_evidence(spark, d):
     return tree.technologies(elements.flatten(pages(spark, d)), X.EVIDENCE)
 
 
-@register("dom_main_content")
+@register("dom_main_content", nodes_sql.MAIN)
 def dom_main_content(spark, d):
     """Where each page's content starts."""
     return summary.main_content(elements.flatten(pages(spark, d)))
@@ -264,7 +266,7 @@ def dom_visible_text(spark, d):
     return summary.visible_text(elements.flatten(pages(spark, d)))
 
 
-@register("dom_landmarks")
+@register("dom_landmarks", nodes_sql.FIRST_LANDMARKS)
 def dom_landmarks(spark, d):
     """Landmarks of pages."""
     return summary.landmarks(elements.flatten(pages(spark, d)))
