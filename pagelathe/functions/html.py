@@ -265,3 +265,45 @@ def clean_media(html: Column) -> Column:
     parts = F.concat(F.coalesce(ends[0], none), posters, tubes, F.coalesce(ends[1], none))
     short = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(scripts(html))
     return F.when(F.char_length(html) < MEDIA_LEAST, html).when(html.rlike(PLAYER), short).otherwise(data(scripts(html), 10_000))
+
+
+# Evidence of technologies: patterns of script addresses, global names, parts of data attributes, parts of classes; and the points for each of them by type.
+TECHNOLOGIES = (
+    ("React", "framework", (r"react\.production\.min\.js", r"react-dom\.production\.min\.js", "_reactRootContainer", "__REACT_DEVTOOLS"), ("React", "ReactDOM"), ("data-reactroot", "data-reactid"), ()),
+    ("Vue", "framework", (r"vue\.js", r"vue\.min\.js", r"vue\.runtime"), ("Vue",), ("data-v-", "v-cloak"), ()),
+    ("Angular", "framework", (r"angular\.js", r"angular\.min\.js", "ng-version"), ("angular", "ng"), ("ng-app", "ng-controller", "ng-version"), ()),
+    ("Svelte", "framework", ("svelte", r"\.svelte-"), (), ("svelte-",), ()),
+    ("Next.js", "framework", ("_next/static", "__NEXT_DATA__"), ("__NEXT_DATA__",), ("data-next-",), ()),
+    ("Nuxt", "framework", ("_nuxt/", "__NUXT__"), ("__NUXT__",), (), ()),
+    ("Gatsby", "framework", ("gatsby-", "___gatsby"), ("___gatsby",), (), ()),
+    ("Bootstrap", "ui", (r"bootstrap\.css", r"bootstrap\.min\.css"), (), (), ("container", "row", "col-", "btn-")),
+    ("Tailwind CSS", "ui", ("tailwind",), (), (), ("flex", "grid", "px-", "py-", "mt-", "mb-", "text-", "bg-")),
+    ("Material-UI", "ui", ("@material-ui", "@mui"), (), (), ("MuiButton", "MuiBox", "MuiTypography")),
+    ("Ant Design", "ui", ("antd",), (), (), ("ant-btn", "ant-card", "ant-form")),
+    ("Element UI", "ui", ("element-ui",), (), (), ("el-button", "el-form", "el-input")),
+    ("Chakra UI", "ui", ("@chakra-ui",), (), (), ("chakra-",)),
+    ("jQuery", "utility", (r"jquery\.js", r"jquery\.min\.js"), ("jQuery", "$"), (), ()),
+    ("Lodash", "utility", (r"lodash\.js", r"lodash\.min\.js"), ("_",), (), ()),
+    ("Moment.js", "utility", (r"moment\.js", r"moment\.min\.js"), ("moment",), (), ()),
+    ("Day.js", "utility", ("dayjs",), ("dayjs",), (), ()),
+    ("Axios", "utility", (r"axios\.js", r"axios\.min\.js"), ("axios",), (), ()),
+)
+POINTS = {"framework": (30, 25, 20, 0), "ui": (40, 0, 0, 15), "utility": (40, 35, 0, 0)}
+SURE = 50
+
+
+def _one_contains(values: Column, part: str) -> Column:
+    return F.exists(values, lambda x: x.contains(part))
+
+
+def technologies(urls: Column, names: Column, attributes: Column, classes: Column) -> Column:
+    """(name, type, confidence) of what a page's script addresses (as one text), global names, data attributes and classes (as arrays) are evidence of: points of each rule that fits, 50 or more, 100 at most. Nulls are no evidence."""
+    words = F.array_join(classes, " ")
+    out = []
+    for name, kind, patterns, global_names, parts, looks in TECHNOLOGIES:
+        a, b, c, d = POINTS[kind]
+        rules = [(urls.rlike(f"(?i){p}"), a) for p in patterns] + [(F.array_contains(names, g), b) for g in global_names]
+        rules += [(_one_contains(attributes, p), c) for p in parts] + [(words.contains(w), d) for w in looks]
+        points = sum((F.when(hit, n).otherwise(0) for hit, n in rules), F.lit(0))
+        out.append(F.struct(F.lit(name).alias("name"), F.lit("framework" if kind == "framework" else "library").alias("type"), F.least(points, F.lit(100)).alias("confidence")))
+    return F.filter(F.array(*out), lambda t: t["confidence"] >= SURE)

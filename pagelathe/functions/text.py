@@ -139,14 +139,3 @@ def glob_regex(glob: str) -> str:
     import fnmatch
 
     return fnmatch.translate(glob).replace(r"\Z", r"\z").replace("(?s:", "(?s:")
-
-
-# Technology evidence by name, kind and pattern: points; 50 are enough, 100 the most.
-EVIDENCE = (
-    ("React", "script", r"react(-dom)?[.\-@/]", 30), ("React", "attr", r"^data-react", 20), ("React", "global", r"^(React|__REACT)", 25),
-    ("Vue", "script", r"vue[.\-@/]", 30), ("Vue", "attr", r"^data-v-", 20), ("Vue", "global", r"^(Vue|__VUE)", 25),
-    ("Angular", "script", r"angular[.\-@/]", 30), ("Angular", "attr", r"^ng-", 20),
-    ("Tailwind CSS", "script", r"tailwind", 40), ("Tailwind CSS", "class", r"^(flex|grid|p-\d|m-\d|text-|bg-)", 15),
-    ("Bootstrap", "script", r"bootstrap", 40), ("Bootstrap", "class", r"^(container|row|col-|btn)", 15),
-    ("jQuery", "script", r"jquery", 40), ("jQuery", "global", r"^(jQuery|\$)$", 35),
-)

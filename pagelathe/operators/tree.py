@@ -68,12 +68,17 @@ def css_rules(pages: DataFrame) -> DataFrame:
     return rules.unionByName(heads).select("page_id", kind.alias("kind"), "selector", F.map_entries(H.declarations(F.col("body"))).alias("declarations"))
 
 
-def technologies(nodes: DataFrame, catalogue: tuple) -> DataFrame:
-    """(page_id, name, confidence): points of the catalogue's patterns over script addresses, class names and data attributes, each pattern once; 50 or more, 100 at most. The catalogue is a short fixed list and may be broadcast."""
-    one = nodes.select("page_id", F.explode(F.flatten(F.array(F.transform("classes", lambda c: F.struct(F.lit("class").alias("kind"), c.alias("v"))), F.transform(F.map_keys("attributes"), lambda c: F.struct(F.lit("attr").alias("kind"), c.alias("v"))), F.array(F.struct(F.when(F.col("tag") == "script", "script").otherwise("tag").alias("kind"), F.coalesce(F.element_at("attributes", F.lit("src")), "tag").alias("v")))))).alias("e")).select("page_id", "e.*").distinct()
-    rules = nodes.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(catalogue)], "rule int, name string, kind string, pattern string, weight int")
-    hits = one.join(F.broadcast(rules), "kind").where("v RLIKE pattern").groupBy("page_id", "name", "rule").agg(F.first("weight").alias("weight"))
-    return hits.groupBy("page_id", "name").agg(F.least(F.sum("weight"), F.lit(100)).alias("confidence")).where("confidence >= 50")
+def technologies(pages: DataFrame, nodes: DataFrame, names: DataFrame | None = None, attributes: int = 50, classes: int = 100) -> DataFrame:
+    """(page_id, name, type, confidence) of each page's scripts, its first data attributes and classes, and, where `names` (page_id, names) has them, its global names."""
+    found = nodes.select("page_id", "node_id", F.posexplode(F.concat(F.filter(F.map_keys("attributes"), lambda k: k.startswith("data-")), F.transform("classes", lambda c: F.concat(F.lit("."), c)))).alias("k", "v"))
+    one = found.groupBy("page_id", "v").agg(F.min(F.struct("node_id", "k")).alias("at"))
+    first = lambda css, most: F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("v").startswith(".") == css, F.struct("at", "v")))), 1, most), lambda x: x["v"])
+    seen = one.groupBy("page_id").agg(first(False, attributes).alias("attributes"), F.transform(first(True, classes), lambda v: F.substring(v, 2, 1_000_000)).alias("classes"))
+    urls = F.array_join(F.regexp_extract_all("html", F.lit(r"""(?i)<script[^>]*\ssrc=["']?([^"'\s>]+)"""), F.lit(1)), " ")
+    rows = pages.select("page_id", urls.alias("urls")).join(seen, "page_id", "left")
+    rows = rows.join(names, "page_id", "left") if names is not None else rows.withColumn("names", F.lit(None).cast("array<string>"))
+    tech = F.explode(H.technologies(F.col("urls"), F.col("names"), F.col("attributes"), F.col("classes"))).alias("t")
+    return rows.select("page_id", tech).select("page_id", "t.*")
 
 
 def valid_sections(nodes: DataFrame, most: int = 10000, least: int = 50) -> DataFrame:
@@ -84,9 +89,44 @@ def valid_sections(nodes: DataFrame, most: int = 10000, least: int = 50) -> Data
     return topmost(rows.where("depth > 1"), fit).select("page_id", "node_id", "tag", "selector", "tokens")
 
 
+# Words of component classes and how deep components are looked for; style properties of a design with their headings and how many values are named.
+COMPONENT_WORDS, COMPONENT_DEPTH = ("card", "button", "btn", "form", "input", "modal", "dropdown", "menu", "tab", "accordion", "slider", "carousel"), 8
+DESIGN = (("background-color", "Background Colors", 5), ("color", "Text Colors", 5), ("font-family", "Font Families", 3), ("font-size", "Font Sizes", 8), ("margin", "Margins", 5), ("padding", "Paddings", 5))
+
+
+def design_chunk(nodes: DataFrame) -> DataFrame:
+    """The commonest values of each page's own style attributes, by property."""
+    values = nodes.select("page_id", "node_id", F.explode(H.declarations(F.col("style"))).alias("property", "value")).where(F.col("property").isin(*(p for p, _, _ in DESIGN)))
+    counted = values.groupBy("page_id", "property", "value").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
+    w = Window.partitionBy("page_id", "property").orderBy(F.desc("n"), "first", "value")
+    top = counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(n for _, _, n in DESIGN)).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("r", "property", "value"))).alias("l"))
+    lines = []
+    for prop, heading, most in DESIGN:
+        named = F.array_join(F.transform(F.slice(F.filter("l", _is_property(prop)), 1, most), lambda x: x["value"]), ", ")
+        lines.append(F.concat(F.lit(f"{heading}: "), F.coalesce(F.nullif(named, F.lit("")), F.lit("none"))))
+    rows = nodes.select("page_id").distinct().join(top, "page_id", "left")
+    return rows.select("page_id", F.lit(1).alias("k"), F.lit(0).alias("at"), F.lit("design").alias("type"), F.lit("Design System").alias("name"), F.concat_ws("\n", F.lit("Design System Tokens:"), *lines).alias("embedding_text"))
+
+
+def _is_property(name: str):
+    return lambda x: x["property"] == name
+
+
+def layout_chunk(nodes: DataFrame, levels: int = 3) -> DataFrame:
+    """The elements that matter on a page's upper levels, in order."""
+    large = F.lit(10_000)
+    rows = nodes.where((F.col("depth") <= levels + 1) & H.is_significant(F.col("tag"), F.col("id"), F.col("classes"), large, large))
+    name = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.get("classes", F.lit(0)), F.col("tag"))
+    listed = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("node_id", F.concat(name, F.lit(" ("), "tag", F.lit(")")).alias("t")))).alias("l"))
+    rows = nodes.select("page_id").distinct().join(listed, "page_id", "left")
+    lines = F.transform(F.coalesce("l", F.array().cast("array<struct<node_id:int,t:string>>")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["t"]))
+    return rows.select("page_id", F.lit(2).alias("k"), F.lit(0).alias("at"), F.lit("layout").alias("type"), F.lit("Page Layout").alias("name"), F.array_join(F.concat(F.array(F.lit("Page Layout Structure:")), lines), "\n").alias("embedding_text"))
+
+
 def chunks(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(page_id, chunk_no, id, type, name, embedding_text): an overview, the layout, a chunk for each semantic section and each component, and the links. Numbers run over all types of a page."""
-    tops = topmost(nodes, F.col("tag").isin(*SEMANTIC))
+    """(page_id, chunk_no, id, type, name, embedding_text): an overview, the design's values, the layout, a chunk for each semantic section and each component, and the links. Numbers run over all types of a page. Static pages have no sizes, so none are asked for."""
+    words, hero = F.lower(F.array_join("classes", " ")), "hero|banner"
+    tops = topmost(nodes, F.col("tag").isin(*SEMANTIC) | words.rlike(hero) | F.lower(F.coalesce("id", F.lit(""))).contains("hero"))
     counts = nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
     rank = Window.partitionBy("page_id").orderBy(F.desc("n"), "first")
     top = counts.withColumn("r", F.row_number().over(rank)).where("r <= 10").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(": ", "tag", F.col("n").cast("string")).alias("t")))).alias("t"))
@@ -94,13 +134,16 @@ def chunks(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     size = nodes.groupBy("page_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
     overview = title.join(size, "page_id").join(top, "page_id").select("page_id", F.lit(0).alias("k"), F.lit(0).alias("at"), F.lit("overview").alias("type"), F.col("title").alias("name"), F.concat_ws("\n", F.concat(F.lit("Page: "), "title"), F.concat(F.lit("URL: "), "url"), F.concat(F.lit("Elements: "), F.col("n").cast("string")), F.concat(F.lit("Depth: "), F.col("depth").cast("string")), F.concat(F.lit("Tags: "), F.array_join(F.transform("t", lambda x: x["t"]), ", "))).alias("embedding_text"))
     inside = F.col("subtree_end") - F.col("node_id")
-    sections = tops.select("page_id", F.lit(1).alias("k"), F.col("node_id").alias("at"), F.lit("section").alias("type"), F.col("selector").alias("name"), F.concat_ws("\n", F.concat(F.lit("Section: "), "tag"), F.concat(F.lit("Selector: "), "selector"), F.concat(F.lit("Elements: "), inside.cast("string")), F.nullif(F.col("text_content"), F.lit(""))).alias("embedding_text"))
-    parts = topmost(nodes, F.col("tag").isin("form", "button", "input", "select") | F.exists("classes", lambda c: c.rlike("(?i)card|modal|menu|tab|ad$")))
-    components = parts.select("page_id", F.lit(2).alias("k"), F.col("node_id").alias("at"), F.lit("component").alias("type"), F.col("selector").alias("name"), F.concat_ws("\n", F.concat(F.lit("Component: "), "selector"), F.nullif(F.col("text_content"), F.lit(""))).alias("embedding_text"))
+    sections = tops.select("page_id", F.lit(3).alias("k"), F.col("node_id").alias("at"), F.lit("section").alias("type"), F.col("selector").alias("name"), F.concat_ws("\n", F.concat(F.lit("Section: "), "tag"), F.concat(F.lit("Selector: "), "selector"), F.concat(F.lit("Elements: "), inside.cast("string")), F.nullif(F.col("text_content"), F.lit(""))).alias("embedding_text"))
+    parts = topmost(nodes.where(F.col("depth") <= COMPONENT_DEPTH + 1), F.col("tag").isin("form", "button", "input", "select") | words.rlike("|".join(COMPONENT_WORDS)) | F.col("is_interactive"))
+    kind = H.chunk_type(F.col("tag"), F.col("classes"))
+    called = H.component_name(F.col("id"), F.col("classes"), F.concat(F.initcap(kind), F.lit(" Component")))
+    facts = F.concat(F.lit("Component: "), called), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Tag: "), "tag"), F.concat(F.lit("ID: "), F.nullif(F.col("id"), F.lit(""))), F.when(F.size("classes") > 0, F.concat(F.lit("Classes: "), F.array_join("classes", ", "))), F.concat(F.lit("Interactive: "), F.col("is_interactive").cast("string")), F.concat(F.lit("Text: "), F.nullif(F.col("text_content"), F.lit("")))
+    components = parts.select("page_id", F.lit(4).alias("k"), F.col("node_id").alias("at"), F.lit("component").alias("type"), called.alias("name"), F.concat_ws("\n", *facts).alias("embedding_text"))
     w = Window.partitionBy("page_id").orderBy("node_id")
     hrefs = nodes.where((F.col("tag") == "a") & F.element_at("attributes", F.lit("href")).isNotNull()).withColumn("r", F.row_number().over(w)).where("r <= 10")
-    assets = hrefs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("r", F.element_at("attributes", F.lit("href")).alias("h")))).alias("l")).select("page_id", F.lit(3).alias("k"), F.lit(0).alias("at"), F.lit("assets").alias("type"), F.lit("Assets").alias("name"), F.concat(F.lit("Links: "), F.array_join(F.transform("l", lambda x: x["h"]), ", ")).alias("embedding_text"))
-    every = overview.unionByName(sections).unionByName(components).unionByName(assets)
+    assets = hrefs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("r", F.element_at("attributes", F.lit("href")).alias("h")))).alias("l")).select("page_id", F.lit(5).alias("k"), F.lit(0).alias("at"), F.lit("assets").alias("type"), F.lit("Assets").alias("name"), F.concat(F.lit("Links: "), F.array_join(F.transform("l", lambda x: x["h"]), ", ")).alias("embedding_text"))
+    every = overview.unionByName(design_chunk(nodes)).unionByName(layout_chunk(nodes)).unionByName(sections).unionByName(components).unionByName(assets)
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("k", "at"))
     return every.withColumn("chunk_no", number).select("page_id", "chunk_no", F.format_string("chunk_%04d", "chunk_no").alias("id"), "type", "name", "embedding_text")
 

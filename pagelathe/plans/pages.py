@@ -242,10 +242,20 @@ def css_rules(spark, d):
     return tree.css_rules(pages(spark, d)).withColumn("declarations", F.array_join(pairs, ";"))
 
 
-@register("tech_evidence")
+SCRIPTS = "CASE page_id % 4 WHEN 0 THEN '<script src=\"/js/Vue.min.js\"></script>' WHEN 1 THEN '<script src=''/_next/static/a.js''></script><script src=/jquery.js></script>' WHEN 2 THEN '<script src=\"/tailwind.js\"></script>' ELSE '<script src=\"/none.js\">' END"
+MARKS = "CASE page_id % 4 WHEN 0 THEN '<div data-v-12 class=\"flex x\">' WHEN 1 THEN '<div data-next-page=\"1\">' WHEN 2 THEN '<div class=\"px-2 flexbox\"><p class=\"text-sm\">' ELSE '' END"
+
+
+@register(
+    "tech_evidence",
+    "SELECT page_id, 'Vue' AS name, 'framework' AS type, CASE WHEN page_id % 3 = 0 THEN 75 ELSE 50 END AS confidence FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'Next.js', 'framework', 50 FROM pages WHERE page_id % 4 = 1 "
+    "UNION ALL SELECT page_id, 'jQuery', 'library', 75 FROM pages WHERE page_id % 4 = 1 AND page_id % 3 = 0 UNION ALL SELECT page_id, 'Tailwind CSS', 'library', 85 FROM pages WHERE page_id % 4 = 2",
+)
 def tech_evidence(spark, d):
-    """Technologies by points over scripts, classes and data attributes."""
-    return tree.technologies(elements.flatten(pages(spark, d)), X.EVIDENCE)
+    """Technologies by points over scripts, global names, classes and data attributes."""
+    p = pages(spark, d).withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.expr(SCRIPTS), F.expr(MARKS))))
+    names = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.array(F.lit("Vue"), F.lit("$"))).alias("names"))
+    return tree.technologies(p, elements.flatten(p, include_hidden=True), names)
 
 
 @register("dom_main_content", nodes_sql.MAIN)
