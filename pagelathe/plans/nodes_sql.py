@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 #: Tokens of the bodies, then one step a token of all pages at once: what is open, and the node that a start tag makes.
-NODES = r"""tok AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS t FROM (SELECT page_id, regexp_extract_all(substr(html, strpos(html, '<body')), '</?[a-z][a-z0-9]*[^>]*') AS t FROM pages)),
+DECODED = "replace(replace(replace(replace(replace(replace(txt, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+NODES = r"""tok AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS t FROM (SELECT page_id, regexp_extract_all(substr(html, strpos(html, '<body')), '</?[a-z][a-z0-9]*[^>]*>?[^<]*') AS t FROM pages)),
 walk AS (
-  SELECT page_id, 0::BIGINT AS i, []::INT[] AS ids, []::VARCHAR[] AS tags, 0 AS n, NULL::INT AS node_id, NULL::INT AS parent_id, NULL::INT[] AS path, '' AS tag, '' AS cls FROM (SELECT DISTINCT page_id FROM tok)
+  SELECT page_id, 0::BIGINT AS i, []::INT[] AS ids, []::VARCHAR[] AS tags, 0 AS n, NULL::INT AS node_id, NULL::INT AS parent_id, NULL::INT[] AS path, '' AS tag, '' AS cls, '' AS href, '' AS txt FROM (SELECT DISTINCT page_id FROM tok)
   UNION ALL
   SELECT page_id, i, CASE WHEN ends THEN list_slice(ids, 1, keep) WHEN tag = 'br' THEN own ELSE list_append(own, n) END, CASE WHEN ends THEN list_slice(tags, 1, keep) WHEN tag = 'br' THEN list_slice(tags, 1, len(own)) ELSE list_append(list_slice(tags, 1, len(own)), tag) END,
-    n + (NOT ends)::INT, CASE WHEN NOT ends THEN n END, CASE WHEN NOT ends THEN own[-1] END, CASE WHEN NOT ends THEN list_append(own, n) END, tag, cls
+    n + (NOT ends)::INT, CASE WHEN NOT ends THEN n END, CASE WHEN NOT ends THEN own[-1] END, CASE WHEN NOT ends THEN list_append(own, n) END, tag, cls, href, txt
   FROM (
-    SELECT w.page_id, tok.i, ids, tags, n, starts_with(t, '</') AS ends, regexp_extract(t, '^</?([a-z0-9]+)', 1) AS tag, regexp_extract(t, 'class="([^" ]*)', 1) AS cls,
+    SELECT w.page_id, tok.i, ids, tags, n, starts_with(t, '</') AS ends, regexp_extract(t, '^</?([a-z0-9]+)', 1) AS tag, regexp_extract(t, '^<[^>]* class="([^" ]*)', 1) AS cls, regexp_extract(t, ' href="([^">]*)"[^>]*>', 1) AS href, regexp_extract(t, '^[^>]*>(.*)$', 1, 's') AS txt,
       CASE WHEN list_contains(tags, regexp_extract(t, '^</?([a-z0-9]+)', 1)) THEN len(tags) - list_position(list_reverse(tags), regexp_extract(t, '^</?([a-z0-9]+)', 1)) ELSE len(tags) END AS keep,
       CASE WHEN regexp_extract(t, '^<([a-z0-9]+)', 1) IN ('p', 'li') AND tags[-1] = regexp_extract(t, '^<([a-z0-9]+)', 1) THEN list_slice(ids, 1, len(ids) - 1) ELSE ids END AS own
     FROM walk w JOIN tok ON tok.page_id = w.page_id AND tok.i = w.i + 1)
 ),
-one AS (SELECT page_id, node_id, parent_id, path, len(path) AS depth, tag, tag || CASE WHEN cls <> '' THEN '.' || cls ELSE '' END AS selector, row_number() OVER (PARTITION BY page_id, parent_id ORDER BY node_id) - 1 AS sibling_idx,
+one AS (SELECT page_id, node_id, parent_id, path, len(path) AS depth, tag, href, tag || CASE WHEN cls <> '' THEN '.' || cls ELSE '' END AS selector, row_number() OVER (PARTITION BY page_id, parent_id ORDER BY node_id) - 1 AS sibling_idx,
   '/' || tag || CASE WHEN tag = 'body' THEN '' ELSE '[' || row_number() OVER (PARTITION BY page_id, parent_id, tag ORDER BY node_id) || ']' END AS seg FROM walk WHERE node_id IS NOT NULL),
 ups AS (SELECT page_id, node_id AS below, unnest(path) AS node_id FROM one),
 spans AS (SELECT page_id, node_id, max(below) AS subtree_end FROM ups GROUP BY page_id, node_id),
 xpaths AS (SELECT u.page_id, u.below AS node_id, string_agg(o.seg, '' ORDER BY o.node_id) AS xpath FROM ups u JOIN one o ON u.page_id = o.page_id AND u.node_id = o.node_id GROUP BY u.page_id, u.below),
-nodes AS (SELECT o.*, s.subtree_end, x.xpath FROM one o JOIN spans s ON o.page_id = s.page_id AND o.node_id = s.node_id JOIN xpaths x ON o.page_id = x.page_id AND o.node_id = x.node_id)"""
+said AS (SELECT page_id, ids[-1] AS node_id, left(trim(regexp_replace(DECODED, '\s+', ' ', 'g')), 200) AS text FROM (SELECT page_id, ids, string_agg(txt, '' ORDER BY i) AS txt FROM (SELECT page_id, ids[-1:] AS ids, i, txt FROM walk WHERE len(ids) > 0) GROUP BY page_id, ids)),
+nodes AS (SELECT o.*, s.subtree_end, x.xpath FROM one o JOIN spans s ON o.page_id = s.page_id AND o.node_id = s.node_id JOIN xpaths x ON o.page_id = x.page_id AND o.node_id = x.node_id)""".replace("DECODED", DECODED)
 
 LANDMARKS = "'header', 'nav', 'main', 'section', 'article', 'aside', 'footer'"
 
@@ -41,7 +43,7 @@ LAYOUT = over_nodes(
     f"SELECT page_id, count(*) AS nodes, max(depth) - 1 AS max_depth, array_to_string(list(repeat('  ', depth - 1) || selector ORDER BY node_id)[1:300], chr(10)) AS tree FROM nodes n WHERE depth <= 15 "
     f"AND NOT EXISTS (SELECT 1 FROM ups u JOIN one o ON u.page_id = o.page_id AND u.node_id = o.node_id WHERE u.page_id = n.page_id AND u.below = n.node_id AND o.tag NOT IN ({SHOWN})) GROUP BY page_id"
 )
-CSS = "SELECT page_id, 'rule' AS kind, regexp_extract(s, '^([^{]*)\{', 1) AS selector, regexp_extract(s, '\{([^}]*)\}', 1) AS declarations FROM (SELECT page_id, regexp_extract(html, '<style>([^<]*)</style>', 1) AS s FROM pages) WHERE s <> ''"
+CSS = r"SELECT page_id, 'rule' AS kind, regexp_extract(s, '^([^{]*)\{', 1) AS selector, regexp_extract(s, '\{([^}]*)\}', 1) AS declarations FROM (SELECT page_id, regexp_extract(html, '<style>([^<]*)</style>', 1) AS s FROM pages) WHERE s <> ''"
 
 
 def _between(tag: str) -> str:
@@ -57,3 +59,8 @@ SECTIONS = over_nodes(
     f"FROM (SELECT *, CASE WHEN tag IN ('div', 'footer') THEN trim(regexp_replace({PLAIN}, '\\s+', ' ', 'g')) ELSE '' END AS text FROM (SELECT n.page_id, sibling_idx, n.tag, selector, subtree_end - node_id + 1 AS element_count, CASE n.tag WHEN 'nav' THEN {_between('nav')} WHEN 'div' THEN {_between('div')} WHEN 'article' THEN {_between('article')} ELSE {_between('footer')} END AS raw FROM nodes n JOIN pages p ON n.page_id = p.page_id WHERE depth = 2))"
 )
 MAIN = over_nodes(f"SELECT n.page_id, max(n.node_id) AS node_id, max_by(n.tag, n.node_id) AS tag FROM nodes n JOIN pages p ON n.page_id = p.page_id WHERE n.tag = 'body' OR (n.depth = 2 AND n.tag = 'div' AND length({_between('div')}) >= 0.9 * length({_between('body')})) GROUP BY n.page_id")
+TEXTS = "SELECT n.page_id, n.node_id, n.parent_id, n.depth, n.tag, n.selector, n.href, coalesce(s.text, '') AS text FROM nodes n LEFT JOIN said s ON n.page_id = s.page_id AND n.node_id = s.node_id"
+VISIBLE = over_nodes(f"SELECT page_id, elements, text, elements > 5 OR length(text) > 50 AS has_content FROM (SELECT page_id, count(*) AS elements, coalesce(left(string_agg(text, ' ' ORDER BY node_id) FILTER (length(text) > 2), 1000), '') AS text FROM ({TEXTS}) GROUP BY page_id)")
+REPEATED = over_nodes(f"SELECT page_id, parent_id, selector AS shape, count(*) AS items, array_to_string(list(text ORDER BY node_id)[1:3], '|') AS examples FROM ({TEXTS}) WHERE parent_id IS NOT NULL GROUP BY page_id, parent_id, selector HAVING count(*) >= 3")
+HREF = DECODED.replace("txt", "href")
+SNAPSHOT = over_nodes(f"SELECT page_id, node_id, tag, CASE WHEN href = '' THEN '' WHEN length({HREF}) > 100 THEN 'href=' || left({HREF}, 100) || '...' ELSE 'href=' || {HREF} END AS attributes, text FROM ({TEXTS}) WHERE depth <= 6 AND tag NOT IN ('script', 'style', 'noscript')")

@@ -229,10 +229,10 @@ def dom_layout_tree(spark, d):
     return tree.layout_text(elements.flatten(pages(spark, d)))
 
 
-@register("dom_repeated_lists")
+@register("dom_repeated_lists", nodes_sql.REPEATED)
 def dom_repeated_lists(spark, d):
     """Repeated siblings of one tag and class, with three examples."""
-    return tree.repeated(elements.flatten(pages(spark, d)), 3)
+    return tree.repeated(elements.flatten(pages(spark, d)), 3).withColumn("examples", F.array_join("examples", "|"))
 
 
 @register("css_rules", nodes_sql.CSS)
@@ -270,7 +270,7 @@ def dom_skeletons(spark, d):
     return summary.skeletons(elements.flatten(pages(spark, d)))
 
 
-@register("dom_visible_text")
+@register("dom_visible_text", nodes_sql.VISIBLE)
 def dom_visible_text(spark, d):
     """What a page shows."""
     return summary.visible_text(elements.flatten(pages(spark, d)))
@@ -288,7 +288,7 @@ def dom_split_sections(spark, d):
     return tree.valid_sections(elements.flatten(pages(spark, d)), 1000, 20)
 
 
-@register("dom_snapshot")
+@register("dom_snapshot", nodes_sql.SNAPSHOT)
 def dom_snapshot(spark, d):
     """Compact rows of a page's upper levels."""
-    return summary.snapshot(elements.own_attributes(elements.flatten(pages(spark, d)))).select("page_id", "node_id", "tag", F.map_entries("attributes").alias("attributes"), "text")
+    return summary.snapshot(elements.own_attributes(elements.flatten(pages(spark, d)))).select("page_id", "node_id", "tag", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ").alias("attributes"), "text")
