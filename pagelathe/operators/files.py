@@ -231,3 +231,10 @@ def located(files: DataFrame, target: str, most: int = 10) -> DataFrame:
     near = near.groupBy("path").agg(F.min("line_no").alias("line_no")).select("path", F.lit("spacing").alias("tier"), "line_no", F.lit(1.0).alias("score"))
     rest = similar_lines(tiers.where("tier = 'similar'"), target, most).select("path", F.lit("similar").alias("tier"), "line_no", "score")
     return whole.unionByName(near).unionByName(rest)
+
+
+def recommended(files: DataFrame, hints: list[str], most: int = 5) -> DataFrame:
+    """C14: for each hint the first `most` files, by path, whose content holds it in either case."""
+    low = F.lower("content")
+    held = files.select("path", F.explode(F.array_compact(F.array(*(F.when(low.contains(h.lower()), F.lit(h)) for h in hints)))).alias("hint"))
+    return held.withColumn("place", F.row_number().over(Window.partitionBy("hint").orderBy("path"))).where(F.col("place") <= most)

@@ -139,3 +139,12 @@ def fix_command(category: Column, file: Column, message: Column) -> Column:
     out = F.when((category == "MISSING_IMPORT") & module.rlike("^[./]"), filled("local")).when((category == "MISSING_IMPORT") & module.isNotNull(), filled("package"))
     out = out.when(category.isin("MISSING_CSS") & file.isNotNull(), filled("MISSING_CSS")).when((category == "SYNTAX_ERROR") & file.isNotNull(), filled("SYNTAX_ERROR"))
     return out.when(category == "WHITE_SCREEN", filled("WHITE_SCREEN")).when(category == "NPM_ERROR", filled("NPM_ERROR")).when(category.isin("BUILD_FAILED", "VITE_PLUGIN_ERROR"), filled("BUILD_FAILED"))
+
+
+def answered(requests: DataFrame, responses: DataFrame, keys: list[str], ts: str, value: str, timeout_s: int) -> DataFrame:
+    """Each request with the value of the first response of its keys that isn't earlier, status resolved; without one within `timeout_s` seconds it is timed out. One sort of both sides together, from the last row back; no pairs are made."""
+    both = requests.withColumn("_side", F.lit(0)).withColumn("_r", F.lit(None)).unionByName(responses.select(*keys, ts, F.lit(1).alias("_side"), F.struct(F.col(ts).alias("at"), F.col(value).alias("v")).alias("_r")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_next", F.last("_r", ignorenulls=True).over(w)).where("_side = 0")
+    ok = F.coalesce(micros(F.col("_next.at")) - micros(ts) <= timeout_s * 1_000_000, F.lit(False))
+    return rows.withColumn("status", F.when(ok, "resolved").otherwise("timeout")).withColumn("response", F.when(ok, F.col("_next.v"))).drop("_side", "_r", "_next")

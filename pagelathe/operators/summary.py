@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,3 +173,47 @@ def replay_stats(events: DataFrame) -> DataFrame:
     """Of each recording (replay_id, ts_ms, type, workers array): sections of its first spawn, files written, whole seconds to its last event."""
     first = F.min_by(F.size("workers"), F.when(F.col("type") == "worker_spawned", F.struct("ts_ms", "seq")))
     return events.groupBy("replay_id").agg(F.coalesce(first, F.lit(0)).alias("sections"), F.count_if(F.col("type") == "file_written").alias("files"), F.floor(F.max("ts_ms") / 1000).alias("duration_seconds"))
+
+
+def raw_positions(pages: DataFrame, wanted: DataFrame, prefix: int = 200, reach: int = 1000) -> DataFrame:
+    """(page_id, seq, char_start, char_end) of elements (page_id, seq, html, tag, id, classes) in their page's raw HTML (page_id, html).
+
+    Tried in turn, in either case: the element's own beginning, where it has over 50 characters; its tag with its id; with
+    its first class, unless that starts with a digit; its tag alone. The first place that overlaps none taken before, in
+    order of seq, counts; 0 and 0 where there is none. Sequential within a page.
+    """
+
+    def patterns(r):
+        tag = re.escape(r.tag or "")
+        if r.html and len(r.html) > 50:
+            yield re.escape(r.html[:prefix].strip()), len(r.html)
+        if tag and r.id:
+            yield rf"""<{tag}[^>]*id=["']?{re.escape(r.id)}["']?[^>]*>""", None
+        first = r.classes[0] if r.classes is not None and len(r.classes) else ""
+        if tag and first and not first[0].isdigit():
+            yield rf"""<{tag}[^>]*class=["'][^"']*{re.escape(first)}[^"']*["'][^>]*>""", None
+        if tag:
+            yield f"<{tag}[^>]*>", None
+
+    def place(raw: str, r, taken: list[tuple[int, int]]) -> tuple[int, int]:
+        for pattern, size in patterns(r):
+            for m in re.finditer(pattern, raw, re.IGNORECASE):
+                end = m.start() + (size or reach)
+                if size is None and (close := raw.find(f"</{r.tag}>", m.start())) > m.start():
+                    end = close + len(r.tag) + 3
+                span = m.start(), min(end, len(raw))
+                if all(span[0] >= e or span[1] <= s for s, e in taken) and span != (0, 0):
+                    return span
+        return 0, 0
+
+    def run(raw: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        html, taken, out = (raw["html"].iloc[0] or "") if len(raw) else "", [], []
+        for r in x.sort_values("seq").itertuples(index=False):
+            span = place(html, r, taken)
+            if span != (0, 0):
+                taken.append(span)
+            out.append((r.page_id, r.seq, *span))
+        return pd.DataFrame(out, columns=["page_id", "seq", "char_start", "char_end"])
+
+    sides = pages.select("page_id", "html").groupBy("page_id").cogroup(wanted.select("page_id", "seq", "html", "tag", "id", "classes").groupBy("page_id"))
+    return sides.applyInPandas(run, "page_id long, seq long, char_start long, char_end long")

@@ -244,3 +244,20 @@ def component_tree(spark, d):
         F.lit(10).alias("height"),
     )
     return T.component_tree(t)
+
+
+@register("file_recommendations", f"SELECT hint, path, place FROM (SELECT *, row_number() OVER (PARTITION BY hint ORDER BY path) AS place FROM (SELECT 'License' AS hint, path FROM {SQL_FILES} WHERE contains(lower(content), 'license') UNION ALL SELECT 'the', path FROM {SQL_FILES} WHERE contains(lower(content), 'the'))) WHERE place <= 5")
+def file_recommendations(spark, d):
+    """C14: files that hold a hint, the first five of each."""
+    return O.recommended(files(spark, d), ["License", "the"])
+
+
+@register(
+    "event_answers",
+    "SELECT event_id, CASE WHEN told - ts <= INTERVAL 1 HOUR THEN 'resolved' ELSE 'timeout' END AS status, CASE WHEN told - ts <= INTERVAL 1 HOUR THEN response END AS response FROM (SELECT a.event_id, a.ts, b.ts AS told, b.response FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS response FROM events WHERE event_type = 'view' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts <= b.ts)",
+)
+def event_answers(spark, d):
+    """Clicks and the first view that follows within an hour."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("response_id"))
+    return logs.answered(e.where("event_type = 'click'"), views, ["user_id"], "ts", "response_id", 3600).select("event_id", "status", "response")

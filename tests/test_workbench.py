@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from pagelathe.functions import html as H
-from pagelathe.operators import files, jsonq, logs, tree
+from pagelathe.operators import files, jsonq, logs, summary, tree
+from pagelathe.plans.tools import Tool, Tools
 from pagelathe.sources import showcase
 from pagelathe.streaming import queries as streams
 
@@ -45,6 +46,24 @@ def test_components(spark):
     assert box[0].b.split("\n")[3] == "|" + " " * 27 + "HERO" + " " * 27 + "|" and len(box[1].b.split("\n")) == 3
 
 
+def test_raw_positions(spark):
+    raw = '<div id="a" class="x">1</div><div class="x y">2</div><div>3</div>' + '<p class="z">' + "t" * 60 + "</p>"
+    pages = spark.createDataFrame([(1, raw), (2, None)], "page_id long, html string")
+    long = '<p class="z">' + "t" * 60 + "</p>"
+    rows = [(1, 0, None, "div", None, ["x"]), (1, 1, None, "div", "a", ["x"]), (1, 2, None, "div", None, ["9"]), (1, 3, long, "p", None, []), (1, 4, None, "b", None, None), (2, 0, None, "p", None, None), (3, 0, None, "p", None, None)]
+    wanted = spark.createDataFrame(rows, "page_id long, seq long, html string, tag string, id string, classes array<string>")
+    got = {(r.page_id, r.seq): raw[r.char_start : r.char_end] for r in summary.raw_positions(pages, wanted).collect()}
+    assert got[1, 0] == '<div id="a" class="x">1</div>' and got[1, 1] == '<div class="x y">2</div>' and got[1, 3] == long and got[1, 4] == got[2, 0] == got[3, 0] == ""
+
+
+def test_tools(spark):
+    t = Tools()
+    t.add("n", Tool(lambda s, n: s.range(n), {"n": int}, ("n",)))
+    assert t.tools["n"].schema() == {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}
+    assert t.formatted(spark, "n", {"n": 2}) == '{"id":0}\n{"id":1}' and t.formatted(spark, "n", {}) == "Error: validation: n missing"
+    assert t.formatted(spark, "n", {"n": 2}, aborted=lambda: True) == "Error: abort: n" and t.formatted(spark, "x", {}).startswith("Error: discovery")
+
+
 def test_showcase(spark, tmp_path):
     at = f"file://{tmp_path}/shows/one"
     meta = spark.createDataFrame([("n", 2)], "name string, events long")
