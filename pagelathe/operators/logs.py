@@ -148,3 +148,11 @@ def answered(requests: DataFrame, responses: DataFrame, keys: list[str], ts: str
     rows = both.withColumn("_next", F.last("_r", ignorenulls=True).over(w)).where("_side = 0")
     ok = F.coalesce(micros(F.col("_next.at")) - micros(ts) <= timeout_s * 1_000_000, F.lit(False))
     return rows.withColumn("status", F.when(ok, "resolved").otherwise("timeout")).withColumn("response", F.when(ok, F.col("_next.v"))).drop("_side", "_r", "_next")
+
+
+def concurrency(runs: DataFrame, keys: list[str], start: str, end: str, most: int = 10) -> DataFrame:
+    """Of each key the runs (start, end), the most at any one time, an end before a start at the same time, and whether that keeps to `most`. Starts and ends are sorted together; no pairs are made."""
+    edges = runs.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(*keys, "e.*")
+    w = Window.partitionBy(*keys).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    g = edges.withColumn("now", F.sum("step").over(w)).groupBy(*keys).agg(F.count_if(F.col("step") == 1).alias("runs"), F.max("now").alias("peak"))
+    return g.withColumn("within", F.col("peak") <= most)

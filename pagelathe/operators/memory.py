@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,8 +70,8 @@ def _intent(chars: int = 150) -> Column:
     return F.when(n > 1, F.concat(F.lit("Initial: "), first, F.lit("\n- Latest of "), n.cast("string"), F.lit(": "), latest)).otherwise(F.coalesce(first, F.lit("")))
 
 
-def compact(messages: DataFrame, keep: int = 10, cues: dict[str, tuple[str, ...]] = CUES) -> DataFrame:
-    """One summary of all but the kept messages of each conversation: background, decisions, tools used and how often, the first and the latest wish of the user, results, errors, open issues and plans, by roles and cue words."""
+def compact(messages: DataFrame, keep: int = 10, cues: dict[str, tuple[str, ...]] = CUES, segments: tuple[str, ...] | None = None, extractors: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """`extractors` (aggregates over a conversation's old messages, by segment) add to these segments or replace them, `segments` names those wanted, in order; one without extractor stays empty. One summary of all but the kept messages of each conversation: background, decisions, tools used and how often, the first and the latest wish of the user, results, errors, open issues and plans, by roles and cue words."""
     old = recent(messages, keep).where("NOT kept OR role = 'system'")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     old = old.withColumn("n", rank)
@@ -84,6 +86,8 @@ def compact(messages: DataFrame, keep: int = 10, cues: dict[str, tuple[str, ...]
         "Open issues": segment(old, cued(cues["open"]), 5, 150),
         "Plans": segment(old, said & cued(cues["plans"]), 3, 150, True),
     }
+    parts |= {k: make() for k, make in (extractors or {}).items()}
+    parts = {k: parts.get(k, F.first(F.lit(""))) for k in segments or parts}
     g = old.groupBy("conv_id").agg(F.count_if(F.col("role") != "system").alias("compacted"), *(c.alias(k) for k, c in parts.items()))
     lines = [F.when(F.col(f"`{k}`") != "", F.concat(F.lit(f"## {k}\n- "), F.col(f"`{k}`"))) for k in parts]
     return g.where("compacted > 0").select("conv_id", "compacted", F.concat_ws("\n", *lines).alias("summary"))

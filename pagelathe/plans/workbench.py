@@ -261,3 +261,14 @@ def event_answers(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("response_id"))
     return logs.answered(e.where("event_type = 'click'"), views, ["user_id"], "ts", "response_id", 3600).select("event_id", "status", "response")
+
+
+@register(
+    "event_concurrency",
+    "SELECT user_id, count(*) FILTER (step = 1) AS runs, max(n) AS peak, max(n) <= 2 AS within FROM (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY at_us, step ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT user_id, epoch_us(ts) AS at_us, 1 AS step FROM events UNION ALL SELECT user_id, epoch_us(ts) + event_id % 5 * 86400000000 + 1, -1 FROM events)) GROUP BY user_id",
+)
+def event_concurrency(spark, d):
+    """Events as runs of up to four days, and how many of a user's run at once."""
+    at = logs.micros("ts")
+    e = table(spark, d, "events").select("user_id", at.alias("a"), (at + F.col("event_id") % 5 * 86_400_000_000 + 1).alias("b"))
+    return logs.concurrency(e, ["user_id"], "a", "b", 2)

@@ -5,9 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from pagelathe.functions import html as H
-from pagelathe.operators import files, jsonq, logs, summary, tree
+from pagelathe.operators import files, jsonq, logs, memory, summary, tree
 from pagelathe.plans.tools import Tool, Tools
-from pagelathe.sources import showcase
+from pagelathe.sources import journal, showcase
 from pagelathe.streaming import queries as streams
 
 
@@ -64,6 +64,24 @@ def test_tools(spark):
     assert t.formatted(spark, "n", {"n": 2}, aborted=lambda: True) == "Error: abort: n" and t.formatted(spark, "x", {}).startswith("Error: discovery")
 
 
+def test_segments(spark):
+    said = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f"m{i}") for i in range(6)], "conv_id long, turn long, role string, text string")
+    got = memory.compact(said, 2, segments=("Count", "Nothing"), extractors={"Count": lambda: F.count("*").cast("string")}).first()
+    assert got.compacted == 4 and got.summary == "## Count\n- 4"
+    runs = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 1, 9)], "k long, a long, b long")
+    assert [tuple(r) for r in logs.concurrency(runs, ["k"], "a", "b").collect()] == [(1, 3, 2, True)]
+
+
+def test_journal(spark, tmp_path):
+    at, schema = f"file://{tmp_path}/log", "id long, step string"
+    assert journal.entries(spark, at, schema).count() == 0
+    for i in range(2):
+        journal.append(at, spark.createDataFrame([(i, "x")], schema))
+    assert sorted(r.id for r in journal.entries(spark, at, schema).collect()) == [0, 1]
+    journal.clear(spark, at, schema)
+    assert journal.entries(spark, at, schema).count() == 0
+
+
 def test_showcase(spark, tmp_path):
     at = f"file://{tmp_path}/shows/one"
     meta = spark.createDataFrame([("n", 2)], "name string, events long")
