@@ -251,7 +251,8 @@ def deal(sized: DataFrame, counts: dict[int, int], cosine: float, block: int) ->
                     x.loc[at, "cell"], x.loc[at, "far"] = cos.argmax(1), np.sqrt(_square(cos.max(1)))
             yield x
 
-    placed = cut(sized.mapInPandas(assign, "v binary, rep long, weight long, dim int, cell long, far double"))
+    whole = sized.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(0.0)})
+    placed = cut(sized.mapInPandas(assign, whole.schema)) if many else whole
     of = {}
     for r in placed.where(F.col("dim").isin(many)).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect() if many else []:
         of.setdefault(r.dim, {})[r.cell] = (-(-2 * r.n // (3 * block)), r.far)
