@@ -20,6 +20,10 @@ END, TOKENS, SEGMENTS, LOSS = 2, 4096, 256, 4096
 LEAST = 16
 #: A pool is packed when it holds so many tokens or examples; characters encoded at a time; distinct words remembered.
 POOL, EXAMPLES, CHARS, WORDS = 1_000_000, 16_384, 8 << 20, 1_000_000
+#: Words encoded in one go, and stops that may follow a word's letters.
+JOINED, STOPS = 256, ".,;:!?"
+# Fixed value: what ends the last piece of a word in the tokenizer's vocabulary.
+WORD_END = "</w>"
 SCHEMA = "doc_id long, start long, length long, ids binary, loss long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,6 +39,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
@@ -42,12 +48,31 @@ class Encoder:
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Words of letters, with stops after them or not, are encoded some at a time: each stretch of letters, and each of stops, ends with an identifier that ends words."""
+        parts = np.fromiter((1 if w.isalpha() else 2 if w.rstrip(STOPS).isalpha() else 0 for w in words), np.int64, len(words))
+        order = np.argsort(parts == 0, kind="stable")  # the others come last, each by itself
+        plain = np.count_nonzero(parts)
+        words, parts = [words[i] for i in order.tolist()], parts[order]
+        got = []
+        for s, x in zip(range(0, plain, JOINED), self.tokenizer.encode_batch_fast([" ".join(words[s : min(s + JOINED, plain)]) for s in range(0, plain, JOINED)], add_special_tokens=False), strict=True):
+            ids, own = np.array(x.ids, np.uint32), parts[s : min(s + JOINED, plain)]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == own.sum():
+                got.append((ids, np.diff(ends[np.cumsum(own) - 1], prepend=0)))
+            else:  # some letter isn't one to the tokenizer
+                got.append(self._single(words[s : s + len(own)]))
+        got.append(self._single(words[plain:]))
+        size = np.concatenate([x for _, x in got])
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        size = np.fromiter(map(len, got), np.int64, len(got))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))))
+        self.ids = np.concatenate((self.ids, *(x for x, _ in got)))
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all words, and each one's number."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The identifiers of all texts, and for each text where its own end."""
