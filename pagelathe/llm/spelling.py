@@ -45,26 +45,31 @@ def parity(word: Column, letters: str) -> Column:
 
 
 def pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b) for each pair of the distinct words (word, n) that one inserted, deleted or replaced code point makes equal, once, a < b.
-
-    One edit flips at most two of the masks' bits, so one of three bands stays equal; and as words have LENGTH code
-    points or more, one of their ends stays as it is. So words meet by band, its bits, end and that end's letters,
-    within a length of one; a pair counts where it meets first, if its masks differ in at most two bits, and if the
-    edit distance is one. Large groups are split by adaptive execution; letters beyond the bands' flip no bit and lose
-    no pair.
+    """(a, n_a, b, n_b) for each pair of the distinct words (word, n) that one inserted, deleted or replaced code point makes equal, once.
+
+    One edit flips at most two of the masks' bits, so one of three bands stays equal, and then near words have that
+    band's letters in the same order; and as words have LENGTH code points or more, one of their ends stays as it is.
+    So words meet by band, its letters, end and that end's letters. Of those that meet, masks that differ in more than
+    two bits and lengths that differ by more than one are ruled out first; a pair counts where it meets first, and if
+    the edit distance is one. Large groups are split by adaptive execution; letters beyond the bands' flip no bit and
+    lose no pair.
     """
     bands = band_letters()
-    masked = words.select("word", "n", F.length("word").alias("size"), *(parity(F.col("word"), x).alias(f"m{b}") for b, x in enumerate(bands)), F.left("word", F.lit(ENDS)).alias("head"), F.right("word", F.lit(ENDS)).alias("tail"))
+    every = "".join(bands)
+    word = F.col("word")
+    masked = words.select("word", "n", F.length("word").alias("size"), F.xxhash64("word").alias("h"), *(parity(word, x).alias(f"m{b}") for b, x in enumerate(bands)), F.left("word", F.lit(ENDS)).alias("head"), F.right("word", F.lit(ENDS)).alias("tail"))
     keys = [(e, b) for e in ("head", "tail") for b in range(BANDS)]
-    met = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), F.col(f"m{b}"), F.col(e)).alias("key")) for i, (e, b) in enumerate(keys))))
-    rows = masked.select("*", met.alias("met")).select("*", "met.at", "met.key").drop("met")
+    order = [F.translate(word, "".join(c for c in every if c not in x), "") for x in bands]
+    met = F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.col(f"m{b}"), order[b], F.col(e)) for i, (e, b) in enumerate(keys))))
+    rows = masked.select("*", met.alias("at", "key"))
     a, b = rows.select(*(F.col(c).alias(f"a_{c}") for c in rows.columns)), rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
     same = [F.col(f"a_m{k}") == F.col(f"b_m{k}") for k in range(BANDS)]
     heads = F.col("a_head") == F.col("b_head")
-    first = [(heads if e == "head" else ~heads & (F.col("a_tail") == F.col("b_tail"))) & reduce(lambda x, y: x & y, [same[k], *(~same[j] for j in range(k))]) for e, k in keys]
     flips = sum((F.bit_count(F.col(f"a_m{k}").bitwiseXOR(F.col(f"b_m{k}"))) for k in range(BANDS)), F.lit(0))
-    joined = a.join(b, (F.col("a_at") == F.col("b_at")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_word") < F.col("b_word")) & (F.abs(F.col("a_size") - F.col("b_size")) <= 1) & (flips <= 2) & F.element_at(F.array(*first), F.col("a_at") + 1))
-    return joined.where(F.levenshtein("a_word", "b_word", 1) == 1).select(F.col("a_word").alias("a"), F.col("a_n").alias("n_a"), F.col("b_word").alias("b"), F.col("b_n").alias("n_b"))
+    first = reduce(lambda x, i: x.when(F.col("a_at") == i, reduce(lambda p, q: p & q, [heads if keys[i][0] == "head" else ~heads, *(~same[j] for j in range(keys[i][1]))])), range(1, len(keys)), F.when(F.col("a_at") == 0, heads))
+    # from the cheapest test to the dearest
+    tests = [F.col("a_key") == F.col("b_key"), F.col("a_at") == F.col("b_at"), F.col("a_h") <= F.col("b_h"), flips <= 2, F.abs(F.col("a_size") - F.col("b_size")) <= 1, first, (F.col("a_h") < F.col("b_h")) | (F.col("a_word") < F.col("b_word")), F.levenshtein("a_word", "b_word", 1) == 1]
+    return a.join(b, reduce(lambda x, y: x & y, tests)).select(F.col("a_word").alias("a"), F.col("a_n").alias("n_a"), F.col("b_word").alias("b"), F.col("b_n").alias("n_b"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
