@@ -17,6 +17,8 @@ from pagelathe.llm.common import cut
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows compared at a time, components of a block of the finer level.
 ROWS, BLOCK = 2048, 4
+#: Pairs are computed one by one if at most one in so many is left.
+SPARSE = 32
 #: Sums are sent in two decimals, the lower one below this; the largest 32-bit float, beyond which components count as infinite.
 LIMB, LARGEST = 10**27, 3.4028235e38
 #: Labels whose sums are sent to all executors at most; more are joined by a shuffle.
@@ -46,38 +48,48 @@ class Codebook:
         # whole part, then blocks of BLOCK components, the last one taking what is left
         self.levels = [np.array([0]), np.arange(0, max(1, size - size % BLOCK), BLOCK)]
         self.known = [self._summary(entries, at) for at in self.levels] if entries.dtype != object else []
+        self.longest = float((entries * entries).sum(1).max())
 
     def _summary(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row and block: the sum over the root of the length (so that squared differences count as distances do), and the norm of what the mean leaves."""
+        """For each row: its blocks' sums over the root of their length, and the norms of what their means leave, side by side; and their squared norm.
+
+        The squared distance of two such rows is that between the blocks' means and between the residual norms, which
+        is never above the squared distance of the vectors.
+        """
         n = np.diff(np.append(at, x.shape[1]))
         s = np.add.reduceat(x, at, axis=1)
         q = np.add.reduceat(x * x, at, axis=1)
-        return s / np.sqrt(n), np.sqrt((n * q - s * s) / n)
+        out = np.concatenate((s / np.sqrt(n), np.sqrt((n * q - s * s) / n)), axis=1)
+        return out, (out * out).sum(1)
 
-    def _bound(self, level: int, own: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Below the squared distance of row i and entry j: between the blocks' means, and between the norms of the rest."""
-        (s, r), (t, u) = own, self.known[level]
-        return ((s[i] - t[j]) ** 2 + (r[i] - u[j]) ** 2).sum(-1)
+    def _bounds(self, level: int, x: np.ndarray) -> np.ndarray:
+        """For each row and entry a number not above their squared distance, but for rounding."""
+        (own, square), (known, squares) = self._summary(x, self.levels[level]), self.known[level]
+        return square[:, None] + squares - 2 * (own @ known.T)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the index of the nearest entry, ties to the lower one, and the squared distance, exact.
 
-        An entry is left out where its bound at the whole part, then at blocks, lies above the distance of the entry
-        with the least bound, by more than the arithmetic may err; the others get their distance in integers.
+        Entries are left out where their bound from the whole part, then that from its blocks, lies above the distance
+        of an entry with a least bound, by more than the arithmetic may err; the others get their distance in integers:
+        pair by pair where few are left, else by one product of matrices, if doubles hold all its integers.
         """
         if x.dtype == object or self.entries.dtype == object:
             d = ((x[:, None, :].astype(object) - self.entries[None].astype(object)) ** 2).sum(-1)
             k = np.array([min(range(d.shape[1]), key=row.__getitem__) for row in d], np.int64)
             return k, d[np.arange(len(d)), k]
-        own = [self._summary(x, at) for at in self.levels]
-        (s, r), (t, u) = own[0], self.known[0]
-        bound = (s - t.T) ** 2 + (r - u.T) ** 2
-        k = bound.argmin(1)
-        best = ((x - self.entries[k]) ** 2).sum(1)
-        slack = 1 + 1e-9 * (best + s[:, 0] ** 2 + r[:, 0] ** 2 + (t**2 + u**2).max())
-        i, j = np.nonzero(bound <= (best + slack)[:, None])
-        keep = self._bound(1, own[1], i, j) <= (best + slack)[i]
-        i, j = i[keep], j[keep]
+        slack = 1 + 1e-9 * max(float((x * x).sum(1).max(initial=0)), self.longest)
+        alive, best = np.ones((len(x), len(self.entries)), bool), np.full(len(x), np.iinfo(np.int64).max)
+        for level in range(len(self.levels)):
+            bound = self._bounds(level, x)
+            best = np.minimum(best, ((x - self.entries[bound.argmin(1)]) ** 2).sum(1))
+            alive &= bound <= (best + slack)[:, None]
+        if np.count_nonzero(alive) * SPARSE > alive.size and 8 * float((x * x).sum(1).max()) < 2**53 and 8 * self.longest < 2**53:
+            d = (x * x).sum(1)[:, None] + (self.entries**2).sum(1) - 2 * (x.astype(np.float64) @ self.entries.T.astype(np.float64))
+            d[~alive] = np.inf
+            k = d.argmin(1)
+            return k, d[np.arange(len(d)), k].astype(np.int64)
+        i, j = np.nonzero(alive)
         d = ((x[i] - self.entries[j]) ** 2).sum(1)
         np.minimum.at(best, i, d)
         hit = d == best[i]

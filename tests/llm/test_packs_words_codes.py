@@ -274,8 +274,10 @@ def test_codes_empty(spark):
         assert out.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and out.count() == 0
 
 
-def test_bounds_lose_nothing():
+@pytest.mark.parametrize("sparse", [0, 10**9])
+def test_bounds_lose_nothing(monkeypatch, sparse):
     """The filtered search finds what comparing all finds, ties to the lower entry, and leaves most entries out."""
+    monkeypatch.setattr(codes, "SPARSE", sparse)
     rng = np.random.default_rng(1)
     entries = rng.integers(-300, 300, (200, 16)) * np.linspace(0.2, 3, 200)[:, None]
     entries = np.concatenate((entries, entries[::3])).astype(np.int64)
