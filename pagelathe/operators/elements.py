@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.sources.tables import spread, written
+
 # Tag groups.
 INTERACTIVE = ("a", "button", "input", "select", "textarea", "label", "details", "summary")
 LAYOUT = ("header", "footer", "nav", "main", "section", "article", "aside", "div")
@@ -98,31 +99,44 @@ def _hidden(a: dict) -> bool:
     return "hidden" in a or "display:none" in style or "visibility:hidden" in style or "opacity:0;" in f"{style};"
 
 
+class Nodes:
+    """A table function: the nodes of one page in pre-order, as SCHEMA has them after page_id. Null pages, and pages without body, have none."""
+
+    def eval(self, html: str, max_depth: int, include_hidden: bool) -> Iterator[tuple]:
+        hidden_to = -1
+        for n in parse(html):
+            a, i = n["a"], n["node_id"]
+            seen = not _hidden(a) and i > hidden_to
+            if not seen and i > hidden_to:
+                hidden_to = n["subtree_end"]
+            if n["depth"] > max_depth or not (seen or include_hidden):
+                continue
+            text = " ".join("".join(n["text"]).split())[:200]
+            yield (i, n["parent"], n["depth"], n["sibling"], n["subtree_end"], n["xpath"], n["tag"], a.get("id"), a.get("class", "").split(), {k: v for k, v in a.items() if k in KEPT_ATTRIBUTES or k.startswith("data-")}, a.get("style"), text, n["inner_html_length"], n["char_end"] - n["char_start"], seen, n["tag"] in INTERACTIVE, n["children"], _selector(n["tag"], a), n["char_start"], n["char_end"])
+
+
+#: The table function for the DataFrame API; in SQL, after register(), page_nodes(html, max_depth, include_hidden).
+page_nodes = F.udtf(Nodes, returnType=SCHEMA.split(", ", 1)[1])
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table function known to SQL: FROM pages p, LATERAL page_nodes(p.html, 50, false) n."""
+    spark.udtf.register("page_nodes", page_nodes)
+
+
 def flatten(pages: DataFrame, max_depth: int = 50, include_hidden: bool = False) -> DataFrame:
-    """(page_id, html) as the node table SCHEMA.
+    """(page_id, html) as the node table SCHEMA: each page joined laterally with its nodes.
 
     Nodes deeper than max_depth are dropped, invisible ones with all below them unless include_hidden; children_count
     counts dropped ones too. node_id is the pre-order number in the whole tree and subtree_end the last one below a node.
     """
+    rows = spread(pages.select("page_id", F.col("html").cast("string").alias("html")))
+    return rows.lateralJoin(page_nodes(F.col("html").outer(), F.lit(max_depth), F.lit(include_hidden))).drop("html")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for x in batches:
-            out = []
-            for page, html in zip(x["page_id"], x["html"], strict=True):
-                hidden_to = -1
-                for n in parse(html):
-                    a, i = n["a"], n["node_id"]
-                    seen = not _hidden(a) and i > hidden_to
-                    if not seen and i > hidden_to:
-                        hidden_to = n["subtree_end"]
-                    if n["depth"] > max_depth or not (seen or include_hidden):
-                        continue
-                    text = " ".join("".join(n["text"]).split())[:200]
-                    out.append((page, i, n["parent"], n["depth"], n["sibling"], n["subtree_end"], n["xpath"], n["tag"], a.get("id"), a.get("class", "").split(), {k: v for k, v in a.items() if k in KEPT_ATTRIBUTES or k.startswith("data-")}, a.get("style"), text, n["inner_html_length"], n["char_end"] - n["char_start"], seen, n["tag"] in INTERACTIVE, n["children"], _selector(n["tag"], a), n["char_start"], n["char_end"]))
-            yield pd.DataFrame(out, columns=names)
-
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+def node_table(pages: DataFrame, max_depth: int = 50, include_hidden: bool = False) -> DataFrame:
+    """flatten()'s rows, written once: for plans that use them more than once, so that each page is parsed once."""
+    return written(flatten(pages, max_depth, include_hidden))
 
 
 def own_attributes(nodes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.operators import jsonpath
+
 
 def normal_path(path: str) -> str:
     """A path as JSONPath: '$.a.b[0]', 'a.b[0]' and 'a/b/0' alike."""
@@ -42,51 +44,6 @@ def key_types(df: DataFrame, column: str) -> DataFrame:
     return rows.select("key", kind.alias("type"))
 
 
-def _walk(v: object, at: str = "$", depth: int = 0):
-    yield at, depth, v
-    if isinstance(v, dict):
-        for k, x in v.items():
-            yield from _walk(x, f"{at}.{k}", depth + 1)
-    elif isinstance(v, list):
-        for i, x in enumerate(v):
-            yield from _walk(x, f"{at}[{i}]", depth + 1)
-
-
-def walk(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, depth, value) of all nodes of each document; unreadable documents have none."""
-
-    def run(batches):
-        for x in batches:
-            out = []
-            for k, doc in zip(x["k"], x["doc"], strict=True):
-                try:
-                    v = json.loads(doc) if doc is not None else None
-                except ValueError:
-                    continue
-                if doc is not None:
-                    out += [(k, p, d, json.dumps(n, ensure_ascii=False)) for p, d, n in _walk(v)]
-            yield pd.DataFrame(out, columns=["k", "path", "depth", "value"])
-
-    return df.select(F.col(key).cast("string").alias("k"), F.col(column).alias("doc")).mapInPandas(run, "k string, path string, depth int, value string").withColumnRenamed("k", key)
-
-
-def search(v: object, word: str, at: str = "$", items: int = 100, most: int = 50) -> list[tuple[str, object]]:
-    """P5: (path, value) of keys that contain a word, whose values are not gone into, and of texts that do; the first `items` of a list, `most` hits a level."""
-    low, out = word.lower(), []
-    if isinstance(v, dict):
-        for k, x in v.items():
-            if low in k.lower():
-                out.append((f"{at}.{k}", x))
-            else:
-                out += search(x, word, f"{at}.{k}", items, most)
-    elif isinstance(v, list):
-        for i, x in enumerate(v[:items]):
-            out += search(x, word, f"{at}[{i}]", items, most)
-    elif isinstance(v, str) and low in v.lower():
-        out.append((at, v))
-    return out[:most]
-
-
 def describe(v: object) -> str:
     """An object's or list's size, a text's length, else the type."""
     if isinstance(v, dict):
@@ -139,26 +96,9 @@ def _loaded(docs: pd.Series):
             continue
 
 
-def found(df: DataFrame, key: str, column: str, word: str, shown: int = 15) -> DataFrame:
-    """P5: (key, place, path, value, n_matches): the `shown` first hits of a word in each document, as search() finds them; unreadable documents have none."""
-
-    def run(batches):
-        for x in batches:
-            out = []
-            for i, v in _loaded(x["doc"]):
-                hits = search(v, word)
-                out += [(x["k"].iloc[i], n, p, h if isinstance(h, str) else json.dumps(h, ensure_ascii=False), len(hits)) for n, (p, h) in enumerate(hits[:shown], 1)]
-            yield pd.DataFrame(out, columns=["k", "place", "path", "value", "n_matches"])
-
-    return df.select(F.col(key).cast("string").alias("k"), F.col(column).alias("doc")).mapInPandas(run, "k string, place long, path string, value string, n_matches long").withColumnRenamed("k", key)
-
-
 def dispatch(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
-    """(key, place, path, value, n_matches): a query that starts with $ or . is a path, of which 20 matches are shown; any other is a word to search for."""
-    if not query.startswith(("$", ".")):
-        return found(df, key, column, query)
-    rows = matches(df.select(F.col(key).cast("string").alias(key), column), column, query, 20)
-    return rows.select(key, F.posexplode("shown").alias("i", "value"), "n_matches").select(key, (F.col("i") + 1).cast("long").alias("place"), F.lit(normal_path(query)).alias("path"), "value", F.col("n_matches").cast("long").alias("n_matches"))
+    """(key, place, path, value, n_matches): a query that starts with $ or . is a JSONPath, of which 20 matches are shown; any other is a word to search for."""
+    return jsonpath.select(df, key, column, query, 20) if query.startswith(("$", ".")) else jsonpath.found(df, key, column, query)
 
 
 def brief(v: object, text: int = 50) -> str:

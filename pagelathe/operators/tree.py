@@ -81,14 +81,6 @@ def technologies(pages: DataFrame, nodes: DataFrame, names: DataFrame | None = N
     return rows.select("page_id", tech).select("page_id", "t.*")
 
 
-def valid_sections(nodes: DataFrame, most: int = 10000, least: int = 50) -> DataFrame:
-    """Topmost elements of at most `most` and at least `least` estimated tokens; larger elements that can't be split, as they have no children, stay whole."""
-    tokens = F.floor(F.col("raw_html_length") / 4)
-    rows = nodes.where(~F.col("tag").isin(*SKIPPED)).withColumn("tokens", tokens)
-    fit = (F.col("tokens") >= least) & ((F.col("tokens") <= most) | (F.col("children_count") == 0))
-    return topmost(rows.where("depth > 1"), fit).select("page_id", "node_id", "tag", "selector", "tokens")
-
-
 # Words of component classes and how deep components are looked for; style properties of a design with their headings and how many values are named.
 COMPONENT_WORDS, COMPONENT_DEPTH = ("card", "button", "btn", "form", "input", "modal", "dropdown", "menu", "tab", "accordion", "slider", "carousel"), 8
 DESIGN = (("background-color", "Background Colors", 5), ("color", "Text Colors", 5), ("font-family", "Font Families", 3), ("font-size", "Font Sizes", 8), ("margin", "Margins", 5), ("padding", "Paddings", 5))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
 from pagelathe.operators import files as O
-from pagelathe.operators import jsonq, planning, reports, summary
+from pagelathe.operators import jsonpath, jsonq, planning, reports, summary
 from pagelathe.plans.catalog import register
 from pagelathe.plans.files import SQL_FILES, files
 from pagelathe.sources.tables import table
@@ -130,10 +130,10 @@ def json_slash_path(spark, d):
     return table(spark, d, "events").withColumn("doc", doc).select("event_id", jsonq.path("doc", "a/b/1").alias("found"), jsonq.path("props", "/k").alias("k"))
 
 
-@register("json_nodes", "SELECT CAST(event_id AS VARCHAR) AS event_id, '$' AS path, 0 AS depth, props AS value FROM events UNION ALL SELECT CAST(event_id AS VARCHAR), '$.' || k, 1, json_extract(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@register("json_nodes", "SELECT CAST(event_id AS VARCHAR) AS event_id, '$' AS path, 0 AS depth, CAST(json(props) AS VARCHAR) AS value FROM events UNION ALL SELECT CAST(event_id AS VARCHAR), '$.' || k, 1, json_extract(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_nodes(spark, d):
     """All nodes of documents."""
-    return jsonq.walk(table(spark, d, "events"), "event_id", "props")
+    return jsonpath.walk(table(spark, d, "events"), "event_id", "props")
 
 
 @register("json_subset", "SELECT event_id, coalesce(props->>'$.k', '') AS k, CASE WHEN props->>'$.k' IS NULL THEN 'k,z' ELSE 'z' END AS missing FROM events")

@@ -64,3 +64,25 @@ VISIBLE = over_nodes(f"SELECT page_id, elements, text, elements > 5 OR length(te
 REPEATED = over_nodes(f"SELECT page_id, parent_id, selector AS shape, count(*) AS items, array_to_string(list(text ORDER BY node_id)[1:3], '|') AS examples FROM ({TEXTS}) WHERE parent_id IS NOT NULL GROUP BY page_id, parent_id, selector HAVING count(*) >= 3")
 HREF = DECODED.replace("txt", "href")
 SNAPSHOT = over_nodes(f"SELECT page_id, node_id, tag, CASE WHEN href = '' THEN '' WHEN length({HREF}) > 100 THEN 'href=' || left({HREF}, 100) || '...' ELSE 'href=' || {HREF} END AS attributes, text FROM ({TEXTS}) WHERE depth <= 6 AND tag NOT IN ('script', 'style', 'noscript')")
+
+#: Where each node's inner HTML ends: at the first token after which it is no longer open, or at the page's end.
+SPANNED = r"""placed AS (SELECT page_id, i, t, strpos(html, '<body') + coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, length(html) + 1 AS over FROM tok JOIN pages USING (page_id)),
+inner_of AS (SELECT m.page_id, m.node_id, m.parent_id, m.tag, greatest(0, coalesce(e.pos, s.over) - s.pos - length(regexp_extract(s.t, '^<[^>]*>?'))) AS inner_html_length
+  FROM (SELECT page_id, i, node_id, parent_id, tag FROM walk WHERE node_id IS NOT NULL) m JOIN placed s ON s.page_id = m.page_id AND s.i = m.i
+  JOIN (SELECT page_id, node_id, max(i) AS last FROM (SELECT page_id, i, unnest(ids) AS node_id FROM walk UNION ALL SELECT page_id, i - 1, node_id FROM walk WHERE tag = 'br' AND node_id IS NOT NULL) GROUP BY 1, 2) o ON o.page_id = m.page_id AND o.node_id = m.node_id LEFT JOIN placed e ON e.page_id = m.page_id AND e.i = o.last + 1)"""
+SKIP = "'script', 'style', 'head', 'meta', 'link', 'noscript', 'svg', 'path', 'br', 'hr'"
+SPLIT = f"""WITH RECURSIVE {NODES}, {SPANNED},
+sized AS (SELECT n.page_id, n.node_id, n.parent_id, n.tag, n.depth, CAST(s.inner_html_length // 4 AS BIGINT) AS tokens, (n.node_id * 37 + n.page_id * 11) % 1700 + CASE WHEN n.depth < 3 THEN 1000 ELSE 0 END AS w, (n.node_id * 53 + n.page_id * 7) % 400 + CASE WHEN n.depth < 3 THEN 300 ELSE 0 END AS h,
+  (SELECT count(*) FROM one k WHERE k.page_id = n.page_id AND k.parent_id = n.node_id) AS children FROM nodes n JOIN inner_of s ON s.page_id = n.page_id AND s.node_id = n.node_id),
+-- 0: through wrappers, 1: within the content, 2: a section; nothing below a section or a skipped tag is looked at
+down AS (
+  SELECT sized.*, 0 AS state FROM sized WHERE parent_id IS NULL
+  UNION ALL
+  SELECT c.*, CASE WHEN down.state = 0 AND c.tag = 'div' AND c.children > 0 AND c.w >= 1620 AND c.h >= 450 THEN 0 WHEN c.h >= 50 AND (c.w >= 360 OR c.tokens >= 60) THEN 2 ELSE 1 END
+  FROM down JOIN sized c ON c.page_id = down.page_id AND c.parent_id = down.node_id WHERE down.state < 2 AND c.tag NOT IN ({SKIP})),
+fit AS (SELECT * FROM sized WHERE tag NOT IN ({SKIP}) AND tokens >= 5 AND (h >= 50 OR tokens >= 60)),
+part AS (
+  SELECT page_id, node_id, tokens, 0 AS level FROM down WHERE state = 2 AND tokens >= 5
+  UNION ALL
+  SELECT f.page_id, f.node_id, f.tokens, level + 1 FROM part JOIN fit f ON f.page_id = part.page_id AND f.parent_id = part.node_id WHERE part.tokens > 100 AND level < 15)
+SELECT page_id, node_id, tokens, level FROM part p WHERE tokens <= 100 OR level = 15 OR NOT EXISTS (SELECT 1 FROM fit f WHERE f.page_id = p.page_id AND f.parent_id = p.node_id)"""

@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
-from pagelathe.operators import elements, summary, tree
+from pagelathe.operators import elements, sections, summary, tree
 from pagelathe.plans import nodes_sql
 from pagelathe.plans.catalog import register
-from pagelathe.sources.tables import table
+from pagelathe.sources.tables import table, written
 
 TAG = "<([a-zA-Z][a-zA-Z0-9]*)"
 HREF = 'href="([^"]*)"'
@@ -220,7 +220,7 @@ def dom_ancestor_filter(spark, d):
 @register("dom_rag_chunks")
 def dom_rag_chunks(spark, d):
     """Chunks of a page for retrieval, with their embedding texts."""
-    return tree.chunks(pages(spark, d), elements.flatten(pages(spark, d)))
+    return tree.chunks(pages(spark, d), elements.node_table(pages(spark, d)))
 
 
 @register("dom_layout_tree", nodes_sql.LAYOUT)
@@ -282,10 +282,13 @@ def dom_landmarks(spark, d):
     return summary.landmarks(elements.flatten(pages(spark, d)))
 
 
-@register("dom_split_sections")
+@register("dom_split_sections", nodes_sql.SPLIT)
 def dom_split_sections(spark, d):
-    """Sections of bounded size."""
-    return tree.valid_sections(elements.flatten(pages(spark, d)), 1000, 20)
+    """Sections of bounded size, by boxes made from the nodes' numbers."""
+    boxes = elements.flatten(pages(spark, d)).withColumns({"width": (F.col("node_id") * 37 + F.col("page_id") * 11) % 1700 + F.when(F.col("depth") < 3, 1000).otherwise(0), "height": (F.col("node_id") * 53 + F.col("page_id") * 7) % 400 + F.when(F.col("depth") < 3, 300).otherwise(0)})
+    nodes = written(boxes.select("page_id", "node_id", "parent_id", "subtree_end", "tag", "inner_html_length", "children_count", "width", "height"))
+    found = sections.extract(nodes, F.lit(1800), F.lit(500), least=5, large=60)
+    return sections.split(nodes, found, most=100, least=5, large=60)
 
 
 @register("dom_snapshot", nodes_sql.SNAPSHOT)

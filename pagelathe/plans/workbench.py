@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import html as H
 from pagelathe.operators import files as O
-from pagelathe.operators import jsonq, logs
+from pagelathe.operators import jsonpath, jsonq, logs
 from pagelathe.operators import stores as S
 from pagelathe.operators import tree as T
 from pagelathe.plans.catalog import register
@@ -145,11 +145,11 @@ NESTED = "concat('{\"a\": {\"Kind\": ', props, '}, \"b\": [\"', event_type, '\",
 
 @register(
     "json_found",
-    "SELECT CAST(event_id AS VARCHAR) AS event_id, unnest([1, 2]) AS place, unnest(['$.a.Kind', '$.kind']) AS path, unnest([props, event_type]) AS value, 2 AS n_matches FROM events",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, unnest([1, 2]) AS place, unnest(['$.a.Kind', '$.kind']) AS path, unnest([CAST(json(props) AS VARCHAR), event_type]) AS value, 2 AS n_matches FROM events",
 )
 def json_found(spark, d):
     """P5: keys and texts that hold a word."""
-    return jsonq.found(made(spark, d, "events", doc=NESTED), "event_id", "doc", "KIND")
+    return jsonpath.found(made(spark, d, "events", doc=NESTED), "event_id", "doc", "KIND")
 
 
 @register("json_dispatch", "SELECT CAST(event_id AS VARCHAR) AS event_id, 1 AS place, '$.b[0]' AS path, event_type AS value, 1 AS n_matches FROM events")
@@ -158,6 +158,53 @@ def json_dispatch(spark, d):
     return jsonq.dispatch(made(spark, d, "events", doc=NESTED), "event_id", "doc", "$.b[0]")
 
 
+#: A document with lists of objects, other items among them, built from an event.
+SHELF = (
+    "concat('{\"items\": [{\"n\": ', event_id % 7, ', \"tag\": \"', event_type, '\", \"deep\": {\"n\": ', user_id % 5, '}}, ', event_id % 3, ', {\"n\": \"', event_id % 4, '\"}, {\"n\": ', user_id % 9, '.5, \"tag\": \"view\"}, null], \"n\": true, \"list\": [', event_id % 10, ', [', user_id % 10, ', {\"n\": null}], \"x\"]}')"
+)
+SQL_SHELF = f"(SELECT CAST(event_id AS VARCHAR) AS event_id, CAST({SHELF} AS JSON) AS doc FROM events)"
+#: Nodes of the documents with their parents' kinds, in document order (id), by DuckDB's own walk.
+SQL_TREE = f"(SELECT s.event_id, t.* FROM {SQL_SHELF} s, json_tree(s.doc) t)"
+
+
+def sql_ranked(rows: str) -> str:
+    """Matches (event_id, ord, path, value) with places and numbers."""
+    return f"SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS place, path, value, count(*) OVER (PARTITION BY event_id) AS n_matches FROM ({rows})"
+
+
+def shelf(spark, d):
+    return made(spark, d, "events", doc=SHELF)
+
+
+@register("json_deep", sql_ranked(f"SELECT event_id, lpad(CAST(len(string_split(replace(fullkey, '[', '.['), '.')) AS VARCHAR), 3, '0') || fullkey AS ord, fullkey AS path, CASE WHEN type = 'VARCHAR' THEN atom->>'$' ELSE CAST(value AS VARCHAR) END AS value FROM {SQL_TREE} WHERE key = 'n'"))
+def json_deep(spark, d):
+    """Recursive descent, all matches of a name. Names sort before lists here, so the oracle's order is by depth, then path."""
+    out = jsonpath.select(shelf(spark, d), "event_id", "doc", "$..n")
+    depth = F.size(F.split(F.replace("path", F.lit("["), F.lit(".[")), r"\."))
+    w = Window.partitionBy("event_id").orderBy(depth, "path")
+    return out.withColumn("place", F.row_number().over(w))
+
+
+@register("json_filtered", sql_ranked(f"SELECT event_id, i AS ord, '$.items[' || i || '].n' AS path, CAST(x->'$.n' AS VARCHAR) AS value FROM (SELECT event_id, unnest(range(5)) AS i, unnest(json_extract(doc, '$.items[*]')) AS x FROM {SQL_SHELF}) WHERE json_type(x->'$.n') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(x->'$.n' AS DOUBLE) > 2 AND (x->>'$.tag' = 'view' OR json_type(x->'$.deep') IS NOT NULL)"))
+def json_filtered(spark, d):
+    """A filter with numbers, texts and existence; "3" as a text isn't a number."""
+    return jsonpath.select(shelf(spark, d), "event_id", "doc", "$.items[?(@.n > 2 && (@.tag == 'view' || @.deep))].n")
+
+
+@register("json_sliced", sql_ranked(f"SELECT event_id, o AS ord, CASE o WHEN 0 THEN '$.list[2]' WHEN 1 THEN '$.list[0]' ELSE '$.list[1]' END AS path, CASE o WHEN 0 THEN doc->>'$.list[2]' WHEN 1 THEN CAST(doc->'$.list[0]' AS VARCHAR) ELSE CAST(doc->'$.list[1]' AS VARCHAR) END AS value FROM (SELECT event_id, doc, unnest([0, 1, 2]) AS o FROM {SQL_SHELF})"))
+def json_sliced(spark, d):
+    """A negative index and a slice in one union, in its order."""
+    return jsonpath.select(shelf(spark, d), "event_id", "doc", "$.list[-1, 0:2]")
+
+
+@register("json_united", sql_ranked(f"SELECT event_id, o AS ord, CASE o WHEN 0 THEN '$.n' WHEN 1 THEN '$.items[3].n' ELSE '$.items[0].n' END AS path, CASE o WHEN 0 THEN 'true' WHEN 1 THEN CAST(doc->'$.items[3].n' AS VARCHAR) ELSE CAST(doc->'$.items[0].n' AS VARCHAR) END AS value FROM (SELECT event_id, doc, unnest([0, 1, 2]) AS o FROM {SQL_SHELF})"))
+def json_united(spark, d):
+    """A union of names, and a slice that goes back, each a path of its own."""
+    one = jsonpath.select(shelf(spark, d), "event_id", "doc", "$['missing', 'n']")
+    two = jsonpath.select(shelf(spark, d), "event_id", "doc", "$.items[-2::-3]['n']")
+    return one.select("event_id", "place", "path", "value").unionByName(two.select("event_id", (F.col("place") + 1).alias("place"), "path", "value")).withColumn("n_matches", F.lit(3).cast("long"))
+
+
 @register("json_described", "SELECT CAST(event_id AS VARCHAR) AS event_id, '- **a**: dict[1 keys]' || chr(10) || '- **b**: list[2 items]' || chr(10) || '- **kind**: \"' || event_type || '\"' AS lines FROM events")
 def json_described(spark, d):
     """The keys of sources, for an agent."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +30,30 @@ def local_session(cpus: str = "8", app: str = "pagelathe", memory: str = "12g",
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in a local session, as in tests, one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _OWN.setdefault(context.applicationId, f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again, for plans that use it more than once: it is computed once, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt to all cores where it comes in fewer files than there are cores; tables of many files stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

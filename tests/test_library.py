@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
-from pagelathe.operators import elements, files, jsonq, logs, memory, rects, stores, tree
+from pagelathe.operators import elements, files, jsonpath, jsonq, logs, memory, rects, stores, tree
 from pagelathe.plans import registry
 from pagelathe.streaming import queries as streams
 
@@ -53,8 +53,6 @@ def test_tree_operators(spark):
     chunks = tree.chunks(page, nodes).orderBy("chunk_no").collect()
     assert [c.type for c in chunks] == ["overview", "design", "layout", "section", "component", "component", "component", "assets"] and len({c.id for c in chunks}) == 8
     assert chunks[1].embedding_text.split("\n")[2] == "Text Colors: none" and chunks[2].embedding_text == "Page Layout Structure:\n1. top (header)\n2. card (li)\n3. card (li)" and chunks[5].embedding_text.startswith("Component: Card\nType: card\nTag: li\nClasses: card, item")
-    big = spark.createDataFrame([(1, 0, None, 1, 3, "body", "body", 80000, 2), (1, 1, 0, 2, 2, "div", "div", 44000, 1), (1, 2, 1, 3, 2, "p", "p", 40000, 0), (1, 3, 0, 2, 3, "div", "d", 40004, 0)], "page_id long, node_id int, parent_id int, depth int, subtree_end int, tag string, selector string, raw_html_length int, children_count int")
-    assert [(r.node_id, r.tokens) for r in tree.valid_sections(big).orderBy("node_id").collect()] == [(2, 10000), (3, 10001)]
     css = spark.createDataFrame([(1, "<style>:root{--a: 1}.x{color:red;transition: all}@media (a){.y{b:c}}a::before{d:e}</style>")], "page_id long, html string")
     assert sorted(r.kind for r in tree.css_rules(css).collect()) == ["media", "pseudo", "rule", "transition", "variables"] or len(tree.css_rules(css).collect()) >= 5
     tech = spark.createDataFrame([(1, '<body data-v-1="x"><script src="/vue.js"></script><script src="/jquery.js"></script></body>')], "page_id long, html string")
@@ -226,9 +224,11 @@ def test_json(spark):
     df = spark.createDataFrame([("1", json.dumps(doc)), ("2", None), ("3", "{bad")], "id string, doc string")
     r = jsonq.matches(df, "doc", "$.a[*].b").where("id = '1'").first()
     assert (r.n_matches, len(r.shown)) == (40, 30)
-    w = jsonq.walk(df, "id", "doc").where("id = '1'")
+    w = jsonpath.walk(df, "id", "doc").where("id = '1'")
     assert w.count() == 1 + 3 + 40 * 2 + 200 and w.where("path = '$.a[3].b'").first().value == "3"
-    assert jsonq.search({"Key": {"key": 1}, "v": ["akeyb"] * 120}, "key", most=500)[0] == ("$.Key", {"key": 1}) and len(jsonq.search(["key"] * 120, "key", most=500)) == 100 and len(jsonq.search(["key"] * 120, "key")) == 50
+    hits = spark.createDataFrame([("1", json.dumps({"Key": {"key": 1}, "v": ["akeyb"] * 120}))], "id string, doc string")
+    first = jsonpath.found(hits, "id", "doc", "key", 1).first()
+    assert (first.path, first.value, first.n_matches) == ("$.Key", '{"key":1}', 50) and jsonpath.found(hits, "id", "doc", "KEY", 500, most=500).count() == 101
     assert [jsonq.describe(x) for x in ({"a": 1}, [1], "ab", None, True, 1)] == ["object (1 keys) - keys: a", "array (1 items)", "string (2 chars)", "null", "boolean", "number"]
     assert [jsonq.infer(x) for x in (None, True, [1], [])] == ["string | null", "boolean", "number[]", "any[]"]
     assert jsonq.truncate({"a": "x" * 501, "b": list(range(11))}) == {"a": "x" * 500 + "…(501 chars)", "b": [*range(10), "…(11 items)"]}
