@@ -11,12 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def errors(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Occurrences, first and last time of each error key and hour; late rows within `delay` still count."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).where("event_type = 'error'").withWatermark("ts", delay)
-    return e.groupBy(F.window("ts", "1 hour"), "user_id").agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("user_id", F.col("window.start").alias("hour"), "occurrences", "first_ts", "last_ts")
-
-
 def sessions(events: DataFrame, gap: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """R15 as an extension in event time: sessions of a user's events."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -29,20 +23,17 @@ def first_seen(events: DataFrame, keys: list[str], delay: str = "1 day") -> Data
 
 
 def versions(updates: DataFrame) -> DataFrame:
-    """(key, version, state) after each batch, for keys that it changed: a lower version than the one held is ignored, an equal one counts."""
+    """(key, version, state) after each batch, for keys that it changed: a lower version than the one held is ignored, of equal ones the later by seq counts, in whatever order rows come."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        version, state = held.get if held.exists else (-(2**62), None)
-        changed = False
+        best = before = held.get if held.exists else (-(2**62), -(2**62), None)
         for x in batches:
-            for v, s in x.sort_values("seq")[["version", "state"]].itertuples(index=False):
-                if v >= version:
-                    version, state, changed = v, s, True
-        if changed:
-            held.update((version, state))
-            yield pd.DataFrame({"key": [key[0]], "version": [version], "state": [state]})
+            best = max(best, *x[["version", "seq", "state"]].itertuples(index=False, name=None), key=lambda r: r[:2])
+        if best != before:
+            held.update(best)
+            yield pd.DataFrame({"key": [key[0]], "version": [best[0]], "state": [best[2]]})
 
-    return updates.groupBy("key").applyInPandasWithState(run, "key long, version long, state string", "version long, state string", "update", GroupStateTimeout.NoTimeout)
+    return updates.groupBy("key").applyInPandasWithState(run, "key long, version long, state string", "version long, seq long, state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def phases(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
@@ -75,29 +66,15 @@ def tapped(requests: DataFrame, responses: DataFrame, delay: str = "10 minutes")
     return joined.select("a.url", "a.method", "a.resource_type", "a.ts", "b.status", millis.alias("millis"), F.when(keep, F.col("b.body")).alias("body"))
 
 
-def compactions(messages: DataFrame, most: int) -> DataFrame:
-    """(conv_id, seq, tokens) whenever a conversation's tokens since the last compaction reach `most`; counting then begins anew."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        (sum_,) = held.get if held.exists else (0,)
-        out = []
-        for x in batches:
-            for seq, tokens in x.sort_values("seq")[["seq", "tokens"]].itertuples(index=False):
-                sum_ += int(tokens)
-                if sum_ >= most:
-                    out.append((key[0], seq, sum_))
-                    sum_ = 0
-        held.update((sum_,))
-        yield pd.DataFrame(out, columns=["conv_id", "seq", "tokens"])
-
-    return messages.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, seq long, tokens long", "tokens long", "append", GroupStateTimeout.NoTimeout)
-
-
 def handled(stream: DataFrame, column: str, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> StreamingQuery:
     """Each micro-batch's messages of a kind go to the handler of that kind, kind after kind; others are left alone."""
 
     def run(batch: DataFrame, _: int) -> None:
-        for kind, handler in handlers.items():
-            handler(batch.where(F.col(column) == kind))
+        batch.persist()  # else each handler would compute it again
+        try:
+            for kind, handler in handlers.items():
+                handler(batch.where(F.col(column) == kind))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
