@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,13 +32,40 @@ def main_content(nodes: DataFrame, share: float = 0.9, rounds: int = 15) -> Data
     return nodes.select("page_id", "node_id", "parent_id", "tag", "raw_html_length").groupBy("page_id").applyInPandas(run, "page_id long, node_id int, tag string")
 
 
+class Taken:
+    """Spans that don't overlap, in order: whether one is free is told by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Take a span if it overlaps none taken before."""
+        i = bisect_right(self.starts, start)
+        if (i and self.ends[i - 1] > start) or (i < len(self.starts) and self.starts[i] < end):
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def allocate(spans: DataFrame) -> DataFrame:
-    """For wanted patterns in order (page_id, seq, pattern) with candidate starts in text order, the first start that no earlier one took; null where none is left. Sequential within a page."""
+    """For wanted patterns in order (page_id, seq, starts) with candidate starts, the first start in text order that no earlier one took; null where none is left.
+
+    What comes from the same list of candidates goes on where the last one stopped, so the time is that of sorting.
+    Sequential within a page; null and empty lists get null.
+    """
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for r in x.sort_values("seq").itertuples(index=False):
-            start = next((s for s in sorted(r.starts) if s not in used), None)
+        used, out, at, order = set(), [], {}, {}
+        for r in x.sort_values("seq", kind="stable").itertuples(index=False):
+            key = tuple(r.starts) if r.starts is not None else ()
+            own = order.setdefault(key, sorted(key))
+            i = at.get(key, 0)
+            while i < len(own) and own[i] in used:
+                i += 1
+            at[key] = i
+            start = own[i] if i < len(own) else None
             used.add(start)
             out.append((r.page_id, r.seq, start))
         return pd.DataFrame(out, columns=["page_id", "seq", "start"]).astype({"start": "Int64"})
@@ -180,7 +208,8 @@ def raw_positions(pages: DataFrame, wanted: DataFrame, prefix: int = 200, reach:
 
     Tried in turn, in either case: the element's own beginning, where it has over 50 characters; its tag with its id; with
     its first class, unless that starts with a digit; its tag alone. The first place that overlaps none taken before, in
-    order of seq, counts; 0 and 0 where there is none. Sequential within a page.
+    order of seq, counts; 0 and 0 where there is none. Each pattern is searched for once in a page: a place that was
+    taken stays taken, so the next element of a pattern goes on where the last one stopped. Sequential within a page.
     """
 
     def patterns(r):
@@ -195,24 +224,28 @@ def raw_positions(pages: DataFrame, wanted: DataFrame, prefix: int = 200, reach:
         if tag:
             yield f"<{tag}[^>]*>", None
 
-    def place(raw: str, r, taken: list[tuple[int, int]]) -> tuple[int, int]:
-        for pattern, size in patterns(r):
-            for m in re.finditer(pattern, raw, re.IGNORECASE):
-                end = m.start() + (size or reach)
-                if size is None and (close := raw.find(f"</{r.tag}>", m.start())) > m.start():
-                    end = close + len(r.tag) + 3
-                span = m.start(), min(end, len(raw))
-                if all(span[0] >= e or span[1] <= s for s, e in taken) and span != (0, 0):
-                    return span
-        return 0, 0
+    def spans(raw: str, tag: str, pattern: str, size: int | None):
+        """The places of a pattern in order. The next end tag is looked for only once the last one found is passed."""
+        close = -2
+        for m in re.finditer(pattern, raw, re.IGNORECASE):
+            end = m.start() + (size or reach)
+            if size is None:
+                if close != -1 and close <= m.start():
+                    close = raw.find(f"</{tag}>", m.start())
+                if close > m.start():
+                    end = close + len(tag) + 3
+            if (span := (m.start(), min(end, len(raw)))) != (0, 0):
+                yield span
 
     def run(raw: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        html, taken, out = (raw["html"].iloc[0] or "") if len(raw) else "", [], []
-        for r in x.sort_values("seq").itertuples(index=False):
-            span = place(html, r, taken)
-            if span != (0, 0):
-                taken.append(span)
-            out.append((r.page_id, r.seq, *span))
+        html, taken, out, searches = (raw["html"].iloc[0] or "") if len(raw) else "", Taken(), [], {}
+        for r in x.sort_values("seq", kind="stable").itertuples(index=False):
+            found = (0, 0)
+            for pattern, size in patterns(r):
+                search = searches.setdefault((r.tag, pattern, size), spans(html, r.tag, pattern, size))
+                if found := next((s for s in search if taken.take(*s)), None):
+                    break
+            out.append((r.page_id, r.seq, *(found or (0, 0))))
         return pd.DataFrame(out, columns=["page_id", "seq", "char_start", "char_end"])
 
     sides = pages.select("page_id", "html").groupBy("page_id").cogroup(wanted.select("page_id", "seq", "html", "tag", "id", "classes").groupBy("page_id"))

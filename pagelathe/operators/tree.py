@@ -57,17 +57,6 @@ def repeated(nodes: DataFrame, least: int = 10) -> DataFrame:
     return g.where(F.col("items") >= least).select("page_id", "parent_id", "shape", "items", F.transform(F.slice("all", 1, 3), lambda x: x["text_content"]).alias("examples"))
 
 
-def css_rules(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, selector, declarations) of the style elements: rules, keyframes, media queries, variables, pseudo-elements, transitions."""
-    css = pages.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?i)<style[^>]*>([\s\S]*?)</style>"), F.lit(1)), "\n").alias("css"))
-    rules = css.select("page_id", F.explode(F.regexp_extract_all("css", F.lit(r"([^{}]+\{[^{}]*\})"), F.lit(1))).alias("rule"))
-    rules = rules.select("page_id", F.trim(F.substring_index("rule", "{", 1)).alias("selector"), F.regexp_extract("rule", r"\{([^{}]*)\}", 1).alias("body"))
-    heads = css.select("page_id", F.explode(F.regexp_extract_all("css", F.lit(r"(@(?:keyframes|media)[^{]+)\{"), F.lit(1))).alias("selector")).select("page_id", F.trim("selector").alias("selector"), F.lit("").alias("body"))
-    s = F.col("selector")
-    kind = F.when(s.startswith("@keyframes"), "keyframes").when(s.startswith("@media"), "media").when(s.rlike(r"^:root"), "variables").when(s.contains("::") | s.rlike(r":(before|after)\b"), "pseudo").when(F.col("body").contains("transition"), "transition").otherwise("rule")
-    return rules.unionByName(heads).select("page_id", kind.alias("kind"), "selector", F.map_entries(H.declarations(F.col("body"))).alias("declarations"))
-
-
 def technologies(pages: DataFrame, nodes: DataFrame, names: DataFrame | None = None, attributes: int = 50, classes: int = 100) -> DataFrame:
     """(page_id, name, type, confidence) of each page's scripts, its first data attributes and classes, and, where `names` (page_id, names) has them, its global names."""
     found = nodes.select("page_id", "node_id", F.posexplode(F.concat(F.filter(F.map_keys("attributes"), lambda k: k.startswith("data-")), F.transform("classes", lambda c: F.concat(F.lit("."), c)))).alias("k", "v"))

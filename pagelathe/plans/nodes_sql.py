@@ -43,7 +43,13 @@ LAYOUT = over_nodes(
     f"SELECT page_id, count(*) AS nodes, max(depth) - 1 AS max_depth, array_to_string(list(repeat('  ', depth - 1) || selector ORDER BY node_id)[1:300], chr(10)) AS tree FROM nodes n WHERE depth <= 15 "
     f"AND NOT EXISTS (SELECT 1 FROM ups u JOIN one o ON u.page_id = o.page_id AND u.node_id = o.node_id WHERE u.page_id = n.page_id AND u.below = n.node_id AND o.tag NOT IN ({SHOWN})) GROUP BY page_id"
 )
-CSS = r"SELECT page_id, 'rule' AS kind, regexp_extract(s, '^([^{]*)\{', 1) AS selector, regexp_extract(s, '\{([^}]*)\}', 1) AS declarations FROM (SELECT page_id, regexp_extract(html, '<style>([^<]*)</style>', 1) AS s FROM pages) WHERE s <> ''"
+#: The pages' own sheet has one rule; its text, and what a larger sheet around it makes of it.
+SHEET = r"(SELECT page_id, regexp_extract(s, '^([^{]*)\{', 1) AS selector, regexp_extract(s, '\{([^}]*)\}', 1) AS body FROM (SELECT page_id, regexp_extract(html, '<style>([^<]*)</style>', 1) AS s FROM pages) WHERE s <> '')"
+CSS = f"SELECT page_id, 0 AS rule_no, 'rule' AS kind, selector, '' AS conditions, body AS declarations FROM {SHEET}"
+CSS_NESTED = f"""SELECT page_id, unnest(range(9)) AS rule_no, unnest(['import', 'media', 'rule', 'supports', 'pseudo', 'keyframes', 'step', 'variables', 'rule']) AS kind,
+  unnest(['@import "a;b.css"', '@media (min-width: ' || page_id || 'px)', selector, '@supports (display: grid)', '.x::before', '@keyframes k', '50%', ':root', selector || ' .in & > b']) AS selector,
+  unnest(['', '', '@media (min-width: ' || page_id || 'px)', '@media (min-width: ' || page_id || 'px)', '@media (min-width: ' || page_id || 'px) / @supports (display: grid)', '', '@keyframes k', '', '']) AS conditions,
+  unnest(['', '', body, '', 'content="}}' || page_id || '{{"', '', 'top=' || page_id || 'px', '--a=url(data:x;y)', 'margin=0']) AS declarations FROM (SELECT page_id, selector, replace(body, ':', '=') AS body FROM {SHEET})"""
 
 
 def _between(tag: str) -> str:
@@ -86,3 +92,9 @@ part AS (
   UNION ALL
   SELECT f.page_id, f.node_id, f.tokens, level + 1 FROM part JOIN fit f ON f.page_id = part.page_id AND f.parent_id = part.node_id WHERE part.tokens > 100 AND level < 15)
 SELECT page_id, node_id, tokens, level FROM part p WHERE tokens <= 100 OR level = 15 OR NOT EXISTS (SELECT 1 FROM fit f WHERE f.page_id = p.page_id AND f.parent_id = p.node_id)"""
+
+#: Addresses of all kinds, put at the end of each page's body.
+ADDRESSES = """concat('<img SRC=\\'../a/./b.png?x=1/../2\\' srcset="/s.png 1x, ,img/t.png 300w,https://z.y/u.png"><video poster="//c.d/p.jpg" data-src=\\'v', page_id, '.mp4\\'></video><p style="background:url(\\'../../../../up.png\\') , url(i/j.png)"><a href="#top" HREF="mailto:a@b"></p></body>')"""
+# Pages lie at /<language>/<number>, which counts as a folder.
+ABSOLUTE = """SELECT page_id, md5(html) AS md5, length(html) AS n FROM (SELECT page_id, replace(regexp_replace(html, 'href="/', 'href="' || o || '/', 'g'), '</body>', '<img SRC=''' || o || '/' || lang || '/a/b.png?x=1/../2'' srcset="' || o || '/s.png 1x, ' || here || '/img/t.png 300w, https://z.y/u.png"><video poster="https://c.d/p.jpg" data-src=''' || here || '/v' || page_id || '.mp4''></video><p style="background:url(''' || o || '/up.png'') , url(' || here || '/i/j.png)"><a href="#top" HREF="mailto:a@b"></p></body>') AS html
+FROM (SELECT page_id, html, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract(url, '^https?://[^/]+/([^/]*)/', 1) AS lang, rtrim(regexp_extract(url, '^([^?#]*)', 1), '/') AS here FROM pages))"""

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import html as H
 from pagelathe.functions import text as X
-from pagelathe.operators import elements, sections, summary, tree
+from pagelathe.functions import urls as U
+from pagelathe.operators import css, elements, sections, summary, tree
 from pagelathe.plans import nodes_sql
 from pagelathe.plans.catalog import register
 from pagelathe.sources.tables import table, written
@@ -235,11 +236,33 @@ def dom_repeated_lists(spark, d):
     return tree.repeated(elements.flatten(pages(spark, d)), 3).withColumn("examples", F.array_join("examples", "|"))
 
 
+def told_rules(rules: DataFrame, between: str) -> DataFrame:
+    """Rules with conditions and declarations as text."""
+    pairs = F.transform("declarations", lambda x: F.concat(x["key"], F.lit(between), x["value"]))
+    return rules.withColumns({"conditions": F.array_join("conditions", " / "), "declarations": F.array_join(pairs, ";")})
+
+
 @register("css_rules", nodes_sql.CSS)
 def css_rules(spark, d):
     """Rules of style elements."""
-    pairs = F.transform("declarations", lambda x: F.concat(x["key"], F.lit(":"), x["value"]))
-    return tree.css_rules(pages(spark, d)).withColumn("declarations", F.array_join(pairs, ";"))
+    return told_rules(css.css_rules(pages(spark, d)), ":")
+
+
+@register("css_nested_rules", nodes_sql.CSS_NESTED)
+def css_nested_rules(spark, d):
+    """The pages' rules within others, amid comments, strings and addresses with braces."""
+    own, n = F.regexp_extract("html", "<style>([^<]*)</style>", 1), F.col("page_id").cast("string")
+    sheet = F.concat(F.lit('@import "a;b.css";/* } */@media (min-width: '), n, F.lit("px){"), own, F.lit('@supports (display: grid){.x::before{content:"}'), n, F.lit('{"}}}@keyframes k{50%{top:'), n, F.lit("px}}:root{--a:url(data:x;y)}"), F.regexp_extract(own, r"^([^{]*)\{", 1), F.lit("{.in & > b{margin:0"))
+    sheets = pages(spark, d).where(own != "").select("page_id", F.concat(F.lit("<style>"), sheet, F.lit("</style>")).alias("html"))
+    # the last rule is closed by the sheet's end, and so is the one around it, which declares nothing
+    return told_rules(css.css_rules(sheets), "=").where("rule_no <> 8").withColumn("rule_no", F.least("rule_no", F.lit(8)))
+
+
+@register("pages_absolute", nodes_sql.ABSOLUTE)
+def pages_absolute(spark, d):
+    """Whole pages with all addresses made absolute."""
+    made = F.replace("html", F.lit("</body>"), F.expr(nodes_sql.ADDRESSES))
+    return pages(spark, d).select("page_id", F.md5(U.absolute_html(made, F.col("url")).cast("binary")).alias("md5"), F.length(U.absolute_html(made, F.col("url"))).alias("n"))
 
 
 SCRIPTS = "CASE page_id % 4 WHEN 0 THEN '<script src=\"/js/Vue.min.js\"></script>' WHEN 1 THEN '<script src=''/_next/static/a.js''></script><script src=/jquery.js></script>' WHEN 2 THEN '<script src=\"/tailwind.js\"></script>' ELSE '<script src=\"/none.js\">' END"
