@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from operator import and_
@@ -116,6 +117,60 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
     ),
 }
+TEMPLATES |= {
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+}
+TEMPLATES["mit"] += ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",)
+# Identifiers of each family, and names that stand before the word license.
+IDENTIFIERS = {
+    "mit": ("MIT",),
+    "apache-2.0": ("Apache-2.0",),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause"),
+    "gpl": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "lgpl": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "mpl": ("MPL-2.0",),
+    "cc-by": ("CC-BY-4.0",),
+    "cc-by-sa": ("CC-BY-SA-4.0",),
+    "cc-by-nc": ("CC-BY-NC-4.0",),
+    "cc-by-nd": ("CC-BY-ND-4.0",),
+    "cc0": ("CC0-1.0",),
+    "isc": ("ISC",),
+    "bsl-1.0": ("BSL-1.0",),
+    "eupl": ("EUPL-1.2",),
+    "unlicense": ("Unlicense",),
+    "zlib": ("Zlib",),
+}
+NAMES = {
+    "mit": ("MIT",),
+    "apache-2.0": ("Apache Software", "Apache 2.0"),
+    "bsd": ("BSD", "BSD 2-Clause", "BSD 3-Clause"),
+    "gpl": ("GNU General Public", "GNU GPL"),
+    "lgpl": ("GNU Lesser General Public",),
+    "agpl": ("GNU Affero General Public",),
+    "mpl": ("Mozilla Public", "Mozilla Public License 2.0"),
+    "isc": ("ISC",),
+    "bsl-1.0": ("Boost Software",),
+    "eupl": ("European Union Public",),
+    "zlib": ("zlib",),
+}
+#: Short notices made from these: whole ones, as a word less would name no family.
+SHORT = {f: tuple(dict.fromkeys([*(form.format(i) for i in IDENTIFIERS.get(f, ()) for form in ("SPDX-License-Identifier: {}", "License: {}")), *(form.format(n) for n in NAMES.get(f, ()) for form in ("License :: OSI Approved :: {} License", "Licensed under the {} license", "Released under the {} license", "Distributed under the {} license"))])) for f in TEMPLATES}
+SHORT["gpl"] += ("Licensed under the GNU General Public License v2.0", "Licensed under the GPL v2.")
+SHORT = {f: tuple(t for t in texts if re.findall("[a-z0-9]+", t.lower()) not in [re.findall("[a-z0-9]+", x.lower()) for x in TEMPLATES[f]]) for f, texts in SHORT.items()}
+TEMPLATES = {f: (*texts, *SHORT[f]) for f, texts in TEMPLATES.items()}
+#: How texts say that a licence doesn't hold, or name one in passing.
+DENIALS = ("This is not licensed under the {} license.", "I do not license this under the {} license.", "It is no longer released under the {} license.", "The {} license does not apply to this file.", "We never released it under {}.", "This is not {} code.", "The list of names has {} in it.", "See the pages on {}.", "The people of {} renewed their license.", "{} is older than the others.")
+#: A family that names two others: its n-grams are theirs too.
+BOTH = "mit-or-apache"
 #: The least share of a template's n-grams that confirms a notice.
 CONFIRM = 0.6
 #: Sentences that name licences or their words without being a notice.
@@ -137,6 +192,8 @@ OTHERS = (
 )
 #: Words of which two in a row are common in any English text.
 COMMON = ("the", "of", "in", "to", "and", "or", "a", "is", "for", "by", "this", "with", "any", "under", "you", "may", "at", "as", "be", "not", "that", "it", "on", "all", "can")
+#: Words that lead to a short notice.
+LEADS = ("available", "provided", "published", "distributed", "code", "file", "work", "project", "here", "is", "are", "under", "the", "terms", "of", "use")
 UNKNOWN = "unknown"
 TOKEN = "[a-z0-9]+"
 
@@ -151,13 +208,21 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+@lru_cache(1)
+def own_grams() -> dict[str, set[str]]:
+    """The n-grams of each family's templates that no other family's has, BOTH aside: a notice needs one of them, as those that families share name none."""
+    every = {f: set().union(*(grams(tokens(t)) for t in texts)) for f, texts in TEMPLATES.items()}
+    return {f: g.difference(*(o for k, o in every.items() if k not in (f, BOTH))) for f, g in every.items()}
+
+
 def cue_grams() -> set[str]:
     """N-grams one of which each `CONFIRM` of a template's n-grams has: its pairs, but for as many pairs of common words, and with as many single words, as leave less than that share of its n-grams."""
     out: set[str] = set()
+    borne = Counter(w for texts in TEMPLATES.values() for w in {w for t in texts for w in tokens(t)})
     for t in (t for texts in TEMPLATES.values() for t in texts):
         every = grams(tokens(t))
         pairs = sorted((g for g in every if " " in g), key=lambda g: (not set(g.split()) <= {*COMMON}, g))
-        single = sorted(every - set(pairs), key=lambda w: (w in COMMON, -len(w), w))
+        single = sorted(every - set(pairs), key=lambda w: (w in COMMON, borne[w], -len(w), w))
         most = -int(-(len(every) * CONFIRM - 1e-6) // 1) - 1  # of the n-grams that no paragraph need have
         spare = max(0, min(most - len(single), sum(set(g.split()) <= {*COMMON} for g in pairs)))
         out.update(pairs[spare:], single[: max(0, len(single) - most)])
@@ -183,7 +248,7 @@ def cues() -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by n-gram and family, biases, and the least probability that a family needs, else it is unknown."""
+    """Weights by n-gram and family, biases, and the least probability of all families together, below which a paragraph is unknown."""
 
     families: tuple[str, ...]
     weights: pd.DataFrame  # gram, family, weight
@@ -206,25 +271,34 @@ def train(seed: int = 42, copies: int = 40) -> Model:
     """Softmax regression with an unknown class on altered notices, calibrated on others, held back.
 
     Each template gives `copies` examples with words dropped, added, or cut; the unknown class has shuffled and cut
-    mixtures of the same words. A fifth is held back. On half of it the probabilities of all classes are calibrated: the
+    mixtures of the same words, and denials of each licence. Short notices keep their words. A fifth is held back. On half of it the probabilities of all classes are calibrated: the
     log-odds are divided by the temperature of least log loss. On the other half the threshold is set: the least
-    probability at which no unknown example passes, within 0.5 to 0.95.
+    probability of a licence, of whatever family, at which no unknown example passes, within 0.5 to 0.95.
     """
     rng = random.Random(seed)
     names = (UNKNOWN, *TEMPLATES)
     noise = [w for t in OTHERS for w in tokens(t)] + ["project", "author", "file", "text", "data", "page", "see", "note", "year", "name"]
     rows: list[tuple[set[str], int]] = []
-    for k, (_, texts) in enumerate(TEMPLATES.items(), 1):
+    for k, (name, texts) in enumerate(TEMPLATES.items(), 1):
         for t in texts:
             for _ in range(copies):
-                w = [x for x in tokens(t) if rng.random() > 0.06]
-                for _ in range(rng.randrange(4)):
+                w = [x for x in tokens(t) if t in SHORT[name] or rng.random() > 0.06]
+                if t in SHORT[name]:
+                    w = rng.choices(LEADS, k=rng.randrange(5)) + w
+                for _ in range(rng.randrange(6 if t in SHORT[name] else 4)):
                     w.insert(rng.choice((0, len(w))), rng.choice(noise))
                 rows.append((grams(w), k))
     every = [w for texts in TEMPLATES.values() for t in texts for w in tokens(t)]
     for t in OTHERS:
         for _ in range(copies):
             rows.append((grams([x for x in tokens(t) if rng.random() > 0.1]), 0))
+    for name in sorted({n for f in TEMPLATES for n in (*NAMES.get(f, ()), *IDENTIFIERS.get(f, ()))}):
+        for denial in DENIALS:
+            for _ in range(copies // 10):
+                w = rng.choices(LEADS, k=rng.randrange(3)) + tokens(denial.format(name))
+                for _ in range(rng.randrange(6)):
+                    w.insert(rng.choice((0, len(w))), rng.choice(noise))
+                rows.append((grams(w), 0))
     for _ in range(12 * copies):
         rows.append((grams(rng.choices(every + noise, k=rng.randrange(2, 25))), 0))
     rng.shuffle(rows)
@@ -258,7 +332,7 @@ def train(seed: int = 42, copies: int = 40) -> Model:
     w, b = w / (heat := temperature(logits[half], y[half])), b / heat
     p = probabilities()
     unknown = held & ~half & (y[:, 0] == 1)
-    least = float(np.clip(p[unknown, 1:].max(), 0.5, 0.95))
+    least = float(np.clip((1 - p[unknown, 0]).max(), 0.5, 0.95))
     i, k = np.nonzero(np.abs(w - w[:, :1]) > 0.02 / heat)
     table = pd.DataFrame({"gram": [vocabulary[x] for x in i], "family": [names[x] for x in k], "weight": (w[i, k] - w[i, 0])})
     return Model(names[1:], table, {n: float(b[j] - b[0]) for j, n in enumerate(names)}, least)
@@ -298,22 +372,23 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def classify(found: DataFrame, model: Model | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, tie, line_no, last, family, probability, template_share) of paragraphs() rows; family is 'unknown' below the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph."""
+    """(doc_id, tie, line_no, last, family, probability, template_share) of paragraphs() rows; family is 'unknown' where a licence is less likely than the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph (all of them, if it is a SHORT one), or none that the family has alone."""
     spark, model = found.sparkSession, model or train()
     weights = spark.createDataFrame(pa.Table.from_pandas(model.weights, preserve_index=False))
     bias = spark.createDataFrame([(k, v) for k, v in model.bias.items() if k != UNKNOWN], "family string, bias double")
-    parts = [(name, i, g, 1 / len(gs)) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams(tokens(t))] for g in sorted(gs)]
-    templates = spark.createDataFrame(pa.Table.from_pandas(pd.DataFrame(parts, columns=["family", "template", "gram", "part"]), preserve_index=False))
+    own = own_grams()
+    parts = [(name, i, g, 1 / len(gs), g in own[name], t in SHORT[name]) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams(tokens(t))] for g in sorted(gs)]
+    templates = spark.createDataFrame(pa.Table.from_pandas(pd.DataFrame(parts, columns=["family", "template", "gram", "part", "own", "whole"]), preserve_index=False))
     one = found.select("doc_id", "tie", "line_no", "last", F.explode(_grams(F.col("words"))).alias("gram"))
     key = ["doc_id", "tie", "line_no", "last"]
     # tables of the model and the templates: a few thousand rows, whatever the input
     z = one.join(F.broadcast(weights), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z")).join(F.broadcast(bias), "family").withColumn("z", F.col("z") + F.col("bias"))
-    share = one.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.sum("part").alias("share")).groupBy(*key, "family").agg(F.max("share").alias("share"))
+    share = one.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.sum("part").alias("share"), F.max("own").alias("own"), F.max("whole").alias("whole")).withColumn("share", F.when(F.col("whole") & (F.col("share") < 1 - 1e-9), 0.0).otherwise(F.col("share"))).groupBy(*key, "family").agg(F.max("share").alias("share"), F.max("own").alias("own"))
     same = [z[c].eqNullSafe(share[c]) for c in (*key, "family")]
-    both = z.join(share, reduce(and_, same), "left").select(*(z[c] for c in (*key, "family", "z")), F.coalesce("share", F.lit(0.0)).alias("share"))
-    top = both.groupBy(*key).agg(F.max_by(F.struct("family", "z", "share"), F.struct("z", "family")).alias("top"), F.sum(F.exp(F.least("z", F.lit(300.0)))).alias("all"))
+    both = z.join(share, reduce(and_, same), "left").select(*(z[c] for c in (*key, "family", "z")), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("own", F.lit(False)).alias("own"))
+    top = both.groupBy(*key).agg(F.max_by(F.struct("family", "z", "share", "own"), F.struct("z", "family")).alias("top"), F.sum(F.exp(F.least("z", F.lit(300.0)))).alias("all"))
     p = F.exp(F.least(F.col("top.z"), F.lit(300.0))) / (1 + F.col("all"))
-    sure = (p >= model.least) & (F.col("top.share") >= confirm - 1e-9)
+    sure = (F.col("all") / (1 + F.col("all")) >= model.least) & (F.col("top.share") >= confirm - 1e-9) & F.col("top.own")
     return top.select(*key, F.when(sure, F.col("top.family")).otherwise(UNKNOWN).alias("family"), F.round(p, 6).alias("probability"), F.round("top.share", 6).alias("template_share"))
 
 
