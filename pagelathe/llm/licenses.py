@@ -6,6 +6,7 @@ functions alone.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter
@@ -191,7 +192,7 @@ OTHERS = (
     "Version 2.0 of the program was published by the foundation.",
 )
 #: Words of which two in a row are common in any English text.
-COMMON = ("the", "of", "in", "to", "and", "or", "a", "is", "for", "by", "this", "with", "any", "under", "you", "may", "at", "as", "be", "not", "that", "it", "on", "all", "can")
+COMMON = ("the", "of", "in", "to", "and", "or", "a", "is", "for", "by", "this", "with", "any", "under", "you", "may", "at", "as", "be", "not", "that", "it", "on", "all", "can", "from", "an", "are", "no", "such", "its")
 #: Words that lead to a short notice.
 LEADS = ("available", "provided", "published", "distributed", "code", "file", "work", "project", "here", "is", "are", "under", "the", "terms", "of", "use")
 UNKNOWN = "unknown"
@@ -216,10 +217,13 @@ def own_grams() -> dict[str, set[str]]:
 
 
 def cue_grams() -> set[str]:
-    """N-grams one of which each `CONFIRM` of a template's n-grams has: its pairs, but for as many pairs of common words, and with as many single words, as leave less than that share of its n-grams."""
+    """N-grams one of which each `CONFIRM` of a template's n-grams has: its pairs, but for as many pairs of common words, and with as many single words, as leave less than that share of its n-grams. Of SHORT ones, which must be there as a whole, one pair that few families share."""
     out: set[str] = set()
     borne = Counter(w for texts in TEMPLATES.values() for w in {w for t in texts for w in tokens(t)})
-    for t in (t for texts in TEMPLATES.values() for t in texts):
+    short = {t for texts in SHORT.values() for t in texts}
+    for t in sorted(short):
+        out.add(min((g for g in grams(tokens(t)) if " " in g), key=lambda g: (min(borne[w] for w in g.split()), sum(borne[w] for w in g.split()), g)))
+    for t in (t for texts in TEMPLATES.values() for t in texts if t not in short):
         every = grams(tokens(t))
         pairs = sorted((g for g in every if " " in g), key=lambda g: (not set(g.split()) <= {*COMMON}, g))
         single = sorted(every - set(pairs), key=lambda w: (w in COMMON, borne[w], -len(w), w))
@@ -362,34 +366,53 @@ def _blocks_of(lines: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, last, words) of the distinct paragraphs that have a cue: runs of lines between blank ones, and each line by itself; last: the last line's number; tie tells texts of one doc_id apart."""
+    """(doc_id, tie, line_no, last, words) of the paragraphs that have a cue: runs of lines between blank ones, and each line by itself; last: the last line's number; tie tells texts of one doc_id apart."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).where(F.lower("text").rlike(cues()))
     lines = F.split("text", r"\r?\n")
     single = F.transform(lines, lambda x, k: F.struct(k.alias("line_no"), k.alias("last"), x.alias("line")))
     rows = rows.select("doc_id", "tie", F.explode(F.concat(single, _blocks(lines))).alias("x")).select("doc_id", "tie", "x.line_no", "x.last", F.lower("x.line").alias("line"))
-    return rows.where(F.col("line").rlike(cues())).select("doc_id", "tie", "line_no", "last", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("words")).distinct()
+    return rows.where(F.col("line").rlike(cues())).select("doc_id", "tie", "line_no", "last", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)).alias("words"))
+
+
+def _confirmed(words: Column, confirm: float) -> Column:
+    """The families (family, share) of which a paragraph has an n-gram that no other has, and of one of whose templates `confirm` of the n-grams (all of them, if it is a SHORT one)."""
+    own = own_grams()
+    each = lambda f, ts: [{"grams": sorted(g := grams(tokens(t))), "least": 1 - 1e-9 if t in SHORT[f] else confirm - 1e-9, "n": len(g)} for t in ts]
+    known = json.dumps([{"family": f, "own": sorted(own[f]), "templates": each(f, ts)} for f, ts in TEMPLATES.items()])
+    # folded to one constant
+    table = F.from_json(F.lit(known), "array<struct<family:string,own:array<string>,templates:array<struct<grams:array<string>,least:double,n:int>>>>")
+
+    def families(g: Column) -> Column:
+        def share(t: Column) -> Column:
+            part = F.size(F.array_intersect(g, t["grams"])) / t["n"]
+            return F.when(part >= t["least"], part)
+
+        likely = F.filter(table, lambda f: F.arrays_overlap(g, f["own"]))
+        return F.filter(F.transform(likely, lambda f: F.struct(f["family"].alias("family"), F.array_max(F.transform(f["templates"], share)).alias("share"))), lambda x: x["share"].isNotNull())
+
+    return F.transform(F.array(_grams(words)), families)[0]  # the n-grams are made once
 
 
 def classify(found: DataFrame, model: Model | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, tie, line_no, last, family, probability, template_share) of paragraphs() rows; family is 'unknown' where a licence is less likely than the model's threshold, or where less than `confirm` of the n-grams of every template of the family is in the paragraph (all of them, if it is a SHORT one), or none that the family has alone."""
+    """(doc_id, tie, line_no, last, family, probability, template_share) of the distinct paragraphs() rows that a template confirms; family is 'unknown' where a licence is less likely than the model's threshold, or where the likeliest family isn't a confirmed one.
+
+    Paragraphs are confirmed where they lie, so only those that look like notices are shuffled and scored.
+    """
     spark, model = found.sparkSession, model or train()
     weights = spark.createDataFrame(pa.Table.from_pandas(model.weights, preserve_index=False))
     bias = spark.createDataFrame([(k, v) for k, v in model.bias.items() if k != UNKNOWN], "family string, bias double")
-    own = own_grams()
-    parts = [(name, i, g, 1 / len(gs), g in own[name], t in SHORT[name]) for name, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams(tokens(t))] for g in sorted(gs)]
-    templates = spark.createDataFrame(pa.Table.from_pandas(pd.DataFrame(parts, columns=["family", "template", "gram", "part", "own", "whole"]), preserve_index=False))
-    one = found.select("doc_id", "tie", "line_no", "last", F.explode(_grams(F.col("words"))).alias("gram"))
     key = ["doc_id", "tie", "line_no", "last"]
-    # tables of the model and the templates: a few thousand rows, whatever the input
+    sure = cut(found.withColumn("sure", _confirmed(F.col("words"), confirm)).where(F.size("sure") > 0).dropDuplicates(key))
+    one = sure.select(*key, F.explode(_grams(F.col("words"))).alias("gram"))
+    # tables of the model: a fixed number of rows, whatever the input
     z = one.join(F.broadcast(weights), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z")).join(F.broadcast(bias), "family").withColumn("z", F.col("z") + F.col("bias"))
-    share = one.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.sum("part").alias("share"), F.max("own").alias("own"), F.max("whole").alias("whole")).withColumn("share", F.when(F.col("whole") & (F.col("share") < 1 - 1e-9), 0.0).otherwise(F.col("share"))).groupBy(*key, "family").agg(F.max("share").alias("share"), F.max("own").alias("own"))
-    same = [z[c].eqNullSafe(share[c]) for c in (*key, "family")]
-    both = z.join(share, reduce(and_, same), "left").select(*(z[c] for c in (*key, "family", "z")), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("own", F.lit(False)).alias("own"))
-    top = both.groupBy(*key).agg(F.max_by(F.struct("family", "z", "share", "own"), F.struct("z", "family")).alias("top"), F.sum(F.exp(F.least("z", F.lit(300.0)))).alias("all"))
+    top = z.groupBy(*key).agg(F.max_by(F.struct("family", "z"), F.struct("z", "family")).alias("top"), F.sum(F.exp(F.least("z", F.lit(300.0)))).alias("all"))
+    same = [top[c].eqNullSafe(sure[c]) for c in key]
+    both = top.join(sure, reduce(and_, same)).select(*(top[c] for c in key), "top", "all", F.get(F.filter("sure", lambda x: x["family"] == F.col("top.family")), F.lit(0))["share"].alias("share"))
+    known = (F.col("all") / (1 + F.col("all")) >= model.least) & F.col("share").isNotNull()
     p = F.exp(F.least(F.col("top.z"), F.lit(300.0))) / (1 + F.col("all"))
-    sure = (F.col("all") / (1 + F.col("all")) >= model.least) & (F.col("top.share") >= confirm - 1e-9) & F.col("top.own")
-    return top.select(*key, F.when(sure, F.col("top.family")).otherwise(UNKNOWN).alias("family"), F.round(p, 6).alias("probability"), F.round("top.share", 6).alias("template_share"))
+    return both.select(*key, F.when(known, F.col("top.family")).otherwise(UNKNOWN).alias("family"), F.round(p, 6).alias("probability"), F.round("share", 6).alias("template_share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -400,7 +423,7 @@ def scan(docs: DataFrame) -> DataFrame:
     that share a doc_id with other texts keep their own notices; very long texts are taken whole; an empty table gives
     an empty result; other columns play no part.
     """
-    got = classify(cut(paragraphs(docs))).where(F.col("family") != UNKNOWN).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("line_no", "last", "family"))).alias("all"))
+    got = classify(paragraphs(docs)).where(F.col("family") != UNKNOWN).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("line_no", "last", "family"))).alias("all"))
     within = lambda x, y: (y["line_no"] == y["last"]) & (y["family"] == x["family"]) & y["line_no"].between(x["line_no"], x["last"])
     own = F.filter("all", lambda x: (x["line_no"] == x["last"]) | ~F.exists("all", lambda y: within(x, y)))
     notices = F.transform(own, lambda x: F.struct(x["line_no"].alias("line_no"), x["family"].alias("family")))
