@@ -255,7 +255,8 @@ def test_severity(spark):
 
 def drain(df, mode, name):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(40)
+    q.stop()  # one with timeouts would go on
     return df.sparkSession.table(name)
 
 

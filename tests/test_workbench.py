@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from pagelathe.functions import html as H
-from pagelathe.operators import files, jsonq, logs, memory, summary, tree
+from pagelathe.operators import files, jsonpath, jsonq, logs, memory, summary, tree
 from pagelathe.plans.tools import Tool, Tools
 from pagelathe.sources import journal, showcase
 from pagelathe.streaming import queries as streams
@@ -14,7 +14,7 @@ from pagelathe.streaming import queries as streams
 def test_json(spark):
     deep = "[" * 100_000 + "]" * 100_000
     docs = spark.createDataFrame([(1, '{"aKey": {"key": 1}, "l": ["the KEY", 5], "n": null}'), (2, "{"), (3, None), (4, deep), (5, "[1]")], "id long, doc string")
-    assert [(r.id, r.place, r.path, r.value, r.n_matches) for r in jsonq.found(docs, "id", "doc", "key").orderBy("place").collect()] == [("1", 1, "$.aKey", '{"key": 1}', 2), ("1", 2, "$.l[0]", "the KEY", 2)]
+    assert [(r.id, r.place, r.path, r.value, r.n_matches) for r in jsonpath.found(docs, "id", "doc", "key").orderBy("place").collect()] == [("1", 1, "$.aKey", '{"key":1}', 2), ("1", 2, "$.l[0]", "the KEY", 2)]
     assert [(r.place, r.value) for r in jsonq.dispatch(docs, "id", "doc", ".l[*]").orderBy("place").collect()] == [(1, "the KEY"), (2, "5")]
     got = {r.id: r.lines for r in jsonq.described(docs, "id", "doc").collect()}
     assert got["1"] == "- **aKey**: dict[1 keys]\n- **l**: list[2 items]\n- **n**: NoneType" and got["2"] is got["3"] is got["4"] is got["5"] is None
