@@ -157,6 +157,22 @@ def selector(tag: Column, id_: Column, classes: Column) -> Column:
     return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(F.lit("#"), id_)).when(F.size(fit) > 0, F.concat_ws(".", tag, F.get(fit, F.lit(0)))).otherwise(tag)
 
 
+def full_selector(tag: Column, id_: Column, classes: Column) -> Column:
+    """#id, else the tag in lower case with all its classes."""
+    return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(F.lit("#"), id_)).otherwise(F.concat_ws(".", F.lower(tag), F.filter(F.coalesce(classes, F.array().cast("array<string>")), lambda c: c != "")))
+
+
+def short_selector(tag: Column, id_: Column, class_attribute: Column) -> Column:
+    """#id, else the tag in lower case with what stands before the first space of the class attribute, which may be nothing; the tag alone without classes."""
+    first = F.substring_index(class_attribute, " ", 1)
+    return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(F.lit("#"), id_)).when(F.coalesce(class_attribute, F.lit("")) != "", F.concat(F.lower(tag), F.lit("."), first)).otherwise(F.lower(tag))
+
+
+def tagged_selector(tag: Column, id_: Column, classes: Column) -> Column:
+    """The tag with its id, else with its first class."""
+    return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(tag, F.lit("#"), id_)).when(F.size(classes) > 0, F.concat(tag, F.lit("."), F.get(classes, F.lit(0)))).otherwise(tag)
+
+
 # Style values that say nothing.
 PLAIN_STYLES = ("", "none", "normal", "auto", "0px")
 

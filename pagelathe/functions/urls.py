@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +70,14 @@ def absolute_css(css: Column, base: Column) -> Column:
         return F.concat(head, absolute(F.substring(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail)), base), tail)
 
     return F.when(F.coalesce(base, F.lit("")) == "", css).otherwise(_rejoined(css, f"(?i){CSS}", fixed))
+
+
+# How an address names a theme.
+THEME_MARKS = ("-{}.", "_{}.", "/{}/", "-{}-", "_{}_", "{}-mode", "{}mode", "{}_mode")
+
+
+def theme(url: Column) -> Column:
+    """the theme that an address names, in either case: dark, light, or common where it names both or neither; null for null."""
+    named = lambda word: reduce(or_, (F.contains(F.lower(url), F.lit(m.format(word))) for m in THEME_MARKS))
+    dark, light = named("dark"), named("light")
+    return F.when(url.isNull(), None).when(dark == light, "common").when(dark, "dark").otherwise("light")

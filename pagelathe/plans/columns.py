@@ -53,6 +53,18 @@ def element_selectors(spark, d):
     return made(spark, d, "part", i=PART_ID, c=PART_CLASSES).select("p_partkey", H.selector(F.lit("div"), F.col("i"), F.split("c", " ")).alias("selector"))
 
 
+@register(
+    "selector_forms",
+    f"SELECT p_partkey, CASE WHEN i <> '' THEN '#' || i WHEN c = '' THEN 'div' ELSE 'div.' || replace(c, ' ', '.') END AS whole, CASE WHEN i <> '' THEN '#' || i WHEN c = '' THEN 'div' ELSE 'div.' || split_part(c, ' ', 1) END AS short, CASE WHEN i <> '' THEN 'DIV#' || i WHEN c = '' THEN 'DIV' ELSE 'DIV.' || split_part(c, ' ', 1) END AS tagged FROM (SELECT p_partkey, {PART_ID} AS i, {PART_CLASSES} AS c FROM part)",
+)
+def selector_forms(spark, d):
+    """The other three forms of selectors."""
+    p = made(spark, d, "part", i=PART_ID, c=PART_CLASSES)
+    classes = F.filter(F.split("c", " "), lambda c: c != "")
+    forms = H.full_selector(F.lit("DIV"), F.col("i"), classes).alias("whole"), H.short_selector(F.lit("DIV"), F.col("i"), F.col("c")).alias("short"), H.tagged_selector(F.lit("DIV"), F.col("i"), classes).alias("tagged")
+    return p.select("p_partkey", *forms)
+
+
 SELECTOR = "CASE p_size % 5 WHEN 0 THEN concat('#i', p_partkey) WHEN 1 THEN concat('a.c', p_size, ':hover.x') WHEN 2 THEN concat('b.', p_size, 'x') WHEN 3 THEN 'nav' ELSE concat('p.k[a=', p_size, '].z') END"
 
 

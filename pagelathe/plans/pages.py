@@ -173,12 +173,13 @@ def link_sets(spark, d):
     return l.agg(F.count_if(F.col("a") & F.col("b")).alias("common"), F.count("*").alias("total"), F.count_if(F.col("a") & ~F.col("b")).alias("only_even"), F.count_if(F.col("b") & ~F.col("a")).alias("only_odd"))
 
 
-@register("theme_urls", f"SELECT page_id, pos, CASE WHEN dark = light THEN 'common' WHEN dark THEN 'dark' ELSE 'light' END AS theme FROM (SELECT page_id, pos, contains(lower(href), 'de') OR contains(lower(href), 'dark') AS dark, contains(lower(href), 'la') OR contains(lower(href), 'light') AS light FROM {SQL_LINKS})")
+ASSET = "CASE (page_id * 7 + pos) % 12 WHEN 0 THEN concat(href, '-DARK.png') WHEN 1 THEN concat(href, '_light.svg') WHEN 2 THEN concat('/dark', href, '.png') WHEN 3 THEN concat(href, '/light/a.png') WHEN 4 THEN concat(href, '-dark-and-light.svg') WHEN 5 THEN concat(href, '-dark-or_light_.svg') WHEN 6 THEN concat(href, 'LightMode') WHEN 7 THEN concat('dark_mode', href) WHEN 8 THEN concat(href, 'light-mode') WHEN 9 THEN concat(href, '-darker.png') WHEN 10 THEN concat(href, 'dark/') ELSE href END"
+
+
+@register("theme_urls", f"SELECT page_id, pos, CASE (page_id * 7 + pos) % 12 WHEN 0 THEN 'dark' WHEN 1 THEN 'light' WHEN 2 THEN 'dark' WHEN 3 THEN 'light' WHEN 4 THEN 'common' WHEN 5 THEN 'common' WHEN 6 THEN 'light' WHEN 7 THEN 'dark' WHEN 8 THEN 'light' ELSE 'common' END AS theme FROM {SQL_LINKS}")
 def theme_urls(spark, d):
-    """a URL's theme by its tokens; both or neither is common."""
-    h = F.lower("href")
-    dark, light = h.contains("de") | h.contains("dark"), h.contains("la") | h.contains("light")
-    return links(pages(spark, d)).select("page_id", "pos", F.when(dark == light, "common").when(dark, "dark").otherwise("light").alias("theme"))
+    """a URL's theme by how it names one; both or neither is common."""
+    return links(pages(spark, d)).withColumn("href", F.expr(ASSET)).select("page_id", "pos", U.theme(F.col("href")).alias("theme"))
 
 
 @register("tag_categories", f"SELECT page_id, count(*) FILTER (tag IN ('a','button','input','select','textarea','label','details','summary')) AS interactive, count(*) FILTER (tag IN ('header','footer','nav','main','section','article','aside','div')) AS layout, count(*) FILTER (tag NOT IN ('script','style','head','meta','link','noscript','svg','path','br','hr')) AS kept FROM {SQL_TAGS} GROUP BY page_id")
