@@ -64,10 +64,41 @@ def related(errors: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("error_id", "path")
 
 
+# Endings of image files; hosts whose addresses are images without such an ending, those of them that srcset takes too; first labels of hosts that serve files; properties that hold images.
+IMAGE_ENDINGS = "jpg|jpeg|png|gif|webp|svg|ico|avif|heic|heif|bmp|tiff?"
+IMAGE_HOSTS = (
+    r"images\.unsplash\.com", r"res\.cloudinary\.com", r"[a-z0-9-]+\.imgix\.net", r"i\.imgur\.com", r"images\.pexels\.com", r"cdn\.shopify\.com", r"[a-z0-9-]+\.cloudfront\.net", r"storage\.googleapis\.com",
+    r"firebasestorage\.googleapis\.com", r"[a-z0-9-]+\.supabase\.co", r"vercel\.app", r"raw\.githubusercontent\.com", r"avatars\.githubusercontent\.com", r"user-images\.githubusercontent\.com", r"cdn\.sanity\.io",
+    r"media\.graphassets\.com", r"cdn\.dribbble\.com", r"cdn\.pixabay\.com", r"picsum\.photos", r"loremflickr\.com", r"placekitten\.com", r"placehold\.co", r"via\.placeholder\.com",
+)
+SIZED_HOSTS = IMAGE_HOSTS[-5:]
+FILE_LABELS = "cdn|images?|img|media|assets?|static"
+IMAGE_FIELDS = "image|src|url|poster|thumbnail|avatar|logo|icon|cover|banner|background|photo|picture"
+
+
+def image_patterns() -> dict[str, str]:
+    """How code names images, each with the address as its group: what stands before, the address, what stands after."""
+    opened, closed = r"""(?:src=["']|srcset=["']|url\(["']?)""", r"""(?:["')]|[\s,])"""
+    address = lambda barred, ending=rf"\.(?:{IMAGE_ENDINGS})": rf"(https?://[^{barred}]+{ending})"
+    on = lambda hosts, barred: rf"(https?://(?:{'|'.join(hosts)})[^{barred}]+)"
+    kinds = {
+        "attribute": opened + address(r""""'\s),""") + closed,
+        "expression": r"""src=\{[`"']""" + address(r"""`"'\s),""") + r"""[`"']\}""",
+        "image host": opened + on(IMAGE_HOSTS, r""""'\s),""") + closed,
+        "lazy": r"""data-src=["']""" + address(r""""'\s""") + r"""["']""",
+        "poster": r"""poster=["']""" + address(r""""'\s""") + r"""["']""",
+        "property": rf"""(?:{IMAGE_FIELDS})["']?\s*:\s*["']""" + address(r""""'\s""") + r"""["']""",
+        "list": r"""["']""" + address(r""""'\s""") + r"""["']\s*[,\]]""",
+        "file host": r"""(?:src=["']|srcset=["']|url\(["']?|["'])""" + rf"""(https?://(?:{FILE_LABELS})\.[a-z0-9-]+\.[a-z]{{2,}}[^"'\s),]*)""" + closed,
+        "srcset": address(r""""'\s,""") + r"\s+[0-9.]+[wx]",
+        "srcset host": on(SIZED_HOSTS, r""""'\s,""") + r"\s+[0-9.]+[wx]",
+    }
+    return {k: f"(?i){p}" for k, p in kinds.items()}
+
+
 def image_urls(files: DataFrame) -> DataFrame:
-    """(path, url, is_new) of the image addresses in code; new where no earlier path has it."""
-    kinds = (r"""src=["'](https?://[^"'\s]+)["']""", r"""url\(["']?(https?://[^"')\s]+)["']?\)""", r"""["'`](https?://[^"'`\s]+\.(?:png|jpe?g|gif|webp|svg|ico))["'`]""", r"""poster=["'](https?://[^"'\s]+)["']""")
-    found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(k), F.lit(1)) for k in kinds))))
+    """(path, url, is_new) of the image addresses in code, by all of image_patterns(); new where no earlier path has it."""
+    found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(k), F.lit(1)) for k in image_patterns().values()))))
     rows = files.select("path", F.explode(found).alias("url"))
     first = rows.groupBy("url").agg(F.min("path").alias("first"))
     return rows.join(first, "url").select("path", "url", (F.col("path") == F.col("first")).alias("is_new"))

@@ -74,6 +74,23 @@ def image_url_totals(spark, d):
     return R.image_urls(f).agg(F.countDistinct("path").alias("files"), F.count("*").alias("urls"), F.countDistinct("url").alias("distinct_urls"), F.count_if("is_new").alias("fresh"))
 
 
+#: Code that names an image in one of ten ways, or an address that is none; n tells pages apart.
+NAMED = """CASE page_id % 13 WHEN 0 THEN concat('<img alt="a" src="https://a.b/', n, '.JPG">') WHEN 1 THEN concat('p{background:url(https://a.b/', n, '.webp) }') WHEN 2 THEN concat('<I src={`https://a.b/', n, '.tif`}/>')
+ WHEN 3 THEN concat('<img src="https://picsum.photos/', n, '">') WHEN 4 THEN concat('<i data-src="https://a.b/', n, ',x.avif">') WHEN 5 THEN concat('<video poster="https://a.b/(', n, ').png">') WHEN 6 THEN concat('{logo: "https://a.b/', n, '),.svg"}')
+ WHEN 7 THEN concat('["https://a.b/(', n, '.bmp" ]') WHEN 8 THEN concat('fetch("https://static.a.io/', n, '")') WHEN 9 THEN concat('srcSet={`https://a.b/', n, '.png 2x`}') WHEN 10 THEN concat('https://placehold.co/', n, ' 1.5x')
+ WHEN 11 THEN concat('<a href="https://a.b/', n, '.png">') ELSE concat('<img src="https://a.b/', n, '.txt">') END"""
+
+
+@register(
+    "image_url_forms",
+    "SELECT '/p/' || page_id AS path, CASE page_id % 13 WHEN 3 THEN 'https://picsum.photos/' || n WHEN 8 THEN 'https://static.a.io/' || n WHEN 10 THEN 'https://placehold.co/' || n ELSE 'https://a.b/' || ['', '', '', '', '', '(', '', '(', '', ''][page_id % 13 + 1] || n || ['.JPG', '.webp', '.tif', '', ',x.avif', ').png', '),.svg', '.bmp', '', '.png'][page_id % 13 + 1] END AS url FROM (SELECT page_id, page_id % 40 AS n FROM pages) WHERE page_id % 13 < 11",
+)
+def image_url_forms(spark, d):
+    """Addresses in all the forms in which code names images."""
+    f = table(spark, d, "pages").withColumn("n", (F.col("page_id") % 40).cast("string")).select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), F.expr(NAMED).alias("content"))
+    return R.image_urls(f).select("path", "url")
+
+
 @register("export_files", f"SELECT ltrim(path, '/') AS path FROM {SQL_FILES} WHERE NOT contains(path, 'public/images/') AND NOT starts_with(content, '[Binary')")
 def export_files(spark, d):
     """Files of an archive."""
