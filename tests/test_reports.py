@@ -33,8 +33,8 @@ def test_reports(spark):
     errors = spark.createDataFrame([(1, "bad a.js and b.js")], "error_id long, message string")
     files = spark.createDataFrame([("/x/a.js",), ("/y/a.js",), ("/z/c.js",)], "path string")
     assert [r.path for r in reports.related(errors, files).orderBy("path").collect()] == ["/x/a.js", "/y/a.js"]
-    code = spark.createDataFrame([("/a", "<img src='http://i/1.png'> url(http://i/2)"), ("/b", '"http://i/1.png"')], "path string, content string")
-    assert {(r.path, r.url, r.is_new) for r in reports.image_urls(code).collect()} == {("/a", "http://i/1.png", True), ("/a", "http://i/2", True), ("/b", "http://i/1.png", False)}
+    code = spark.createDataFrame([("/a", "<img src='http://i/1.png'> url(http://i/2.gif) url(http://i/3)"), ("/b", '["http://i/1.png"] "http://i/4.png"')], "path string, content string")
+    assert {(r.path, r.url, r.is_new) for r in reports.image_urls(code).collect()} == {("/a", "http://i/1.png", True), ("/a", "http://i/2.gif", True), ("/b", "http://i/1.png", False)}
     assert spark.range(1).select(reports.restored(F.lit("/i/ab /i/a"), {"/i/a": "S", "/i/ab": "L"})).first()[0] == "L S"
     pages = spark.createDataFrame([(1, 0, 10, 50, True), (2, 0, 11, 50, True), (3, 1, 20, 900, False), (4, 2, 0, 0, False)], "id long, children int, text_chars int, html_chars int, has_root boolean")
     assert sorted(r.id for r in reports.blank_pages(pages).collect()) == [1, 3]
