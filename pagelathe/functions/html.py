@@ -129,7 +129,7 @@ def declarations(css: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def kebab(name: Column) -> Column:
+def snake(name: Column) -> Column:
     """camelCase as lower-case words joined by underscores."""
     return F.replace(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1-$2")), F.lit("-"), F.lit("_"))
 
@@ -179,7 +179,7 @@ PLAIN_STYLES = ("", "none", "normal", "auto", "0px")
 
 def sparse_styles(styles: Column) -> Column:
     """a map of styles without those that say nothing; names as lower-case words joined by underscores, float as float_."""
-    named = F.transform_keys(F.map_filter(styles, lambda k, v: ~F.coalesce(v, F.lit("")).isin(*PLAIN_STYLES)), lambda k, v: kebab(k))
+    named = F.transform_keys(F.map_filter(styles, lambda k, v: ~F.coalesce(v, F.lit("")).isin(*PLAIN_STYLES)), lambda k, v: snake(k))
     return F.transform_keys(named, lambda k, v: F.when(k == "float", "float_").otherwise(k))
 
 

@@ -129,7 +129,7 @@ NAMES = "(SELECT n_nationkey, lower(replace(n_name, ' ', '-')) || '_Box' AS s FR
 def name_formats(spark, d):
     """Names as snake case and file names."""
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit("_Box")).alias("s"))
-    return n.select("n_nationkey", H.kebab(F.col("s")).alias("snake"), X.slug(F.col("s")).alias("slug"))
+    return n.select("n_nationkey", H.snake(F.col("s")).alias("snake"), X.slug(F.col("s")).alias("slug"))
 
 
 @register("color_hex", "SELECT p_partkey, '#' || upper(printf('%02x%02x%02x', p_partkey % 256, p_size, CAST(floor(p_retailprice) AS BIGINT) % 256)) AS color FROM part")
