@@ -139,3 +139,10 @@ def glob_regex(glob: str) -> str:
     import fnmatch
 
     return fnmatch.translate(glob).replace(r"\Z", r"\z").replace("(?s:", "(?s:")
+
+
+def millis(ts: Column) -> Column:
+    """A time in milliseconds since 1970; halves are rounded away from zero."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    half = us + F.when(us < 0, -500).otherwise(500)
+    return F.call_function("div", half, F.lit(1000))

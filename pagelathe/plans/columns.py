@@ -264,7 +264,7 @@ def spacing_scale(spark, d):
 def replay_stats(spark, d):
     """Numbers of recordings."""
     k = F.col("event_type")
-    e = table(spark, d, "events").select(F.col("user_id").alias("replay_id"), F.col("event_id").alias("seq"), F.expr("cast(unix_micros(cast(ts AS timestamp)) div 1000 % 100000000 AS long)").alias("ts_ms"), F.when(k == "signup", "worker_spawned").when(k == "view", "file_written").otherwise(k).alias("type"), F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (F.col("event_id") % 6).cast("int")).alias("workers"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("replay_id"), F.col("event_id").alias("seq"), (X.millis(F.col("ts")) % 100_000_000).alias("ts_ms"), F.when(k == "signup", "worker_spawned").when(k == "view", "file_written").otherwise(k).alias("type"), F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (F.col("event_id") % 6).cast("int")).alias("workers"))
     return summary.replay_stats(e)
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagelathe.functions import text as X
 from pagelathe.operators import planning, reports
 from pagelathe.plans.tools import Tool, Tools
 from pagelathe.sources import files as S
@@ -65,3 +66,10 @@ def test_tools(spark):
     for args, kind, text in ((("none", {}), LookupError, "discovery"), (("range", {}), ValueError, "missing"), (("range", {"n": "x"}), ValueError, "another type"), (("range", {"n": 1}, lambda _: False), PermissionError, "permission")):
         with pytest.raises(kind, match=text):
             t.call(spark, *args)
+
+
+def test_millis_are_rounded(spark):
+    """The nearest millisecond, halves away from zero."""
+    us = spark.createDataFrame([(1704699763999896,), (1704699763999499,), (1704699763999500,), (0,), (-315619199999500,), (-499,), (None,)], "us long")
+    got = [r.ms for r in us.select(X.millis(F.timestamp_micros("us")).alias("ms")).collect()]
+    assert got == [1704699764000, 1704699763999, 1704699764000, 0, -315619200000, 0, None]
