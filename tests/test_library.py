@@ -33,6 +33,23 @@ def test_flatten(spark):
     assert everything.where("xpath = '/body/div[1]/p[1]'").count() == 1 and everything.where("selector = 'div.hero-box'").count() == 1
 
 
+def test_deep_nodes(spark):
+    """Whole trees, however deep; a depth cuts them only where it is given."""
+    page = spark.createDataFrame([(1, "<body>" + "<div><b></b>" * 300)], "page_id long, html string")
+    nodes = elements.flatten(page)
+    assert nodes.count() == 601 and nodes.agg({"depth": "max"}).first()[0] == 302
+    assert nodes.where("node_id = 600").first().xpath == "/body" + "/div[1]" * 300 + "/b[1]"
+    assert elements.flatten(page, max_depth=50).agg({"depth": "max"}).first()[0] == 50
+
+
+def test_references_end_with_semicolons(spark):
+    """Texts and attributes keep ampersands that begin no reference with a semicolon."""
+    html = '<body><h1>a &amp;&amp; b&amp</h1><a href="?x=1&copy=2&amp;y=3">&#65;&#x42;&#67 &no; &ampx; &amp;lt;\ue000</a>'
+    by = {n.tag: n for n in elements.flatten(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()}
+    assert by["h1"].text_content == "a && b&amp" and by["a"].attributes["href"] == "?x=1&copy=2&y=3"
+    assert by["a"].text_content == "AB&#67 &no; &ampx; &lt;\ue000"
+
+
 def test_nested_sets(spark, sf):
     n = elements.flatten(spark.read.parquet(f"{sf}/pages.parquet")).toPandas()
     for _, p in n.groupby("page_id"):
