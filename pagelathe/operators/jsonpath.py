@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Levels of nesting that a document can have: deeper ones can't be read as variants.
 LEVELS = 1000
+#: Characters of documents whose matches a task ranks, so that its memory doesn't grow with the input.
+SHARE = 8_000_000
 _CHILD = "array<struct<pos:int,key:string,value:variant>>"
 _STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 _NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -250,6 +252,12 @@ def roots(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("k"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("at"), read(column).alias("v"))
 
 
+def dealt(rows: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Rows (k, ...) of the documents of df, dealt by k to as many tasks as the documents' characters ask for, which are summed first: matches compress so well that their bytes don't tell how many there are."""
+    chars = df.agg(F.sum(F.char_length(column))).first()[0] or 0
+    return rows.repartition(int(chars // SHARE) + 1, "k")
+
+
 def ranked(rows: DataFrame, key: str, most: int, cap: int | None = None) -> DataFrame:
     """(key, place, path, value, n_matches) of rows (k, path, at, v): the first `most` of each k by `at`, and how many there are, `cap` at most."""
     own = Window.partitionBy("k")
@@ -273,7 +281,7 @@ def select(df: DataFrame, key: str, column: str, path: str, most: int = 30) -> D
         else:
             rows = rows.select("*", F.posexplode(step(F.col("v"))).alias("i", "c"))
             rows = rows.select("k", _named_path(F.col("path"), F.col("c.key"), F.col("c.pos")).alias("path"), (F.col("depth") + 1).alias("depth"), F.array_append("at", F.col("i")).alias("at"), F.col("c.value").alias("v"))
-    return ranked(rows, key, most)
+    return ranked(dealt(rows, df, column), key, most)
 
 
 def walk(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -299,4 +307,4 @@ def found(df: DataFrame, key: str, column: str, word: str, shown: int = 15, item
         SELECT k, path, at, v FROM w WHERE hit LIMIT ALL""",
         start=start,
     )
-    return ranked(rows, key, shown, most)
+    return ranked(dealt(rows, df, column), key, shown, most)

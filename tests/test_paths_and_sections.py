@@ -239,3 +239,15 @@ def test_sections_are_split_in_one_plan(spark, sf, tmp_path):
     assert [(r.node_id, r.level, r.tokens) for r in out.collect()] == [(18, 15, 19_982)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "UnionLoop" not in plan and "Join" not in plan
+
+
+def test_matches_are_dealt_by_the_size_of_documents(spark, monkeypatch):
+    """More documents are more tasks, not larger ones."""
+    monkeypatch.setattr(jsonpath, "SHARE", 100)
+    docs = spark.range(100).selectExpr("id", """concat('{"n": ', id, ', "m": [{"n": 1}]}') AS doc""")
+    for path, matches in (("$..n", 2), ("$.n", 1)):
+        out = jsonpath.select(docs, "id", "doc", path)
+        assert out.rdd.getNumPartitions() == 26
+        assert out.groupBy("id").count().where(f"count <> {matches}").count() == 0
+    assert jsonpath.found(docs, "id", "doc", "n").rdd.getNumPartitions() > 20
+    assert jsonpath.select(docs.limit(0), "id", "doc", "$..n").count() == 0
