@@ -74,24 +74,31 @@ def allocate(spans: DataFrame) -> DataFrame:
 
 
 def skeletons(nodes: DataFrame, depth: int = 3, kids: int = 5, classes: int = 3, text: int = 50) -> DataFrame:
-    """HTML of each page's outline: some levels, children, classes and characters of text."""
+    """HTML of each page's outline: some levels, children, classes and characters of text.
 
-    def render(x: pd.DataFrame) -> str:
-        below: dict = {k: g for k, g in x.sort_values("node_id").groupby("parent_id")}
-
-        def one(n, level: int) -> str:
-            cls = f' class="{" ".join(list(n.classes)[:classes])}"' if len(n.classes) else ""
-            own = below.get(n.node_id)
-            rows = [] if own is None else list(own.itertuples(index=False))
-            inner = "..." if rows and level >= depth else "".join(one(k, level + 1) for k in rows[:kids]) + (f"<!-- {len(rows) - kids} more -->" if len(rows) > kids and level < depth else "")
-            return f"<{n.tag}{cls}>{n.text_content[:text]}{inner}</{n.tag}>"
-
-        return one(next(x[x["parent_id"].isna()].itertuples(index=False)), 1)
+    Only what an outline can show is gathered: of the upper levels the first children of each node, and how many there are.
+    """
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [x["page_id"].iloc[0]], "skeleton": [render(x)]})
+    def render(rows):
+        below: dict = {}
+        for n in sorted(rows, key=lambda n: n["node_id"]):
+            below.setdefault(n["parent_id"], []).append(n)
 
-    return nodes.select("page_id", "node_id", "parent_id", "tag", "classes", "text_content").groupBy("page_id").applyInPandas(run, "page_id long, skeleton string")
+        def one(n, level: int) -> str:
+            own = below.get(n["node_id"], [])
+            more = own[0]["siblings"] - kids if own else 0
+            cls = f' class="{" ".join(n["classes"])}"' if n["classes"] else ""
+            inner = "..." if own and level >= depth else "".join(one(k, level + 1) for k in own[:kids]) + (f"<!-- {more} more -->" if more > 0 else "")
+            return f"<{n['tag']}{cls}>{n['text']}{inner}</{n['tag']}>"
+
+        return one(below[None][0], 1)
+
+    # all windows and groups are within pages, which are dealt out once
+    upper = nodes.where(F.col("depth") <= depth + 1).select("page_id", "node_id", "parent_id", "tag", F.slice("classes", 1, classes).alias("classes"), F.left("text_content", F.lit(text)).alias("text")).repartition("page_id")
+    own = Window.partitionBy("page_id", "parent_id")
+    first = upper.withColumns({"place": F.row_number().over(own.orderBy("node_id")), "siblings": F.count("*").over(own)}).where(F.col("place") <= max(kids, 1))
+    shown = F.collect_list(F.struct("node_id", "parent_id", "tag", "classes", "text", "siblings"))
+    return first.groupBy("page_id").agg(shown.alias("rows")).select("page_id", F.udf(render, "string")("rows").alias("skeleton"))
 
 
 def snapshot(nodes: DataFrame, depth: int = 6) -> DataFrame:

@@ -17,6 +17,16 @@ def test_pages(spark):
     assert summary.snapshot(nodes).where("tag = 'p'").first().attributes["title"] == "t" * 100 + "..."
 
 
+def test_skeletons(spark):
+    """Levels, children, classes and texts are cut; no group of rows goes through pandas."""
+    wide = "<body>" + "".join(f'<ul class="a b"><li>{"x" * 60}<b>1</b></li><li>2</li></ul>' for _ in range(7)) + "</body>"
+    df = spark.createDataFrame([(1, wide), (2, "<body>t</body>"), (3, "<body hidden><p>1</p></body>"), (4, None), (5, "<body><p>1<p hidden>2<p>3</body>")], "page_id long, html string")
+    out = summary.skeletons(elements.flatten(df), kids=2)
+    ul = f'<ul class="a b"><li>{"x" * 50}...</li><li>2</li></ul>'
+    assert {r.page_id: r.skeleton for r in out.collect()} == {1: f"<body>{ul}{ul}<!-- 5 more --></body>", 2: "<body>t</body>", 5: "<body><p>1</p><p>3</p></body>"}
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows(spark):
     s = spark.createDataFrame([(1, 1, [5, 9]), (1, 2, [5, 9]), (1, 3, [9])], "page_id long, seq long, starts array<long>")
     assert [r.start for r in summary.allocate(s).orderBy("seq").collect()] == [5, 9, None]
