@@ -215,6 +215,14 @@ def test_nearest(spark):
     assert got == want
 
 
+def test_diffs_of_pairs(spark):
+    """Each pair of texts is diffed by itself: none waits in a batch of pandas or Arrow; nulls are empty."""
+    pairs = spark.createDataFrame([("a", "x\ny", "x\nz"), ("b", None, "q"), ("c", "", None)], "path string, old string, new string")
+    out = files.diffs(pairs)
+    assert sorted(map(tuple, out.collect())) == [("a", 0, "same", "x", 1, 1), ("a", 1, "removed", "y", 2, None), ("a", 2, "added", "z", None, 2), ("b", 0, "removed", "", 1, None), ("b", 1, "added", "q", None, 1), ("c", 0, "same", "", 1, 1)]
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_diff():
     a = [str(i) for i in range(1001)]
     assert [x for x in files.diff(a, a[:500] + ["new"] + a[500:]) if x[0] != "same"] == [("added", "new", None, 501)]
